@@ -327,7 +327,8 @@ def link_components(documents: DataFrame, match: int = MATCH, size: int = SHINGL
     sets = materialise(_sets(rows, rarity, match, size), "sets")
 
     some = sets.filter("n > 0")
-    classes = some.groupBy("one", "two", "n").agg(F.min("row").alias("rep"))
+    # written first: a join of two tables can split the rows of a class of many copies
+    classes = materialise(some.groupBy("one", "two", "n").agg(F.min("row").alias("rep")), "class-reps")
     member_of = materialise(some.join(classes, ["one", "two", "n"]).select("row", "rep", "n", "three"), "classes")
     reps = member_of.filter("row = rep").select("row", "n", "three")
     groups = materialise(reps.groupBy("n", "three").agg(F.min("row").alias("id")), "groups")
