@@ -77,7 +77,7 @@ class PrefixBPE:
         """
         got = self._fits.get((left, right))
         if got is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > 300_000:
                 self._fits.clear()
             got = self._fits[left, right] = self._test(left, right)
         return got
