@@ -17,11 +17,13 @@ files without rows; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ from . import pieces as P
 from .common import map_arrow, shared_path, stream_arrow, table, texts
 
 END_ID = 1
+#: Words and pieces kept per worker.
+WORDS, PIECES = 900_000, 600_000
 #: ORC writer settings: stripes are what readers split by, strides what they skip by.
 WRITER = {
     "compression": "zstd",
@@ -42,33 +46,94 @@ SCHEMA = "doc_id long, shard int, offset long, n_tokens long, ids array<int>"
 
 
 class WordEncoder:
-    """Little-endian 32-bit ids of whole texts by the tokenizers library; words of plain texts go through it once."""
+    """Ids of whole texts by the tokenizers library. Of plain texts, the words of a batch are looked up once each, and each new piece goes through the library once."""
 
     def __init__(self, path: str):
         self.library = P.library(path)
         self.special, _ = P.specials(path)
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        if not P.is_plain(text, self.special):
-            return self._pack(self.library.encode(text, add_special_tokens=False).ids)
-        words = text.split()
-        known = self.words
-        new = set(words).difference(known)
-        if new:
-            if max(map(len, new)) > P.CACHE_LENGTH:
-                return self._pack(self.library.encode(text, add_special_tokens=False).ids)
-            if len(known) + len(new) > P.CACHE_WORDS:
-                known.clear()
-                new = set(words)
-            batch = list(new)
-            for word, got in zip(batch, self.library.encode_batch_fast(batch, add_special_tokens=False)):
-                known[word] = self._pack(got.ids)
-        return b"".join(map(known.__getitem__, words))
-
-    @staticmethod
-    def _pack(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        self.pieces: dict[str, bytes] = {}
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a string column in order, number of ids of each)"""
+        texts = column.to_pylist()
+        plain = [P.is_plain(x, self.special) for x in texts]
+        odd = [i for i, p in enumerate(plain) if not p]
+        split = pc.ascii_split_whitespace(pa.array([x if p else "" for x, p in zip(texts, plain)], pa.string()) if odd else column)
+        coded = split.flatten().dictionary_encode()
+        forms = self.forms(coded.dictionary.to_pylist())
+        length = np.fromiter(map(len, forms), np.int32, len(forms)) // 4
+        pool = np.frombuffer(b"".join(forms), np.int32)
+        codes = coded.indices.to_numpy()
+        n = length[codes]
+        upto = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=upto[1:])
+        start = np.cumsum(length, dtype=np.int64) - length
+        ids = pool[np.repeat(start[codes] - upto[:-1], n) + np.arange(upto[-1])]
+        bounds = upto[split.offsets.to_numpy()]
+        counts = np.diff(bounds)
+        if odd:
+            parts = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            for i in odd:
+                parts[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.int32)
+                counts[i] = len(parts[i])
+            ids = np.concatenate(parts)
+        return ids, counts
+
+    def forms(self, words: list[str]) -> list[bytes]:
+        """Little-endian ids of each word of plain texts."""
+        known, learnt = self.words, self.pieces
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > WORDS:
+            known = self.words = {w: known[w] for w in words if w in known}
+        # words and forms hold no cycles; without a pause the collector walks the growing tables again and again
+        gc.disable()
+        try:
+            whole, parts, need = [], [], set()
+            for word, low in zip(new, " ".join(new).lower().split(" ") if new else ()):
+                form = learnt.get(low)
+                if form is not None:
+                    known[word] = form
+                elif low.isalpha():
+                    need.add(low)
+                    whole.append((word, low))
+                else:
+                    cut = P.cut_word(low)
+                    need.update(cut)
+                    parts.append((word, cut))
+            self.learn(need)
+            for word, low in whole:
+                known[word] = learnt[low]
+            for word, cut in parts:
+                known[word] = b"".join([learnt[p] for p in cut])
+            out = list(map(known.__getitem__, words))
+            for word in new:
+                if len(word) > P.CACHE_LENGTH:
+                    del known[word]
+            if len(learnt) > PIECES:
+                learnt.clear()
+            return out
+        finally:
+            gc.enable()
+
+    def learn(self, pieces: set[str]) -> None:
+        """Encodes pieces not seen before: as one text, whose ids are cut where a piece ends."""
+        new = [p for p in pieces if p not in self.pieces]
+        for k in range(0, len(new), 1000):
+            some = new[k : k + 1000]
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) == len(some):
+                raw, a = ids.tobytes(), 0
+                for piece, b in zip(some, stops.tolist()):
+                    self.pieces[piece] = raw[a:b]
+                    a = b
+            else:
+                for piece, got in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
+                    self.pieces[piece] = np.array(got.ids, "<u4").tobytes()
 
 
 @lru_cache(2)
@@ -81,7 +146,6 @@ def write_token_orc(documents: DataFrame, out: str, path: str | None = None, end
     path = path or P.default_vocabulary()
     spark = documents.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         from pyspark import TaskContext
@@ -91,11 +155,15 @@ def write_token_orc(documents: DataFrame, out: str, path: str | None = None, end
         for batch in batches:
             if not batch.num_rows:
                 continue
-            coded = [encoder(x) + end for x in batch.column(1).to_pylist()]
-            n = np.array([len(x) // 4 for x in coded], np.int64)
+            ids, n = encoder(batch.column(1))
+            n = n + 1
             stop = np.cumsum(n)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]), pa.int32()), pa.array(np.frombuffer(b"".join(coded), np.int32)))
-            yield {"doc_id": batch.column(0), "shard": np.full(len(n), shard, np.int32), "offset": before + stop - n, "n_tokens": n, "ids": ids}
+            last = np.zeros(int(stop[-1]), bool)
+            last[stop - 1] = True
+            whole = np.full(len(last), end_id, np.int32)
+            whole[~last] = ids
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]), pa.int32()), pa.array(whole))
+            yield {"doc_id": batch.column(0), "shard": np.full(len(n), shard, np.int32), "offset": before + stop - n, "n_tokens": n, "ids": lists}
             before += int(stop[-1])
 
     ordered = texts(documents).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
