@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import free, materialise, table
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -162,9 +162,24 @@ def mix(documents: DataFrame) -> DataFrame:
 
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
-    """The mixture itself: each row of ``documents`` as many times as it is taken, with its columns. doc_id must be unique."""
-    taken = mix(documents).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
-    return documents.join(taken, documents["doc_id"].eqNullSafe(taken["_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[documents[c] for c in documents.columns])
+    """The mixture itself: each row of ``documents`` as many times as it is taken, with its columns.
+
+    Rows that share a doc_id, or have none, are matched by size, then in the order of text.
+    """
+    id_, size_, place_, copies_, copy_ = free(documents, "id_taken", "size_taken", "place_taken", "copies_taken", "copy_taken")
+    odd = documents.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
+    if odd.isEmpty():
+        taken = mix(documents).filter("copies > 0").select(F.col("doc_id").alias(id_), F.col("copies").alias(copies_))
+        found = documents.join(taken, F.col("doc_id") == F.col(id_))
+    else:
+        taken = mix(documents)
+        order = F.row_number().over(Window.partitionBy("doc_id", "size").orderBy(F.desc("copies")))
+        taken = taken.select(F.col("doc_id").alias(id_), F.col("size").alias(size_), order.alias(place_), F.col("copies").alias(copies_)).filter(F.col(copies_) > 0)
+        own = F.row_number().over(Window.partitionBy("doc_id", word_count(F.col("text"))).orderBy("text"))
+        place_own = free(documents, "place_own")[0]
+        rows = documents.withColumn(place_own, own)
+        found = rows.join(taken, F.col("doc_id").eqNullSafe(F.col(id_)) & (word_count(F.col("text")) == F.col(size_)) & (F.col(place_own) == F.col(place_)))
+    return found.withColumn(copy_, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies_)))).select(*documents.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

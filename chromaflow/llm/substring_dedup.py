@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import recompression as R
-from .common import as_often, int64, map_arrow, materialise, partitions, split_by_ids, stream_arrow, table, with_rows
+from .common import as_often, free, int64, map_arrow, materialise, partitions, split_by_ids, stream_arrow, table, with_rows
 
 WINDOW = 20
 U64 = np.uint64
@@ -242,7 +242,8 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW) -> DataFrame:
 def strip_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """``documents`` with all their columns, the repeated words taken out of text (n_chars follows); texts without any stay as they are."""
     rows, _ = with_rows(documents)
-    found = materialise(repeats(rows, window).join(rows.select("row", F.col("doc_id").alias("_id"), F.col("text").alias("_text")), "row"), "stripped")
+    found = materialise(repeats(rows, window).join(rows.select("row", "doc_id", "text"), "row"), "stripped")
+    id_, hash_, new_ = free(documents, "id_changed", "hash_changed", "text_changed")
 
     def run(batch):
         import re
@@ -255,15 +256,15 @@ def strip_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
             keep = np.flatnonzero(_kept(len(places), packed[bounds[i] : bounds[i + 1]], window))
             cuts = np.split(keep, np.flatnonzero(np.diff(keep) > 1) + 1) if len(keep) else []
             out.append(b" ".join(raw[places[c[0]][0] : places[c[-1]][1]] for c in cuts).decode())
-        return {"_id": batch.column(0), "_hash": batch.column(1), "_new": out}
+        return {id_: batch.column(0), hash_: batch.column(1), new_: out}
 
-    new = map_arrow(found.select("_id", F.xxhash64("_text").alias("_hash"), "_text", "ranges"), run, "_id long, _hash long, _new string")
+    new = map_arrow(found.select("doc_id", F.xxhash64("text"), "text", "ranges"), run, f"{id_} long, {hash_} long, {new_} string")
     text = F.coalesce(F.col("text"), F.lit(""))
-    joined = documents.join(new, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
-    changed = {"text": F.coalesce("_new", "text")}
+    joined = documents.join(new, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(hash_)), "left")
+    changed = {"text": F.coalesce(new_, "text")}
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
-        changed["n_chars"] = F.when(F.col("_new").isNotNull(), F.char_length("_new").cast(kind)).otherwise(F.col("n_chars"))
+        changed["n_chars"] = F.when(F.col(new_).isNotNull(), F.char_length(new_).cast(kind)).otherwise(F.col("n_chars"))
     return joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in documents.columns])
 
 
