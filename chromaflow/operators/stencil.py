@@ -7,8 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ALONG_X = Window.partitionBy("image_id", "y").orderBy("x")
-ALONG_Y = Window.partitionBy("image_id", "x").orderBy("y")
+
+def along_x():
+    return Window.partitionBy("image_id", "y").orderBy("x")
+
+
+def along_y():
+    return Window.partitionBy("image_id", "x").orderBy("y")
 
 
 def second_difference(c: Column, over) -> Column:
@@ -18,8 +23,8 @@ def second_difference(c: Column, over) -> Column:
 
 def contrast(px: DataFrame, channels: tuple[str, ...] = ("r", "g", "b", "a")) -> DataFrame:
     """noise and edge (0..255) of each pixel from the largest second difference of any channel (0..1)."""
-    across = reduce(F.greatest, [second_difference(F.col(c) / 255.0, ALONG_X) for c in channels])
-    down = reduce(F.greatest, [second_difference(F.col(c) / 255.0, ALONG_Y) for c in channels])
+    across = reduce(F.greatest, [second_difference(F.col(c) / 255.0, along_x()) for c in channels])
+    down = reduce(F.greatest, [second_difference(F.col(c) / 255.0, along_y()) for c in channels])
     got = px.withColumn("h", across).withColumn("v", down)
     edge = F.greatest("h", "v")
     z = 1 - F.greatest(edge - F.abs(F.col("h") - F.col("v")) * 0.5, F.least("h", "v"))
@@ -33,7 +38,7 @@ def plus_extreme(plane: DataFrame, column: str, largest: bool) -> DataFrame:
     """The largest (smallest) of a pixel and its four neighbours."""
     agg, pick = (F.max, F.greatest) if largest else (F.min, F.least)
     c = F.col(column)
-    return plane.withColumn(column, pick(agg(c).over(ALONG_X.rowsBetween(-1, 1)), agg(c).over(ALONG_Y.rowsBetween(-1, 1))))
+    return plane.withColumn(column, pick(agg(c).over(along_x().rowsBetween(-1, 1)), agg(c).over(along_y().rowsBetween(-1, 1))))
 
 
 def blurred(plane: DataFrame, column: str, over, axis: str) -> DataFrame:
@@ -53,7 +58,7 @@ def importance_maps(px: DataFrame) -> DataFrame:
     plane = contrast(px).select("image_id", "y", "x", "noise", "edge")
     for largest in (True, True):
         plane = plus_extreme(plane, "noise", largest)
-    plane = blurred(blurred(plane, "noise", ALONG_X, "x"), "noise", ALONG_Y, "y")
+    plane = blurred(blurred(plane, "noise", along_x(), "x"), "noise", along_y(), "y")
     for largest in (True, False, False, False):
         plane = plus_extreme(plane, "noise", largest)
     for largest in (False, True):

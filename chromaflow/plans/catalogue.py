@@ -281,7 +281,7 @@ def _blur(source: str, c: str, part: str, axis: str) -> str:
 
 @query(f"with {PX} select {longs('image_id', 'y', 'x')}, cast(r as bigint) as r from ({_blur('px', 'r', 'y', 'x')})")
 def box_blur_1d(spark, sf_dir):
-    return stencil.blurred(pixels(spark, sf_dir).select("image_id", "y", "x", "r"), "r", stencil.ALONG_X, "x")
+    return stencil.blurred(pixels(spark, sf_dir).select("image_id", "y", "x", "r"), "r", stencil.along_x(), "x")
 
 
 _maps = [CONTRAST]

@@ -313,7 +313,9 @@ def _each(files: DataFrame, make, schema: str) -> DataFrame:
     def run(batches):
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                yield make(path, bytes(content or b""))
+                got = make(path, bytes(content or b""))
+                if len(got):
+                    yield got.astype({c: object for c in got.columns if not pd.api.types.is_numeric_dtype(got[c])})
 
     return files.select("path", "content").mapInPandas(run, schema)
 
@@ -341,13 +343,11 @@ def image_pixels(files: DataFrame) -> DataFrame:
             return pd.DataFrame({c.split()[0]: [] for c in PIXELS.split(", ")})
         parts = [(-1, p.still)] if p.still is not None else []
         parts += [(k, f.rgba) for k, f in enumerate(p.frames)]
-        out = []
-        for k, rgba in parts:
-            h, w, _ = rgba.shape
-            y, x = np.divmod(np.arange(h * w), w)
-            flat = rgba.reshape(-1, 4).astype(np.int64)
-            out.append(pd.DataFrame({"path": path, "frame_no": k, "y": y, "x": x, **dict(zip("rgba", flat.T))}))
-        return pd.concat(out)
+        sizes = [rgba.shape[0] * rgba.shape[1] for _, rgba in parts]
+        y, x = (np.concatenate(c) for c in zip(*(np.divmod(np.arange(n), rgba.shape[1]) for n, (_, rgba) in zip(sizes, parts))))
+        flat = np.concatenate([rgba.reshape(-1, 4) for _, rgba in parts]).astype(np.int64)
+        numbers = np.repeat([k for k, _ in parts], sizes)
+        return pd.DataFrame({"path": np.full(len(y), path, object), "frame_no": numbers, "y": y, "x": x, **dict(zip("rgba", flat.T))})
 
     return _each(files, make, PIXELS)
 
