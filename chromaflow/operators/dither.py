@@ -39,40 +39,78 @@ def dither_map(indexed: DataFrame) -> DataFrame:
 
 
 def diffused(px: DataFrame, palettes: DataFrame, level: float = 1.0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """idx of each pixel (internal colour p*, strength 0..255) under Floyd-Steinberg diffusion; even rows run left to right, odd ones back."""
+    """idx of each pixel (internal colour p*, strength 0..255) under Floyd-Steinberg diffusion; even rows run left to right, odd ones back.
+
+    Where ``px`` has frame_no, its frames are scanned apart with the palette of their image_id. Where it also has what lies
+    under a pixel (internal colour u*, null in frames that replace), a pixel may keep it through the transparent entry.
+    """
+    unit = ["image_id", "frame_no"] if "frame_no" in px.columns else ["image_id"]
+    under = [f"u{c}" for c in "argb"] if "ua" in px.columns else []
+    own_columns = ["pa", "pr", "pg", "pb", "strength", *under]
     chunk = F.floor(F.col("y") / chunk_rows)
     later = F.when(F.pmod(F.col("y"), F.lit(chunk_rows)) >= chunk_rows - WARM_ROWS, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
-    dealt = px.withColumn("chunk", F.explode(later))
-    entries = palettes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("idx", *(f"q{c}" for c in "argb")))).alias("entries"))
-    dealt = dealt.join(F.broadcast(entries), "image_id")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"])
-        palette = np.array([[e[f"q{c}"] for c in "argb"] for e in pdf["entries"].iloc[0]], float)
+    dealt = px.select(*unit, "y", "x", *own_columns, F.explode(later).alias("chunk"))
+    # a chunk's palette meets it once, not in each of its pixels
+    extent = px.groupBy(*unit).agg(F.max("y").alias("_last"))
+    numbers = F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / chunk_rows))
+    entries = extent.select(*unit, F.explode(numbers).alias("chunk")).join(palettes.select("image_id", "idx", *(f"q{c}" for c in "argb")), "image_id")
+    # both sides may come from one table: named anew, their columns stay apart
+    entries = entries.select(*(F.col(c).alias(c) for c in entries.columns))
+
+    def run(key: tuple, pdf: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
+        pdf, listed = pdf.sort_values(["y", "x"]), listed.sort_values("idx")
+        first = int(key[-1]) * chunk_rows
+        if not len(listed) or not (pdf["y"] >= first).any():
+            return pdf.head(0).assign(idx=0)[[*unit, "y", "x", "idx"]]
+        palette = listed[["qa", "qr", "qg", "qb"]].to_numpy(float)
         rows, w = pdf["y"].unique(), int(pdf["x"].nunique())
         own = pdf[["pa", "pr", "pg", "pb"]].to_numpy(float).reshape(len(rows), w, 4)
         strength = pdf["strength"].to_numpy(float).reshape(len(rows), w) / 255 * level
-        idx = scan(own, strength, palette, int(rows[0]) if len(rows) else 0)
-        out = pd.DataFrame({"image_id": pdf["image_id"], "y": pdf["y"], "x": pdf["x"], "idx": idx.ravel()})
-        return out[out["y"] >= int(key[1]) * chunk_rows]
+        below = pdf[under].to_numpy(float).reshape(len(rows), w, 4) if under and pdf["ua"].notna().all() else None
+        places = scan(own, strength, palette, int(rows[0]), below)
+        out = pdf[[*unit, "y", "x"]].assign(idx=listed["idx"].to_numpy()[places.ravel()])
+        return out[out["y"] >= first]
+
+    schema = INDEXED.replace("image_id long", "image_id long, frame_no long") if len(unit) == 2 else INDEXED
+    return dealt.groupBy(*unit, "chunk").cogroup(entries.groupBy(*unit, "chunk")).applyInPandas(run, schema)
 
-    return dealt.groupBy("image_id", "chunk").applyInPandas(run, INDEXED)
 
+def scan(own: np.ndarray, strength: np.ndarray, palette: np.ndarray, first_row: int = 0, under: np.ndarray | None = None) -> np.ndarray:
+    """Places in ``palette`` of an (h, w, 4) image by serpentine diffusion.
 
-def scan(own: np.ndarray, strength: np.ndarray, palette: np.ndarray, first_row: int = 0) -> np.ndarray:
-    """Indices of an (h, w, 4) image by serpentine diffusion."""
+    With the colours ``under`` it and a transparent entry in the palette, a pixel takes that entry where what lies under is
+    as near; where diffusion would do worse than leaving the old colour, it takes the entry that the pixel before it met, if
+    that does better, at most twice before the count starts again.
+    """
     h, w, _ = own.shape
     out = np.zeros((h, w), np.int64)
     own_gap = np.sort(differences(palette, palette), axis=1)
     cap = float(own_gap[:, 1].mean()) if len(palette) > 1 else 0.0
     carry = np.zeros((w + 2, 4))
+    clear = int((palette**2).sum(1).argmin()) if len(palette) else 0
+    if under is not None and palette[clear, 0] >= 0.625 / 255:
+        under = None
     for k in range(h):
+        plain_used = met = 0
         ahead, step = np.zeros((w + 2, 4)), 1 if (first_row + k) % 2 == 0 else -1
         for x in range(w) if step == 1 else range(w - 1, -1, -1):
             wanted = _pushed(own[k, x], carry[x + 1] * strength[k, x], cap)
-            i = int(differences(wanted[None], palette)[0].argmin())
+            gaps = differences(wanted[None], palette)[0]
+            i = int(gaps.argmin())
+            shown, before, met = palette[i], met, i
+            if under is not None:
+                old = under[k, x]
+                if differences(wanted[None], old[None])[0, 0] <= gaps[i]:
+                    i, shown = clear, old
+                elif plain_used > 1:
+                    plain_used = 0
+                else:
+                    change = differences(own[k, x][None], np.vstack([old, shown, palette[before]]))[0]
+                    if change[1] > change[0] > change[2]:
+                        plain_used += 1
+                        i, shown = before, palette[before]
             out[k, x] = i
-            error = wanted - palette[i]
+            error = wanted - shown
             if cap and (error**2).sum() > cap:
                 error = error * 0.75
             carry[x + 1 + step] += error * (7 / 16)

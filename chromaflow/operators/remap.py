@@ -2,7 +2,9 @@
 
 A palette has at most 256 entries an image, so a nearest-neighbour join collects it
 into one array row per image (bounded) and folds over it inside the pixel's row: no
-pair is materialised and no pixel is shuffled.
+pair is materialised. Palettes grow with the number of images, so no join forces a
+broadcast: Spark picks one by the palettes' size, and splits the image that is skewed
+where it shuffles.
 """
 
 from __future__ import annotations
@@ -30,14 +32,14 @@ def nearest(px: DataFrame, palette: DataFrame, digits: int = 12) -> DataFrame:
         return F.when(err < best["err"], F.struct(err.alias("err"), entry["idx"].alias("idx"))).otherwise(best)
 
     start = F.struct(F.lit(1e30).alias("err"), F.lit(None).cast("long").alias("idx"))
-    found = px.join(F.broadcast(palette_arrays(palette)), "image_id").withColumn("_best", F.aggregate("entries", start, closer))
+    found = px.join(palette_arrays(palette), "image_id").withColumn("_best", F.aggregate("entries", start, closer))
     return found.select(*px.columns, F.col("_best.idx").alias("idx"), F.col("_best.err").alias("err"))
 
 
 def looked_up(indexed: DataFrame, palette: DataFrame) -> DataFrame:
     """Pixels with the palette's bytes out_r, out_g, out_b, out_a for their idx."""
     colours = palette.select("image_id", "idx", *(F.col(c).alias(f"out_{c}") for c in "rgba"))
-    return indexed.join(F.broadcast(colours), ["image_id", "idx"])
+    return indexed.join(colours, ["image_id", "idx"])
 
 
 def feedback(indexed: DataFrame, importance: str | None = None) -> DataFrame:
@@ -69,7 +71,7 @@ def used_entries(indexed: DataFrame) -> DataFrame:
 
 def reordered(indexed: DataFrame, palette: DataFrame) -> DataFrame:
     """Output palette: used entries only, non-opaque first, then by count; ``new_idx`` by old ``idx``."""
-    used = used_entries(indexed).join(F.broadcast(palette), ["image_id", "idx"])
+    used = used_entries(indexed).join(palette, ["image_id", "idx"])
     order = Window.partitionBy("image_id").orderBy((F.col("a") < 255).desc(), F.desc("n"), "idx")
     return used.withColumn("new_idx", (F.row_number().over(order) - 1).cast("long")).select("image_id", "idx", "new_idx", "n")
 

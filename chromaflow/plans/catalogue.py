@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..operators import dither, frames, histogram, palette, remap, report, stencil
+from ..operators import animation, dither, frames, histogram, palette, remap, report, stencil
 from ..sources import png
 from .views import PX, pixels, sql_difference, sql_internal, sql_mse_of, table, with_internal
 
@@ -125,7 +125,7 @@ def _against_mean(spark, sf_dir):
     px = pixels(spark, sf_dir)
     mean = px.groupBy("image_id").agg(*(F.floor(F.avg(c)).cast("long").alias(c) for c in "rgba"))
     other = with_internal(mean, "o").select("image_id", *(f"o{c}" for c in "argb"))
-    return with_internal(px).join(F.broadcast(other), "image_id")
+    return with_internal(px).join(other, "image_id")
 
 
 @query(f"with {MSE} select {longs('image_id')}, round(mse, 9) as mse, round(mse * 65536.0::double / 6.0::double / 0.45::double, 5) as standard_mse from mse")
@@ -512,3 +512,71 @@ def quantize_images(spark, sf_dir):
     from . import quantize
 
     return quantize.quantize(pixels(spark, sf_dir), quantize.Options(speed=8, max_colours=16)).drop("content")
+
+
+def _animation(spark, sf_dir, colour=None):
+    """Images as animations: 64 rows of pixels are 16 frames of 4 rows; the last frame may be shorter."""
+    px = pixels(spark, sf_dir)
+    drawn = px.select((F.col("image_id") * 1_000_000 + F.floor(F.col("y") / 64)).alias("anim"), F.floor(F.col("y") % 64 / 4).alias("frame_no"), (F.col("y") % 4).alias("y"), "x", *"rgba")
+    if colour:
+        drawn = drawn.withColumns(colour)
+    made = drawn.groupBy("anim", "frame_no").agg(F.lit(16).cast("long").alias("w"), (F.max("y") + 1).alias("h"))
+    zero = F.lit(0).cast("long")
+    made = made.withColumns({"x_off": zero, "y_off": zero, "delay_num": F.col("frame_no") + 1, "delay_den": F.lit(10).cast("long"), "dispose": F.lit("none"), "blend": F.lit("source")})
+    sizes = drawn.groupBy("anim").agg(F.lit(16).cast("long").alias("width"), (F.max("y") + 1).alias("height"))
+    return sizes, made, drawn
+
+
+AN = PX + ", an as (select image_id * 1000000 + y // 64 as anim, y % 64 // 4 as frame_no, y % 4 as y, x, r, g, b, a from px)"
+#: Frames replace the canvas, so a cell shows the last frame that has it.
+SHOWN = "gr as (select distinct f.anim, f.frame_no, c.y, c.x from an f join an c on f.anim = c.anim and c.frame_no = 0), sh as (select gr.anim, gr.frame_no, gr.y, gr.x, last_value(v.c ignore nulls) over (partition by gr.anim, gr.y, gr.x order by gr.frame_no rows between unbounded preceding and current row) as c from gr left join col v on gr.anim = v.anim and gr.frame_no = v.frame_no and gr.y = v.y and gr.x = v.x), ch as (select *, lag(c) over (partition by anim, y, x order by frame_no) is distinct from c as changed from sh)"
+
+
+def _flat(**own):
+    """One opaque colour, but for the channels given."""
+    return {c: F.lit(v).cast("long") for c, v in zip("rgba", (255, 0, 0, 255))} | own
+
+
+@query(f"""with {AN}, col as (select anim, frame_no, y, x, case when r >= 128 and g >= 128 and b >= 128 then 200 else 10 end as c from an), {SHOWN},
+bx as (select anim, frame_no, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1 from ch where changed and frame_no > 0 group by all),
+fr as (select anim, frame_no, max(y) + 1 as h from an group by all)
+select {longs('anim', 'frame_no')}, cast(case when frame_no = 0 then 16 else coalesce(x1 - x0 + 1, 1) end as bigint) as w, cast(case when frame_no = 0 then h else coalesce(y1 - y0 + 1, 1) end as bigint) as h,
+ cast(case when frame_no = 0 then 0 else coalesce(x0, 0) end as bigint) as x_off, cast(case when frame_no = 0 then 0 else coalesce(y0, 0) end as bigint) as y_off from fr left join bx using (anim, frame_no)""")
+def animation_minimise(spark, sf_dir):
+    some = (F.col("r") >= 128) & (F.col("g") >= 128) & (F.col("b") >= 128)
+    own = _animation(spark, sf_dir, _flat(r=F.when(some, 200).otherwise(10).cast("long")))
+    return animation.checked_minimised_frames(*own)[0].select("anim", "frame_no", "w", "h", "x_off", "y_off")
+
+
+@query(f"""with {AN}, fc as (select anim, frame_no, max(r) filter (y = 0 and x = 0) & 128 as c from an group by all), col as (select anim, frame_no, y, x, fc.c from an join fc using (anim, frame_no)), {SHOWN},
+mv as (select anim, frame_no, max(cast(changed as int)) as changed from ch group by all), ru as (select anim, frame_no, sum(changed) over (partition by anim order by frame_no) - 1 as run from mv)
+select {longs('anim')}, cast(run as bigint) as frame_no, cast(sum(frame_no + 1) as bigint) as delay_num, cast(10 as bigint) as delay_den from ru group by anim, run""")
+def animation_fold(spark, sf_dir):
+    first = F.max(F.when((F.col("y") == 0) & (F.col("x") == 0), F.col("r"))).over(Window.partitionBy("anim", "frame_no"))
+    own = _animation(spark, sf_dir, _flat(r=first.bitwiseAND(F.lit(128))))
+    return animation.folded_frames(*own)[0].select("anim", "frame_no", "delay_num", "delay_den")
+
+
+@query(f"""with {AN}, al as (select anim, frame_no, y, x, case when x + 4 * y > (max(r) filter (y = 0 and x = 0) over (partition by anim, frame_no)) % 28 then 0 else 255 end as a from an),
+wh as (select *, max(y) over (partition by anim) + 1 as height from al)
+select {longs('anim', 'frame_no')}, cast(case when max(y) + 1 = any_value(height) then coalesce(max(x + 1) filter (a > 0), 16) else 16 end as bigint) as w, cast(case when max(y) + 1 = any_value(height) then coalesce(max(y + 1) filter (a > 0), max(y) + 1) else max(y) + 1 end as bigint) as h, count(*) filter (max_y < 0) as cut from (select *, 0 as max_y from wh) group by anim, frame_no""")
+def animation_trim(spark, sf_dir):
+    first = F.max(F.when((F.col("y") == 0) & (F.col("x") == 0), F.col("r"))).over(Window.partitionBy("anim", "frame_no"))
+    own = _animation(spark, sf_dir, _flat(a=F.when(F.col("x") + 4 * F.col("y") > first % 28, 0).otherwise(255).cast("long")))
+    made, drawn = animation.trimmed_frames(*own)
+    outside = drawn.join(made.select("anim", "frame_no", "w", "h"), ["anim", "frame_no"]).groupBy("anim", "frame_no").agg(F.count_if((F.col("x") >= F.col("w")) | (F.col("y") >= F.col("h"))).alias("cut"))
+    return made.join(outside, ["anim", "frame_no"]).select("anim", "frame_no", "w", "h", "cut")
+
+
+def _blending(spark, sf_dir):
+    sizes, made, drawn = _animation(spark, sf_dir, {c: E.posterize(F.col(c), 5) for c in "rgba"})
+    n = F.col("frame_no")
+    return sizes, made.withColumns({"dispose": F.element_at(F.array(*(F.lit(d) for d in png.DISPOSE)), (n % 3 + 1).cast("int")), "blend": F.when(n % 2 == 1, "over").otherwise("source")}), drawn
+
+
+@query()
+def animation_quantize(spark, sf_dir):
+    """End to end: fold, trim, one palette, background-aware remap, worst score, encode; one row per animation."""
+    from . import animate, quantize
+
+    return animate.quantize_animations(*_blending(spark, sf_dir), quantize.Options(speed=10, max_colours=16, dither=0.0)).drop("content")

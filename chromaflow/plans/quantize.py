@@ -68,7 +68,7 @@ def quantize(px: DataFrame, options: Options = Options()) -> DataFrame:
     r, g, b, a = E.to_rgba(q)
     out_bits = options.posterize
     colours = palettes.select("image_id", "idx", *(E.posterize_output(v, out_bits).alias(c) for c, v in zip("rgba", (r, g, b, a))))
-    seen = indexed.join(F.broadcast(with_internal(colours, "o")), ["image_id", "idx"]).select("image_id", "y", "x", *(f"o{c}" for c in "argb"))
+    seen = indexed.join(with_internal(colours, "o"), ["image_id", "idx"]).select("image_id", "y", "x", *(f"o{c}" for c in "argb"))
     scores = remap.quality(own.join(seen, ["image_id", "y", "x"]))
     files = png.encoded_images(indexed, colours, options.speed).withColumn("size_bytes", F.length("content").cast("long"))
     counts = palettes.groupBy("image_id").agg(F.count("*").alias("colours"))

@@ -366,18 +366,51 @@ def animation_frames(files: DataFrame) -> DataFrame:
 
 def encoded_images(indexed: DataFrame, palette: DataFrame, speed: int = 4) -> DataFrame:
     """image_id and content: an indexed PNG of (image_id, y, x, idx) and (image_id, idx, r, g, b, a)."""
-    colours = palette.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("idx", *"rgba"))).alias("colours"))
-    joined = indexed.select("image_id", "y", "x", "idx").join(F.broadcast(colours), "image_id")
+    pixels, colours = indexed.select("image_id", "y", "x", "idx"), palette.select(*(F.col(c).alias(c) for c in ("image_id", "idx", *"rgba")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"])
-        entries = np.array([[c[k] for k in "rgba"] for c in pdf["colours"].iloc[0]], np.int64)
-        place = {c["idx"]: k for k, c in enumerate(pdf["colours"].iloc[0])}
+    def run(key: tuple, pdf: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"image_id": [], "content": []})
+        pdf, entries = pdf.sort_values(["y", "x"]), entries.sort_values("idx")
+        place = pd.Series(np.arange(len(entries)), entries["idx"].to_numpy())
         h = int(pdf["y"].nunique())
-        indices = pdf["idx"].map(place).to_numpy().reshape(h, -1)
-        return pd.DataFrame({"image_id": [int(pdf["image_id"].iloc[0])], "content": [encode_indexed(indices, entries, speed)]})
-
-    return joined.groupBy("image_id").applyInPandas(run, "image_id long, content binary")
+        indices = place[pdf["idx"].to_numpy()].to_numpy().reshape(h, -1)
+        return pd.DataFrame({"image_id": [int(key[0])], "content": [encode_indexed(indices, entries[list("rgba")].to_numpy(np.int64), speed)]})
+
+    return pixels.groupBy("image_id").cogroup(colours.groupBy("image_id")).applyInPandas(run, "image_id long, content binary")
+
+
+def encoded_animations(indexed: DataFrame, frames: DataFrame, palette: DataFrame, sizes: DataFrame, speed: int = 4) -> DataFrame:
+    """anim and content: an indexed APNG with one palette for all frames.
+
+    ``indexed``: anim, frame_no (-1: a default image that is no frame), y, x, idx; ``frames``
+    as :data:`FRAMES` by anim; ``palette``: anim, idx, r, g, b, a; ``sizes``: anim, width, height.
+    An animation whose first frame does not fill the canvas and that has no default image has no content.
+    """
+    listed = frames.groupBy("anim").agg(F.array_sort(F.collect_list(F.struct("frame_no", "w", "h", "x_off", "y_off", "delay_num", "delay_den", "dispose", "blend"))).alias("frames"))
+    colours = palette.groupBy("anim").agg(F.array_sort(F.collect_list(F.struct("idx", *"rgba"))).alias("colours"))
+    heads = sizes.join(listed, "anim").join(colours, "anim").select(*(F.col(c).alias(c) for c in ("anim", "width", "height", "frames", "colours")))
+
+    def run(key: tuple, pdf: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
+        if not len(head):
+            return pd.DataFrame({"anim": [], "content": []})
+        own = head.iloc[0]
+        planes = {int(k): g.sort_values(["y", "x"])["idx"].to_numpy() for k, g in pdf.groupby("frame_no")}
+        shown = [
+            Frame(planes[f["frame_no"]].reshape(f["h"], f["w"]), f["x_off"], f["y_off"], f["delay_num"], f["delay_den"], f["dispose"], f["blend"])
+            for f in own["frames"]
+        ]
+        still = planes[-1].reshape(int(own["height"]), int(own["width"])) if -1 in planes else None
+        entries = np.array([[c[k] for k in "rgba"] for c in own["colours"]], np.int64)
+        try:
+            content = encode_animation(Png(int(own["width"]), int(own["height"]), still, shown), entries, speed)
+        except PngError:
+            content = None
+        return pd.DataFrame({"anim": [key[0]], "content": [content]})
+
+    kind = indexed.schema["anim"].dataType.simpleString()
+    pixels = indexed.select("anim", "frame_no", "y", "x", "idx")
+    return pixels.groupBy("anim").cogroup(heads.groupBy("anim")).applyInPandas(run, f"anim {kind}, content binary")
 
 
 def write_images(images: DataFrame, name: str, folder: str, force: bool = False) -> DataFrame:
