@@ -97,3 +97,42 @@ def written_csv(rows: DataFrame, formats: dict[str, str], path: str, force: bool
 def markdown(rows: DataFrame) -> DataFrame:
     """One line of a table per row."""
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns)), F.lit(" |")).alias("line"))
+
+
+def deltas(candidate: DataFrame, baseline: DataFrame, value: str, by: str = "sample_id") -> DataFrame:
+    """Per sample that both runs have: both values, candidate minus baseline, and their ratio less one (null where the baseline is 0)."""
+    both = candidate.select(by, F.col(value).alias("candidate")).join(baseline.select(by, F.col(value).alias("baseline")), by)
+    gap = F.col("candidate") - F.col("baseline")
+    return both.withColumns({"delta": gap, "delta_vs_baseline": F.try_divide(gap.cast("double"), F.col("baseline").cast("double"))})
+
+
+#: Quality range, speed and dithering of the evaluation profiles; others count as Q_MED.
+PROFILES = (
+    ("Q_HIGH", "70-90", 3, "fs"),
+    ("Q_MED", "55-75", 4, "fs"),
+    ("Q_LOW", "35-55", 6, "fs"),
+    ("FAST", "55-75", 10, "fs"),
+    ("NO_DITHER", "55-75", 4, "nofs"),
+    ("FUNC_BASE", None, 4, "fs"),
+)
+
+
+def profiled(runs: DataFrame, profile: str = "profile") -> DataFrame:
+    """``runs`` with the quality, speed and dither of their profile."""
+    known = {name: (quality, speed, dither) for name, quality, speed, dither in PROFILES}
+    out = [F.lit(v) for v in known["Q_MED"]]
+    for name, values in known.items():
+        out = [F.when(F.col(profile) == name, F.lit(v)).otherwise(o) for v, o in zip(values, out)]
+    return runs.withColumns({"quality": out[0].cast("string"), "speed": out[1].cast("long"), "dither": out[2]})
+
+
+def stability(runs: DataFrame) -> DataFrame:
+    """Cases, crash-like ones, failures, and whether none crashed or failed. ``runs``: expected_success (null: any end that is no crash), exit_code, stderr, signalled."""
+    crash = crash_like(F.col("stderr"), F.col("signalled"))
+    bad = F.coalesce(~expectation(F.col("expected_success"), F.col("exit_code")) & F.col("expected_success").isNotNull(), F.lit(False))
+    return runs.agg(F.count("*").alias("cases"), F.count_if(crash).alias("crash_like"), F.count_if(bad).alias("failures"), F.coalesce(F.bool_and(~crash & ~bad), F.lit(True)).alias("passed"))
+
+
+def suites(results: DataFrame) -> DataFrame:
+    """passed: did every suite of (suite, passed) pass; and how many did not."""
+    return results.agg(F.count("*").alias("suites"), F.count_if(~F.col("passed")).alias("failed"), F.coalesce(F.bool_and("passed"), F.lit(True)).alias("passed"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..operators import animation, dither, frames, histogram, palette, remap, report, stencil
+from ..operators import animation, dither, frames, histogram, levels, palette, remap, report, stencil
 from ..sources import png
 from .views import PX, pixels, sql_difference, sql_internal, sql_mse_of, table, with_internal
 
@@ -580,3 +580,44 @@ def animation_quantize(spark, sf_dir):
     from . import animate, quantize
 
     return animate.quantize_animations(*_blending(spark, sf_dir), quantize.Options(speed=10, max_colours=16, dither=0.0)).drop("content")
+
+
+_levels = "least(greatest(2 + image_id * 10 * 30 // 100 - 2, 2), 32)"
+
+
+def _sql_level(c: str, n: str) -> str:
+    return f"cast(floor(floor({c} / 255.0::double * ({n} - 1)::double + 0.5::double) / ({n} - 1)::double * 255.0::double + 0.5::double) as bigint) as {c}"
+
+
+@query(f"with {PX}, lv as (select *, {_levels} as n, greatest({_levels} // 2, 4) as m from px) select {longs('image_id', 'y', 'x')}, {', '.join(_sql_level(c, 'n') for c in 'rgb')}, {_sql_level('a', 'm')} from lv")
+def level_quantize(spark, sf_dir):
+    return levels.levelled(pixels(spark, sf_dir), levels.levels_of(F.col("image_id") * 10, F.lit(4)))
+
+
+@query()
+def level_quantize_diffused(spark, sf_dir):
+    return levels.levelled_diffused(pixels(spark, sf_dir), 8)
+
+
+@query("""select cast(l_orderkey as bigint) as sample_id, sum(l_extendedprice * (1 - l_discount)) as candidate, sum(l_extendedprice) as baseline from lineitem group by l_orderkey""".replace("select cast", "with b as (select cast", 1) + ") select sample_id, round(candidate, 4) as candidate, round(baseline, 4) as baseline, round((candidate - baseline) / baseline, 9) as delta_vs_baseline from b")
+def baseline_deltas(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumn("sample_id", F.col("l_orderkey").cast("long"))
+    run = lambda v: li.groupBy("sample_id").agg(F.sum(v).alias("size"))
+    got = report.deltas(run(F.col("l_extendedprice") * (1 - F.col("l_discount"))), run(F.col("l_extendedprice")), "size")
+    return got.select("sample_id", *(F.round(c, 4).alias(c) for c in ("candidate", "baseline")), F.round("delta_vs_baseline", 9).alias("delta_vs_baseline"))
+
+
+@query("""with r as (select o_orderkey, case o_orderkey % 7 when 0 then 'Q_HIGH' when 1 then 'Q_LOW' when 2 then 'FAST' when 3 then 'NO_DITHER' when 4 then 'FUNC_BASE' when 5 then 'Q_MED' else 'OTHER' end as profile from orders)
+select o_orderkey, profile, case profile when 'Q_HIGH' then '70-90' when 'Q_LOW' then '35-55' when 'FUNC_BASE' then null else '55-75' end as quality, cast(case profile when 'Q_HIGH' then 3 when 'Q_LOW' then 6 when 'FAST' then 10 else 4 end as bigint) as speed,
+ case profile when 'NO_DITHER' then 'nofs' else 'fs' end as dither from r""")
+def profile_parameters(spark, sf_dir):
+    names = F.array(*(F.lit(n) for n in ("Q_HIGH", "Q_LOW", "FAST", "NO_DITHER", "FUNC_BASE", "Q_MED", "OTHER")))
+    return report.profiled(table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(names, (F.col("o_orderkey") % 7 + 1).cast("int")).alias("profile")))
+
+
+@query("""with r as (select case when event_id % 4 = 0 then null else event_id % 4 = 1 end as expected, event_id % 3 as code, event_type = 'purchase' and event_id % 11 = 0 as crash from events)
+select count(*) as cases, count(*) filter (crash) as crash_like, count(*) filter (case when expected then code <> 0 when not expected then code = 0 else false end) as failures, not bool_or(crash or case when expected then code <> 0 when not expected then code = 0 else false end) as passed from r""")
+def stability_counts(spark, sf_dir):
+    n = F.col("event_id")
+    crash = (F.col("event_type") == "purchase") & (n % 11 == 0)
+    return report.stability(table(spark, sf_dir, "events").select(F.when(n % 4 != 0, n % 4 == 1).alias("expected_success"), (n % 3).alias("exit_code"), F.when(crash, "thread PANICked").alias("stderr"), F.lit(False).alias("signalled")))
