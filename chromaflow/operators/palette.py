@@ -7,7 +7,7 @@ grouped numpy function per image.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,7 @@ PALETTE = "image_id long, idx long, qa double, qr double, qg double, qb double,
 
 @dataclass(frozen=True)
 class Search:
-    """Budgets: colours, largest and wanted error, trials, k-means steps and their limit."""
+    """Budgets: colours, largest and wanted error, trials, k-means steps and their limit, bits that the output loses."""
 
     colours: int = 256
     most_error: float = 1e20
@@ -26,12 +26,23 @@ class Search:
     trials: int = 20
     iterations: int = 12
     limit: float = 2.0**-19
+    output_bits: int = 0
 
     @classmethod
-    def of_speed(cls, speed: int, colours: int = 256, most_error: float = 1e20, target_error: float = 0.0) -> Search:
+    def of_speed(cls, speed: int, colours: int = 256, most_error: float = 1e20, target_error: float = 0.0, output_bits: int = 0) -> Search:
         s = min(speed, 10)
         i = max(8 - s, 0)
-        return cls(colours, most_error, target_error, max(56 - 9 * s, 0), i + i * i // 2, 2.0 ** -(23 - s))
+        return cls(colours, most_error, target_error, max(56 - 9 * s, 0), i + i * i // 2, 2.0 ** -(23 - s), output_bits)
+
+    def for_items(self, n: int) -> Search:
+        """The budgets of a histogram of ``n`` entries: fewer trials and steps where it is large, errors no finer than the output."""
+        trials, iterations = self.trials, self.iterations
+        for limit in (5_000, 25_000, 50_000, 100_000):
+            if n > limit:
+                trials, iterations = -(-trials * 3 // 4), -(-iterations * 3 // 4)
+        most = self.most_error * (0.33 if n <= self.colours else 1.0)
+        target = min(max(self.target_error, (2.0**self.output_bits / 1024.0) ** 2), most)
+        return replace(self, trials=trials, iterations=iterations, limit=self.limit * (2.0 if n > 100_000 else 1.0), most_error=most, target_error=target)
 
 
 def differences(one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -45,10 +56,16 @@ def differences(one: np.ndarray, other: np.ndarray) -> np.ndarray:
 def nearest(items: np.ndarray, palette: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index, error) of the nearest palette entry of each item, in blocks of bounded size."""
     idx, err = np.zeros(len(items), np.int64), np.zeros(len(items))
-    for a in range(0, len(items), 4096):
-        d = differences(items[a : a + 4096], palette)
-        idx[a : a + 4096] = d.argmin(1)
-        err[a : a + 4096] = d.min(1)
+    for a in range(0, len(items), 512):
+        own = items[a : a + 512]
+        da = palette[None, :, 0] - own[:, 0, None]
+        d = 0.0
+        for c in (1, 2, 3):
+            black = own[:, c, None] - palette[None, :, c]
+            white = black + da
+            d = d + np.maximum(black * black, white * white)
+        best = d.argmin(1)
+        idx[a : a + 512], err[a : a + 512] = best, d[np.arange(len(own)), best]
     return idx, err
 
 
@@ -114,6 +131,7 @@ def best_palette(items: np.ndarray, weight: np.ndarray, search: Search) -> tuple
     """Median cut and k-means in trials; items that fit badly weigh more in the next; the best is kept and refined."""
     if len(items) <= search.colours and search.target_error <= 0:
         return items, weight, 0.0
+    search = search.for_items(len(items))
     adapted = weight.copy()
     best: tuple[np.ndarray, np.ndarray, float] | None = None
     colours, aim, left = search.colours, search.target_error * 1.05, search.trials

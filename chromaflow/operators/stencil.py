@@ -21,10 +21,10 @@ def second_difference(c: Column, over) -> Column:
     return F.abs(2 * c - F.coalesce(F.lag(c).over(over), c) - F.coalesce(F.lead(c).over(over), c))
 
 
-def contrast(px: DataFrame, channels: tuple[str, ...] = ("r", "g", "b", "a")) -> DataFrame:
-    """noise and edge (0..255) of each pixel from the largest second difference of any channel (0..1)."""
-    across = reduce(F.greatest, [second_difference(F.col(c) / 255.0, along_x()) for c in channels])
-    down = reduce(F.greatest, [second_difference(F.col(c) / 255.0, along_y()) for c in channels])
+def contrast(px: DataFrame, channels: tuple[str, ...] = ("r", "g", "b", "a"), whole: float = 255.0) -> DataFrame:
+    """noise and edge (0..255) of each pixel from the largest second difference of any channel (0..``whole``)."""
+    across = reduce(F.greatest, [second_difference(F.col(c) / whole, along_x()) for c in channels])
+    down = reduce(F.greatest, [second_difference(F.col(c) / whole, along_y()) for c in channels])
     got = px.withColumn("h", across).withColumn("v", down)
     edge = F.greatest("h", "v")
     z = 1 - F.greatest(edge - F.abs(F.col("h") - F.col("v")) * 0.5, F.least("h", "v"))
@@ -53,9 +53,9 @@ def blurred(plane: DataFrame, column: str, over, axis: str) -> DataFrame:
     return plane.withColumn(column, F.floor(total / 6).cast("long"))
 
 
-def importance_maps(px: DataFrame) -> DataFrame:
+def importance_maps(px: DataFrame, channels: tuple[str, ...] = ("r", "g", "b", "a"), whole: float = 255.0) -> DataFrame:
     """noise and edge planes after the chain of maxima, blur and minima."""
-    plane = contrast(px).select("image_id", "y", "x", "noise", "edge")
+    plane = contrast(px, channels, whole).select("image_id", "y", "x", "noise", "edge")
     for largest in (True, True):
         plane = plus_extreme(plane, "noise", largest)
     plane = blurred(blurred(plane, "noise", along_x(), "x"), "noise", along_y(), "y")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from chromaflow.operators import dither, frames, histogram, palette, remap
 from chromaflow.plans import catalogue, quantize
 from chromaflow.plans.views import pixels, with_internal
+from chromaflow.sources import png
 
 
 def test_median_cut_and_search():
@@ -62,3 +63,30 @@ def test_quantize_end_to_end(spark, sf_dir):
     assert (got["colours"] <= 8).all() and (got["status"] == "ok").all() and got["score"].between(0, 100).all()
     strict = quantize.quantize(px, quantize.Options(speed=10, max_colours=2, min_quality=99, max_quality=100, dither=0.0)).toPandas()
     assert (strict["exit_code"] == 98).all()
+
+
+def test_quantize_follows_its_speed(spark, sf_dir):
+    """At the default speed the maps weigh the histogram, entries are used and ordered, and the file holds what was scored."""
+    assert quantize.Options().contrast and not quantize.Options(speed=8).contrast
+    px = pixels(spark, sf_dir).filter("image_id < 1")
+    got = quantize.quantize(px, quantize.Options(max_colours=12)).toPandas().iloc[0]
+    back = png.decode(bytes(got["content"]))
+    colours, counts = np.unique(back.still.reshape(-1, 4), axis=0, return_counts=True)
+    assert back.is_indexed and got["colours"] == len(colours) <= 12 and got["score"] > 0
+    plte = dict(png.chunks(bytes(got["content"])))[b"PLTE"]
+    shown = [tuple(plte[k : k + 3]) for k in range(0, len(plte), 3)]
+    assert len(shown) == len(colours)
+    n = {tuple(c[:3].tolist()): (c[3] < 255, k) for c, k in zip(colours, counts.tolist())}
+    assert [n[c] for c in shown] == sorted((n[c] for c in shown), reverse=True)
+    maps = quantize.with_maps(px, quantize.Options())
+    assert maps.select("noise").distinct().count() > 1 and maps.select("edge").distinct().count() > 1
+    plain = maps.withColumn("idx", F.lit(0).cast("long"))
+    ours = quantize.strengths(plain, quantize.Options()).agg(F.sum("strength")).first()[0]
+    assert ours < dither.dither_map(plain.withColumn("edge", F.lit(255))).agg(F.sum("strength")).first()[0]
+    assert {r.strength for r in quantize.strengths(plain, quantize.Options(speed=7)).collect()} == {255}
+
+
+def test_search_budgets():
+    """Large histograms back off, and no error finer than the output's bits is asked for."""
+    own = palette.Search(trials=20, iterations=12).for_items(30_000)
+    assert (own.trials, own.iterations) == (12, 7) and own.target_error == 2.0**-20
