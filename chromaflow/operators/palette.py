@@ -96,14 +96,18 @@ def median_cut(items: np.ndarray, weight: np.ndarray, colours: int, target: floa
     """(palette, popularity): the box that spreads most is halved until there are enough or the error is reached."""
     boxes = [_Box(items, weight, np.arange(len(items)))]
     total = float(weight.sum())
+    spread = lambda b: b.weight * b.variance.sum() * (max(b.worst / most, 1.0) if most < 1e19 else 1.0) if len(b.rows) > 1 else -1.0
+    score, errors = [spread(b) for b in boxes], [b.error for b in boxes]
     while len(boxes) < colours:
-        score = [b.weight * b.variance.sum() * (max(b.worst / most, 1.0) if most < 1e19 else 1.0) if len(b.rows) > 1 else -1.0 for b in boxes]
         k = len(score) - 1 - int(np.argmax(score[::-1]))
-        if score[k] < 0 or (target > 0 and sum(b.error for b in boxes) / total <= target):
+        if score[k] < 0 or (target > 0 and sum(errors) / total <= target):
             break
         low, high = boxes[k].halves(items, weight)
         boxes[k] = _Box(items, weight, low)
         boxes.append(_Box(items, weight, high))
+        score[k], errors[k] = spread(boxes[k]), boxes[k].error
+        score.append(spread(boxes[-1]))
+        errors.append(boxes[-1].error)
     palette = np.stack([items[b.rows][differences(items[b.rows], b.mean[None])[:, 0].argmin()] if len(b.rows) > 2 else b.mean for b in boxes])
     return palette, np.array([b.weight for b in boxes])
 

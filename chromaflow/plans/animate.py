@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..operators import animation, dither, histogram, palette, remap
+from ..operators import animation, dither, palette, remap
 from ..operators.frames import UNDER, canvas_cells, composed
 from ..sources import png
 from ..sources.shared import written
-from .quantize import Options, _mse
+from .quantize import Options, _mse, histograms
 from .views import with_internal
 
 KEY = ["anim", "frame_no"]
@@ -23,14 +25,14 @@ def global_palettes(frames: DataFrame, drawn: DataFrame, options: Options = Opti
     Where a frame blends over and there are more than two colours, one entry is reserved, and is transparent unless the
     palette has such an entry of its own.
     """
-    search = palette.Search.of_speed(options.speed, options.max_colours, _mse(options.min_quality), _mse(options.max_quality))
+    search = palette.Search.of_speed(options.speed, options.max_colours, _mse(options.min_quality), _mse(options.max_quality), options.posterize)
     # frames in order, then the scan order in a frame: the first pixel of a colour stands for it
-    px = drawn.select(F.col("anim").alias("image_id"), ((F.col("frame_no") + 1) * (1 << 32) + F.col("y")).alias("y"), "x", *"rgba")
-    items = with_internal(histogram.finalized(histogram.colour_histogram(px, options.input_bits))).select("image_id", *(f"p{c}" for c in "argb"), "weight")
+    px = drawn.select(F.col("anim").alias("image_id"), ((F.col("frame_no") + 1) * (1 << 32) + F.col("y")).alias("y"), "x", *"rgba", F.lit(255).cast("long").alias("noise"))
+    items = with_internal(histograms(px, options)).select("image_id", *(f"p{c}" for c in "argb"), "weight")
     over = frames.filter("blend = 'over'").select(F.col("anim").alias("image_id")).distinct()
     if options.max_colours <= 2:
         return palette.search_palettes(items, search)
-    fewer = palette.Search(search.colours - 1, search.most_error, search.target_error, search.trials, search.iterations, search.limit)
+    fewer = replace(search, colours=search.colours - 1)
     reserved = palette.search_palettes(items.join(over, "image_id", "left_semi"), fewer)
     clear = E.is_transparent(E.colour("q"))
     lacking = reserved.groupBy("image_id").agg(F.count_if(clear).alias("clear"), F.count("*").alias("idx")).filter("clear = 0")

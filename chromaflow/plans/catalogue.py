@@ -478,7 +478,12 @@ def median_cut_palette(spark, sf_dir):
 
 @query()
 def find_best_palette(spark, sf_dir):
-    return palette.search_palettes(_items(spark, sf_dir), palette.Search.of_speed(8, colours=16))
+    """The search of the default speed, 256 colours, over the histogram that this speed takes."""
+    from . import quantize
+
+    options = quantize.Options()
+    items = with_internal(quantize.histograms(pixels(spark, sf_dir).withColumn("noise", F.lit(255).cast("long")), options))
+    return palette.search_palettes(items.select("image_id", *(f"p{c}" for c in "argb"), "weight"), palette.Search.of_speed(options.speed, options.max_colours))
 
 
 @query()
@@ -511,7 +516,7 @@ def quantize_images(spark, sf_dir):
     """End to end: histogram, palette search, remap, score, encode; one row per image."""
     from . import quantize
 
-    return quantize.quantize(pixels(spark, sf_dir), quantize.Options(speed=8, max_colours=16)).drop("content")
+    return quantize.quantize(pixels(spark, sf_dir), quantize.Options()).drop("content")
 
 
 def _animation(spark, sf_dir, colour=None):
@@ -579,7 +584,7 @@ def animation_quantize(spark, sf_dir):
     """End to end: fold, trim, one palette, background-aware remap, worst score, encode; one row per animation."""
     from . import animate, quantize
 
-    return animate.quantize_animations(*_blending(spark, sf_dir), quantize.Options(speed=10, max_colours=16, dither=0.0)).drop("content")
+    return animate.quantize_animations(*_blending(spark, sf_dir), quantize.Options()).drop("content")
 
 
 _levels = "least(greatest(2 + image_id * 10 * 30 // 100 - 2, 2), 32)"

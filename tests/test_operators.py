@@ -90,3 +90,24 @@ def test_search_budgets():
     """Large histograms back off, and no error finer than the output's bits is asked for."""
     own = palette.Search(trials=20, iterations=12).for_items(30_000)
     assert (own.trials, own.iterations) == (12, 7) and own.target_error == 2.0**-20
+
+
+def test_trials_lower_the_error():
+    rng = np.random.default_rng(1)
+    items, weight = rng.random((1500, 4)) * 0.6, rng.random(1500) + 0.1
+    once = palette.best_palette(items, weight, palette.Search(colours=32, trials=0, iterations=0))[2]
+    tried = palette.best_palette(items, weight, palette.Search(colours=32, trials=20, iterations=0))[2]
+    assert tried < once and palette.best_palette(items, weight, palette.Search.of_speed(4, 32))[2] < tried
+
+
+def test_registered_searches_are_whole(spark, sf_dir):
+    """The registered search has the colours, bits and trials of the default speed: as good as the search on unmasked pixels."""
+    got = catalogue.QUERIES["find_best_palette"](spark, sf_dir).filter("image_id = 0").toPandas()
+    items = with_internal(histogram.finalized(histogram.colour_histogram(pixels(spark, sf_dir).filter("image_id = 0")))).toPandas().sort_values(["pa", "pr", "pg", "pb"])
+    items, weight = items[["pa", "pr", "pg", "pb"]].to_numpy(), items["weight"].to_numpy()
+    assert len(items) > 256 >= len(got) > 200
+    want = palette.best_palette(items, weight, palette.Search.of_speed(4))[2]
+    assert abs(got["error"].iloc[0] - want) < 1e-12
+    assert want < palette.best_palette(items, weight, palette.Search.of_speed(8))[2]
+    images = catalogue.QUERIES["quantize_images"](spark, sf_dir).toPandas()
+    assert (images["colours"] > 200).all() and (images["score"] > 2).all()
