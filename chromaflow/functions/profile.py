@@ -64,6 +64,24 @@ def transforms(info: DataFrame) -> DataFrame:
     return info.select("path", "metadata").mapInPandas(run, "path string, transform array<double>")
 
 
+def kept(metadata) -> list[dict]:
+    """A file's (kind, body) chunks as they hold for its pixels in sRGB: colours that were converted are stated as sRGB."""
+    rows = [{"kind": m["kind"], "body": bytes(m["body"])} for m in (metadata if metadata is not None else [])]
+    if transform_of(rows) is None:
+        return rows
+    return [m for m in rows if m["kind"] not in ("gAMA", "cHRM", "iCCP", "sRGB")] + [{"kind": "sRGB", "body": b"\0"}]
+
+
+def kept_metadata(info: DataFrame) -> DataFrame:
+    """path and the metadata to write of each image of ``info`` (path, metadata)."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"path": pdf["path"], "metadata": [kept(m) for m in pdf["metadata"]]})
+
+    return info.select("path", "metadata").mapInPandas(run, "path string, metadata array<struct<kind:string,body:binary>>")
+
+
 def normalised(px: DataFrame, info: DataFrame) -> DataFrame:
     """``px`` (path, ..., r, g, b, a) with its colours in sRGB where its image states others."""
     t = F.col("_transform")

@@ -60,11 +60,12 @@ def kept_where_as_near(indexed: DataFrame, palettes: DataFrame) -> DataFrame:
     return got.withColumn("idx", F.when(F.col("_keep"), F.col("_clear")).otherwise(F.col("idx"))).drop("_keep", "_clear")
 
 
-def quantize_animations(sizes: DataFrame, frames: DataFrame, drawn: DataFrame, options: Options = Options(), mode: str = "safe", optimise: bool = True) -> DataFrame:
+def quantize_animations(sizes: DataFrame, frames: DataFrame, drawn: DataFrame, options: Options = Options(), mode: str = "safe", optimise: bool = True, files: DataFrame | None = None) -> DataFrame:
     """anim, frames, colours, mse, score (of the worst frame), status, exit_code, size_bytes, content of each animation.
 
     ``anim`` is a LONG. Repeated frames are folded; then ``mode`` safe trims transparent borders, aggressive shrinks frames
     to what changes where no composite changes. Files that are indexed already keep their frames: ``optimise`` False.
+    Animations that come from ``files`` (anim, plays, metadata) keep both.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
@@ -94,7 +95,7 @@ def quantize_animations(sizes: DataFrame, frames: DataFrame, drawn: DataFrame, o
     worst = worst.select(F.col("image_id").alias("anim"), "frames", F.col("w.score").alias("score"), F.when(F.col("w.score") < 100, F.col("w.mse")).otherwise(0.0).alias("mse"))
 
     named = lambda df: df.withColumnRenamed("image_id", "anim")
-    files = png.encoded_animations(named(indexed), frames, named(entries), sizes, options.speed).withColumn("size_bytes", F.length("content").cast("long"))
+    files = png.encoded_animations(named(indexed), frames, named(entries), sizes, options.speed, files).withColumn("size_bytes", F.length("content").cast("long"))
     counts = named(entries).groupBy("anim").agg(F.count("*").alias("colours"))
     got = files.join(worst, "anim").join(counts, "anim").join(in_bytes, "anim").withColumn("min_score", F.lit(options.min_quality))
     out_bytes = F.col("size_bytes") if options.skip_if_larger else F.lit(0)

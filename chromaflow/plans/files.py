@@ -18,7 +18,8 @@ OUT = ("path", "frames", "colours", "mse", "score", "status", "exit_code", "size
 def process_files(files: DataFrame, options: Options = Options(), mode: str = "safe") -> DataFrame:
     """path, frames, colours, mse, score, status, exit_code, size_bytes, content of each file (path, content).
 
-    Files that cannot be decoded have status decode and no content. Colours are brought to sRGB first. Indexed animations
+    Files that cannot be decoded have status decode and no content. Colours are brought to sRGB first; metadata and play counts are
+    kept, colours that were converted are stated as sRGB. Indexed animations
     keep their frames; those of them with frames smaller than the canvas are returned as they came, with score 100.
     ``path`` is unique; files are keyed by its 64-bit hash.
     """
@@ -28,10 +29,11 @@ def process_files(files: DataFrame, options: Options = Options(), mode: str = "s
     ready = info.filter("status = 'ok'").join(files.select("path", "content"), "path")
     listed = png.animation_frames(ready)
     moving = listed.select("path").distinct()
+    origin = written(info.drop("metadata").join(profile.kept_metadata(info), "path").select("id", "plays", "metadata"), "origin")
     px = written(profile.normalised(png.image_pixels(ready), info), "file-pixels")
 
     still = px.join(moving, "path", "left_anti").join(ids, "path").select(F.col("id").alias("image_id"), "y", "x", *"rgba")
-    singles = quantize(still, options).withColumnRenamed("image_id", "id").withColumn("frames", F.lit(1).cast("long"))
+    singles = quantize(still, options, origin.withColumnRenamed("id", "image_id")).withColumnRenamed("image_id", "id").withColumn("frames", F.lit(1).cast("long"))
 
     settled = info.filter("is_indexed and has_subrect_frames")
     keyed = lambda df: df.join(ids, "path").withColumnRenamed("id", "anim").drop("path")
@@ -41,7 +43,7 @@ def process_files(files: DataFrame, options: Options = Options(), mode: str = "s
         these = own.select("path")
         sizes = own.select(F.col("id").alias("anim"), "width", "height")
         frames, drawn = (written(keyed(df.join(these, "path", "left_semi")), "animation") for df in (listed, px))
-        parts.append(quantize_animations(sizes, frames, drawn, options, mode, optimise).withColumnRenamed("anim", "id"))
+        parts.append(quantize_animations(sizes, frames, drawn, options, mode, optimise, origin.withColumnRenamed("id", "anim")).withColumnRenamed("anim", "id"))
     columns = ["id", *OUT[1:]]
     done = singles.select(*columns).unionByName(parts[0].select(*columns)).unionByName(parts[1].select(*columns)).join(ids, "id").select(*OUT)
     kept = settled.join(files.select("path", "content"), "path").select(

@@ -109,11 +109,12 @@ def strengths(plain: DataFrame, options: Options) -> DataFrame:
     return made.unionByName(whole.join(plain.filter("edge is null").select("image_id").distinct(), "image_id", "left_semi"))
 
 
-def quantize(px: DataFrame, options: Options = Options()) -> DataFrame:
+def quantize(px: DataFrame, options: Options = Options(), files: DataFrame | None = None) -> DataFrame:
     """image_id, colours, mse, score, status, exit_code, size_bytes, content of each image of ``px`` (image_id, y, x, r, g, b, a).
 
     Colours are weighed by the contrast maps of the speed. With dithering the palette first moves to the means of its
     pixels and is then rounded; without, it is rounded first. Entries without a pixel are dropped, the others reordered.
+    Images that come from ``files`` (image_id, metadata) keep their metadata.
     """
     search = palette.Search.of_speed(options.speed, options.max_colours, _mse(options.min_quality), _mse(options.max_quality), options.posterize)
     source = written(with_maps(px.select("image_id", "y", "x", *"rgba"), options), "maps")
@@ -136,7 +137,7 @@ def quantize(px: DataFrame, options: Options = Options()) -> DataFrame:
     moved = indexed.withColumnRenamed("idx", "old").join(colours.select("image_id", "old", "idx", *"rgba"), ["image_id", "old"])
     seen = with_internal(moved, "o").select("image_id", "y", "x", *(f"o{c}" for c in "argb"))
     scores = remap.quality(own.join(seen, ["image_id", "y", "x"]))
-    files = png.encoded_images(moved, colours, options.speed).withColumn("size_bytes", F.length("content").cast("long"))
+    files = png.encoded_images(moved, colours, options.speed, files).withColumn("size_bytes", F.length("content").cast("long"))
     counts = colours.groupBy("image_id").agg(F.count("*").alias("colours"))
     sizes = px.groupBy("image_id").agg((F.count("*") * 4).alias("in_bytes"))
     got = files.join(scores, "image_id").join(counts, "image_id").join(sizes, "image_id").withColumn("min_score", F.lit(options.min_quality))

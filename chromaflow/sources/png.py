@@ -247,15 +247,24 @@ def _palette_chunks(palette: np.ndarray) -> bytes:
     return out + (chunk(b"tRNS", alpha[: some[-1] + 1].tobytes()) if len(some) else b"")
 
 
+def _kept_chunks(metadata: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+    """Metadata that goes before the palette, and texts that follow it."""
+    meta = dict(metadata)
+    lead = [b"pHYs", b"sRGB"] if b"sRGB" in meta else [b"pHYs", b"gAMA", b"cHRM", b"iCCP"]
+    return b"".join(chunk(k, meta[k]) for k in (*lead, b"eXIf") if k in meta), b"".join(chunk(k, body) for k, body in metadata if k in (b"tEXt", b"zTXt", b"iTXt"))
+
+
+def _metadata_of(rows) -> list[tuple[bytes, bytes]]:
+    """(kind, body) of a metadata column's value; none of null."""
+    return [(m["kind"].encode("latin-1"), bytes(m["body"])) for m in (rows if rows is not None else [])]
+
+
 def encode_indexed(indices: np.ndarray, palette: np.ndarray, speed: int = 4, metadata: list[tuple[bytes, bytes]] = ()) -> bytes:
     """An indexed PNG of (h, w) indices and (n, 4) bytes."""
     h, w = indices.shape
     depth = depth_of(len(palette))
-    meta = dict(metadata)
-    lead = [b"pHYs", b"sRGB"] if b"sRGB" in meta else [b"pHYs", b"gAMA", b"cHRM", b"iCCP"]
-    out = SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, 3, 0, 0, 0))
-    out += b"".join(chunk(k, meta[k]) for k in (*lead, b"eXIf") if k in meta) + _palette_chunks(palette)
-    out += b"".join(chunk(k, body) for k, body in metadata if k in (b"tEXt", b"zTXt", b"iTXt"))
+    before, after = _kept_chunks(metadata)
+    out = SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, 3, 0, 0, 0)) + before + _palette_chunks(palette) + after
     return out + chunk(b"IDAT", _deflated(packed(indices, depth), speed)) + chunk(b"IEND", b"")
 
 
@@ -273,8 +282,9 @@ def encode_animation(png: Png, palette: np.ndarray | None = None, speed: int = 4
     if png.still is None and (first.rgba.shape[:2] != (png.height, png.width) or first.x_off or first.y_off):
         raise PngError("the first frame must fill the canvas")
     out = SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", png.width, png.height, 8, 6 if palette is None else 3, 0, 0, 0))
-    out += chunk(b"acTL", struct.pack(">II", len(png.frames), png.plays))
-    out += b"" if palette is None else _palette_chunks(palette)
+    before, after = _kept_chunks(png.metadata)
+    out += chunk(b"acTL", struct.pack(">II", len(png.frames), png.plays)) + before
+    out += (b"" if palette is None else _palette_chunks(palette)) + after
 
     def body(image: np.ndarray) -> bytes:
         flat = image.reshape(len(image), -1).astype(np.uint8)
@@ -302,7 +312,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return found.filter(F.lower("path").rlike(r"\.a?png$")).select("path", "length", "content")
 
 
-INFO = "path string, status string, detail string, width long, height long, frames long, is_indexed boolean, has_subrect_frames boolean, metadata array<struct<kind:string,body:binary>>"
+INFO = "path string, status string, detail string, width long, height long, frames long, is_indexed boolean, has_subrect_frames boolean, plays long, metadata array<struct<kind:string,body:binary>>"
 PIXELS = "path string, frame_no long, y long, x long, r long, g long, b long, a long"
 FRAMES = "path string, frame_no long, w long, h long, x_off long, y_off long, delay_num long, delay_den long, dispose string, blend string"
 
@@ -325,9 +335,9 @@ def image_info(files: DataFrame) -> DataFrame:
         try:
             p = decode(content)
             meta = [{"kind": k.decode("latin-1"), "body": b} for k, b in p.metadata]
-            row = (path, "ok", None, p.width, p.height, max(len(p.frames), 1), p.is_indexed, p.has_subrect_frames, meta)
+            row = (path, "ok", None, p.width, p.height, max(len(p.frames), 1), p.is_indexed, p.has_subrect_frames, p.plays, meta)
         except (PngError, struct.error) as error:
-            row = (path, "decode", str(error), None, None, None, None, None, [])
+            row = (path, "decode", str(error), None, None, None, None, None, None, [])
         return pd.DataFrame([row], columns=[x.split()[0] for x in INFO.split(", ")])
 
     return _each(files, make, INFO)
@@ -364,9 +374,13 @@ def animation_frames(files: DataFrame) -> DataFrame:
     return _each(files, make, FRAMES)
 
 
-def encoded_images(indexed: DataFrame, palette: DataFrame, speed: int = 4) -> DataFrame:
-    """image_id and content: an indexed PNG of (image_id, y, x, idx) and (image_id, idx, r, g, b, a)."""
+def encoded_images(indexed: DataFrame, palette: DataFrame, speed: int = 4, files: DataFrame | None = None) -> DataFrame:
+    """image_id and content: an indexed PNG of (image_id, y, x, idx) and (image_id, idx, r, g, b, a), with the metadata of ``files`` (image_id, metadata)."""
     pixels, colours = indexed.select("image_id", "y", "x", "idx"), palette.select(*(F.col(c).alias(c) for c in ("image_id", "idx", *"rgba")))
+    if files is not None:
+        # an image's metadata goes with its first entry alone
+        first = colours.groupBy("image_id").agg(F.min("idx").alias("idx"))
+        colours = colours.join(first.join(files.select("image_id", "metadata"), "image_id"), ["image_id", "idx"], "left")
 
     def run(key: tuple, pdf: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
@@ -375,21 +389,26 @@ def encoded_images(indexed: DataFrame, palette: DataFrame, speed: int = 4) -> Da
         place = pd.Series(np.arange(len(entries)), entries["idx"].to_numpy())
         h = int(pdf["y"].nunique())
         indices = place[pdf["idx"].to_numpy()].to_numpy().reshape(h, -1)
-        return pd.DataFrame({"image_id": [int(key[0])], "content": [encode_indexed(indices, entries[list("rgba")].to_numpy(np.int64), speed)]})
+        metadata = _metadata_of(entries["metadata"].iloc[0]) if "metadata" in entries else []
+        return pd.DataFrame({"image_id": [int(key[0])], "content": [encode_indexed(indices, entries[list("rgba")].to_numpy(np.int64), speed, metadata)]})
 
     return pixels.groupBy("image_id").cogroup(colours.groupBy("image_id")).applyInPandas(run, "image_id long, content binary")
 
 
-def encoded_animations(indexed: DataFrame, frames: DataFrame, palette: DataFrame, sizes: DataFrame, speed: int = 4) -> DataFrame:
+def encoded_animations(indexed: DataFrame, frames: DataFrame, palette: DataFrame, sizes: DataFrame, speed: int = 4, files: DataFrame | None = None) -> DataFrame:
     """anim and content: an indexed APNG with one palette for all frames.
 
     ``indexed``: anim, frame_no (-1: a default image that is no frame), y, x, idx; ``frames``
-    as :data:`FRAMES` by anim; ``palette``: anim, idx, r, g, b, a; ``sizes``: anim, width, height.
+    as :data:`FRAMES` by anim; ``palette``: anim, idx, r, g, b, a; ``sizes``: anim, width, height;
+    ``files``: anim, plays, metadata, where there are files.
     An animation whose first frame does not fill the canvas and that has no default image has no content.
     """
     listed = frames.groupBy("anim").agg(F.array_sort(F.collect_list(F.struct("frame_no", "w", "h", "x_off", "y_off", "delay_num", "delay_den", "dispose", "blend"))).alias("frames"))
     colours = palette.groupBy("anim").agg(F.array_sort(F.collect_list(F.struct("idx", *"rgba"))).alias("colours"))
-    heads = sizes.join(listed, "anim").join(colours, "anim").select(*(F.col(c).alias(c) for c in ("anim", "width", "height", "frames", "colours")))
+    heads = sizes.join(listed, "anim").join(colours, "anim")
+    if files is not None:
+        heads = heads.join(files.select("anim", "plays", "metadata"), "anim", "left")
+    heads = heads.select(*(F.col(c).alias(c) for c in heads.columns))
 
     def run(key: tuple, pdf: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
         if not len(head):
@@ -402,8 +421,9 @@ def encoded_animations(indexed: DataFrame, frames: DataFrame, palette: DataFrame
         ]
         still = planes[-1].reshape(int(own["height"]), int(own["width"])) if -1 in planes else None
         entries = np.array([[c[k] for k in "rgba"] for c in own["colours"]], np.int64)
+        plays, metadata = (int(own["plays"]), _metadata_of(own["metadata"])) if "plays" in own and pd.notna(own["plays"]) else (0, [])
         try:
-            content = encode_animation(Png(int(own["width"]), int(own["height"]), still, shown), entries, speed)
+            content = encode_animation(Png(int(own["width"]), int(own["height"]), still, shown, plays, metadata), entries, speed)
         except PngError:
             content = None
         return pd.DataFrame({"anim": [key[0]], "content": [content]})

@@ -1,5 +1,8 @@
 """A folder of stills, animations and damaged files, processed at once."""
 
+import struct
+import zlib
+
 import numpy as np
 
 from chromaflow.plans import files, quantize
@@ -22,3 +25,19 @@ def test_process_files(spark):
     assert png.decode(bytes(got["s.png"]["content"])).still.shape == (6, 5, 4) and got["s.png"]["colours"] <= 8
     back = png.decode(bytes(got["a.png"]["content"]))
     assert got["a.png"]["frames"] == 2 and np.abs(back.frames[1].rgba.astype(int) - dot).max() <= 4
+
+
+def test_files_keep_metadata_and_plays(spark):
+    """Profiles, resolutions, texts and play counts come out; colours that were converted are stated as sRGB."""
+    rng = np.random.default_rng(3)
+    kinds = {b"pHYs": struct.pack(">IIB", 2835, 2835, 1), b"tEXt": b"Title\0one", b"iCCP": b"own\0\0" + zlib.compress(b"profile")}
+    stated = {b"gAMA": struct.pack(">I", 50000), b"cHRM": struct.pack(">8I", 31270, 32900, 64000, 33000, 21000, 71000, 15000, 6000), b"tEXt": b"Title\0two"}
+    idx, palette = rng.integers(0, 4, (5, 6)), np.array([[255, 0, 0, 255], [0, 99, 0, 255], [0, 0, 255, 255], [9, 9, 9, 255]])
+    red, blue = (np.tile(c, (4, 4, 1)) for c in ([255, 0, 0, 255], [0, 0, 255, 255]))
+    once = png.Png(4, 4, None, [png.Frame(red, delay_num=1), png.Frame(blue, delay_num=1)], 3, list(kinds.items()))
+    content = {"p.png": png.encode_indexed(idx, palette, 4, list(kinds.items())), "g.png": png.encode_indexed(idx, palette, 4, list(stated.items())), "a.png": png.encode_animation(once)}
+    rows = spark.createDataFrame([(k, bytearray(v)) for k, v in content.items()], "path string, content binary")
+    got = {r["path"]: png.decode(bytes(r["content"])) for r in files.process_files(rows, quantize.Options(speed=10, max_colours=8, dither=0.0)).collect()}
+    assert dict(got["p.png"].metadata) == kinds
+    assert dict(got["g.png"].metadata) == {b"sRGB": b"\0", b"tEXt": b"Title\0two"}
+    assert got["a.png"].plays == 3 and dict(got["a.png"].metadata) == kinds
