@@ -65,11 +65,12 @@ def quantize_animations(sizes: DataFrame, frames: DataFrame, drawn: DataFrame, o
 
     ``anim`` is a LONG. Repeated frames are folded; then ``mode`` safe trims transparent borders, aggressive shrinks frames
     to what changes where no composite changes. Files that are indexed already keep their frames: ``optimise`` False.
-    Animations that come from ``files`` (anim, plays, metadata) keep both.
+    Animations that come from ``files`` (anim, plays, metadata, in_bytes) keep both, and the size gate compares with the
+    file; where there is none, with four bytes a pixel.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
-    in_bytes = drawn.groupBy("anim").agg((F.count("*") * 4).alias("in_bytes"))
+    in_bytes = drawn.groupBy("anim").agg((F.count("*") * 4).alias("in_bytes")) if files is None else files.select("anim", "in_bytes")
     if optimise:
         frames, drawn = animation.folded_frames(sizes, frames, drawn)
         frames, drawn = (animation.trimmed_frames if mode == "safe" else animation.checked_minimised_frames)(sizes, frames, drawn)
@@ -95,8 +96,8 @@ def quantize_animations(sizes: DataFrame, frames: DataFrame, drawn: DataFrame, o
     worst = worst.select(F.col("image_id").alias("anim"), "frames", F.col("w.score").alias("score"), F.when(F.col("w.score") < 100, F.col("w.mse")).otherwise(0.0).alias("mse"))
 
     named = lambda df: df.withColumnRenamed("image_id", "anim")
-    files = png.encoded_animations(named(indexed), frames, named(entries), sizes, options.speed, files).withColumn("size_bytes", F.length("content").cast("long"))
+    encoded = png.encoded_animations(named(indexed), frames, named(entries), sizes, options.speed, files).withColumn("size_bytes", F.length("content").cast("long"))
     counts = named(entries).groupBy("anim").agg(F.count("*").alias("colours"))
-    got = files.join(worst, "anim").join(counts, "anim").join(in_bytes, "anim").withColumn("min_score", F.lit(options.min_quality))
+    got = encoded.join(worst, "anim").join(counts, "anim").join(in_bytes, "anim").withColumn("min_score", F.lit(options.min_quality))
     out_bytes = F.col("size_bytes") if options.skip_if_larger else F.lit(0)
     return remap.gated(got.withColumn("out_bytes", out_bytes)).select("anim", "frames", "colours", "mse", "score", "status", "exit_code", "size_bytes", "content")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..functions import profile
+from ..operators import remap
 from ..sources import png
 from ..sources.shared import written
 from .animate import quantize_animations
@@ -29,7 +30,7 @@ def process_files(files: DataFrame, options: Options = Options(), mode: str = "s
     ready = info.filter("status = 'ok'").join(files.select("path", "content"), "path")
     listed = png.animation_frames(ready)
     moving = listed.select("path").distinct()
-    origin = written(info.drop("metadata").join(profile.kept_metadata(info), "path").select("id", "plays", "metadata"), "origin")
+    origin = written(info.drop("metadata").join(profile.kept_metadata(info), "path").join(files.select("path", F.length("content").cast("long").alias("in_bytes")), "path").select("id", "plays", "metadata", "in_bytes"), "origin")
     px = written(profile.normalised(png.image_pixels(ready), info), "file-pixels")
 
     still = px.join(moving, "path", "left_anti").join(ids, "path").select(F.col("id").alias("image_id"), "y", "x", *"rgba")
@@ -46,10 +47,10 @@ def process_files(files: DataFrame, options: Options = Options(), mode: str = "s
         parts.append(quantize_animations(sizes, frames, drawn, options, mode, optimise, origin.withColumnRenamed("id", "anim")).withColumnRenamed("anim", "id"))
     columns = ["id", *OUT[1:]]
     done = singles.select(*columns).unionByName(parts[0].select(*columns)).unionByName(parts[1].select(*columns)).join(ids, "id").select(*OUT)
-    kept = settled.join(files.select("path", "content"), "path").select(
-        "path", "frames", F.lit(None).cast("long").alias("colours"), F.lit(0.0).alias("mse"), F.lit(100).cast("long").alias("score"), "status",
-        F.lit(0).cast("long").alias("exit_code"), F.length("content").cast("long").alias("size_bytes"), "content",
-    )
+    same = settled.join(files.select("path", "content"), "path").withColumns({
+        "score": F.lit(100).cast("long"), "min_score": F.lit(options.min_quality), "in_bytes": F.length("content").cast("long"), "size_bytes": F.length("content").cast("long"),
+    }).withColumn("out_bytes", F.col("size_bytes") if options.skip_if_larger else F.lit(0))
+    kept = remap.gated(same).withColumns({"colours": F.lit(None).cast("long"), "mse": F.lit(0.0)}).select(*OUT)
     none = {"frames": "long", "colours": "long", "mse": "double", "score": "long"}
     failed = bad.select("path", *(F.lit(None).cast(t).alias(c) for c, t in none.items()), "status", E.code_of(F.col("status")).alias("exit_code"), F.lit(None).cast("long").alias("size_bytes"), F.lit(None).cast("binary").alias("content"))
     return done.unionByName(kept).unionByName(failed)

@@ -114,7 +114,8 @@ def quantize(px: DataFrame, options: Options = Options(), files: DataFrame | Non
 
     Colours are weighed by the contrast maps of the speed. With dithering the palette first moves to the means of its
     pixels and is then rounded; without, it is rounded first. Entries without a pixel are dropped, the others reordered.
-    Images that come from ``files`` (image_id, metadata) keep their metadata.
+    Images that come from ``files`` (image_id, metadata, in_bytes) keep their metadata, and the size gate compares with the
+    file; where there is none, with four bytes a pixel.
     """
     search = palette.Search.of_speed(options.speed, options.max_colours, _mse(options.min_quality), _mse(options.max_quality), options.posterize)
     source = written(with_maps(px.select("image_id", "y", "x", *"rgba"), options), "maps")
@@ -137,9 +138,9 @@ def quantize(px: DataFrame, options: Options = Options(), files: DataFrame | Non
     moved = indexed.withColumnRenamed("idx", "old").join(colours.select("image_id", "old", "idx", *"rgba"), ["image_id", "old"])
     seen = with_internal(moved, "o").select("image_id", "y", "x", *(f"o{c}" for c in "argb"))
     scores = remap.quality(own.join(seen, ["image_id", "y", "x"]))
-    files = png.encoded_images(moved, colours, options.speed, files).withColumn("size_bytes", F.length("content").cast("long"))
+    encoded = png.encoded_images(moved, colours, options.speed, files).withColumn("size_bytes", F.length("content").cast("long"))
     counts = colours.groupBy("image_id").agg(F.count("*").alias("colours"))
-    sizes = px.groupBy("image_id").agg((F.count("*") * 4).alias("in_bytes"))
-    got = files.join(scores, "image_id").join(counts, "image_id").join(sizes, "image_id").withColumn("min_score", F.lit(options.min_quality))
+    sizes = px.groupBy("image_id").agg((F.count("*") * 4).alias("in_bytes")) if files is None else files.select("image_id", "in_bytes")
+    got = encoded.join(scores, "image_id").join(counts, "image_id").join(sizes, "image_id").withColumn("min_score", F.lit(options.min_quality))
     out_bytes = F.col("size_bytes") if options.skip_if_larger else F.lit(0)
     return remap.gated(got.withColumn("out_bytes", out_bytes)).select("image_id", "colours", "mse", "score", "status", "exit_code", "size_bytes", "content")

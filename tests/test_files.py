@@ -41,3 +41,15 @@ def test_files_keep_metadata_and_plays(spark):
     assert dict(got["p.png"].metadata) == kinds
     assert dict(got["g.png"].metadata) == {b"sRGB": b"\0", b"tEXt": b"Title\0two"}
     assert got["a.png"].plays == 3 and dict(got["a.png"].metadata) == kinds
+
+
+def test_size_gate_compares_with_the_file(spark):
+    """An indexed file that cannot shrink is refused; the same pixels as RGBA shrink and pass."""
+    idx = np.add.outer(np.arange(64), np.arange(64)) // 8 % 4
+    palette = np.array([[255, 0, 0, 255], [0, 99, 0, 255], [0, 0, 255, 255], [9, 9, 9, 255]])
+    noise = np.random.default_rng(4).integers(0, 4, (64, 64))
+    content = {"i.png": png.encode_indexed(idx, palette), "r.png": png.encode_rgba(palette[noise])}
+    rows = spark.createDataFrame([(k, bytearray(v)) for k, v in content.items()], "path string, content binary")
+    got = {r["path"]: r for r in files.process_files(rows, quantize.Options(speed=10, max_colours=8, dither=0.0, skip_if_larger=True)).collect()}
+    assert got["i.png"]["status"] == "output_too_large" and got["i.png"]["exit_code"] == 99
+    assert got["r.png"]["status"] == "ok" and got["r.png"]["size_bytes"] < len(content["r.png"])
