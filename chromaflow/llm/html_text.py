@@ -11,7 +11,8 @@ first, which leaves the same cut.
 Pages are independent, so this is one pass without a shuffle; memory is one batch.
 
 Defined cases: null or empty html gives an empty text with 0 characters; markup
-that never closes runs to the end of its page; repeated rows give repeated
+that never closes runs to the end of its page, but a button, drawing or the like
+that is never closed ends at the next block; repeated rows give repeated
 results; a null page_id or url is passed on; other columns are ignored.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import deque
+from functools import lru_cache
 from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +38,8 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NOT_TEXT = frozenset("script style noscript template svg math iframe object embed canvas audio video map head title textarea select option button datalist".split())
 _RAW = frozenset("script style title textarea noscript iframe template svg math select button".split())
+#: Skipped whole where they close in their own block; what never closes ends at the next block's tag.
+_INERT = frozenset("noscript template svg math select button".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
@@ -51,7 +55,15 @@ _AWAY_WORDS = frozenset(
     newsletter notice notices notification pager paging pagination popup promo promos promotion recommended related reply replies respond search
     share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets""".split()
 )
+#: Words that hold for all inside but in the main element; the other words yield to an article and to names of content.
+_HARD_WORDS = frozenset("ad ads advert comment comments commentlist cookie disqus footer nav navigation sidebar".split())
 _STAY_WORDS = frozenset("article articlebody content entry main post story text".split())
+#: First parts of names that tell a state or a topic, not what the element is; and parts that may follow the word that decides.
+_STATES = frozenset("category cat disable enable format has hide is layout no not show status tag template topic type with without".split())
+_PARTS = frozenset(
+    """area bar block body bottom box button buttons card container default dark fixed form group heading icon icons info inner item items law left light line
+    link links list main meta outer panel primary results right row secondary section slot text this title top trail unit wrap wrapper zone""".split()
+)
 _LEGAL = re.compile("©|\\(c\\) *[0-9]{4}|all rights reserved|cookie|privacy policy|terms of (?:use|service)|subscribe|sign (?:in|up)|log in", re.I)
 _END = re.compile("[.!?…:;][\"'”’)»]*(?:\\s|$)")
 
@@ -65,6 +77,25 @@ class _Element:
         self.tag, self.mark, self.path = tag, mark, path
 
 
+@lru_cache(maxsize=65536)
+def _word(name: str) -> str | None:
+    """The word that decides what an element of this whole class or id is; None where no word does.
+
+    A word decides alone, as the last part (site-footer), before parts of a layout (sidebar-left), or before a name of content
+    (related-posts, comment-text); not in states and topics (has-sidebar, comments-open, category-legal).
+    """
+    parts = [x for x in re.split("[^a-z]+", name) if x]
+    if not parts or (len(parts) > 1 and parts[0] in _STATES):
+        return None
+    if parts[-1] in _AWAY_WORDS:
+        return parts[-1]
+    if parts[-1] in _STAY_WORDS:
+        return next((x for x in parts if x in _AWAY_WORDS), parts[-1])
+    if parts[0] in _AWAY_WORDS | _STAY_WORDS and all(x in _PARTS for x in parts[1:]):
+        return parts[0]
+    return None
+
+
 def _mark(tag: str, attributes: str, outer: int) -> int:
     """What an element says of the text in it. GONE and AWAY by tag or reader comments hold for all inside; AWAY by name yields to an article inside."""
     if outer == GONE:
@@ -81,18 +112,40 @@ def _mark(tag: str, attributes: str, outer: int) -> int:
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
             if key in ("class", "id", "role", "itemprop"):
-                names.update(re.split("[^a-z]+", value))
+                names.update(value.split())
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                 return GONE
-        if names & _AWAY_WORDS:
-            if "header" in names and (outer == STAY or names & _STAY_WORDS) and not names & (_AWAY_WORDS - {"header"}):
+        words = {_word(x) for x in names}
+        away, stay = words & _AWAY_WORDS, words & _STAY_WORDS
+        if away:
+            if away == {"header"} and (outer == STAY or stay or any(x in _STAY_WORDS for n in names for x in re.split("[^a-z]+", n))):
                 return mark
-            return GONE if outer == STAY or names & {"comment", "comments", "commentlist", "disqus", "sidebar", "nav", "navigation", "footer", "ad", "ads", "advert", "cookie"} and tag not in ("section",) else AWAY
-        if names & _STAY_WORDS:
+            if tag == "main" or ((tag == "article" or stay) and not away & _HARD_WORDS):
+                return STAY
+            return GONE if outer == STAY or away & _HARD_WORDS and tag not in ("section",) else AWAY
+        if stay:
             mark = STAY
     return mark
 
 
+_BLOCK_TAG = re.compile(f"</?(?:{'|'.join(sorted(_BLOCK, key=len, reverse=True))})(?=[\\s/>])", re.I)
+
+
+def _closed_here(tag: str, inside: str, stack: list[_Element]) -> bool:
+    """Whether the element that ends after ``inside`` is the one that began before it: none like it begins, and no block around it ends."""
+    low = inside.lower()
+    if tag in ("button", "select") and re.search(f"<{tag}(?=[\\s/>])", low):
+        return False
+    around = {e.tag for e in stack if e.tag in _BLOCK}
+    open_here: dict[str, int] = {}
+    for m in _BLOCK_TAG.finditer(low):
+        name = m[0].strip("</")
+        open_here[name] = open_here.get(name, 0) + (-1 if m[0].startswith("</") else 1)
+        if open_here[name] < 0 and name in around:
+            return False
+    return True
+
+
 def blocks_of(html: str) -> list[tuple[str, int, int, str, int, int]]:
     """(text, mark, parent number, tag, characters in links, depth) of each block in page order."""
     out: list[tuple[str, int, int, str, int, int]] = []
@@ -148,7 +201,11 @@ def blocks_of(html: str) -> list[tuple[str, int, int, str, int, int]]:
             continue
         if tag in _RAW and not attributes.endswith("/"):
             close = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(html, at)
-            at = close.end() if close else end
+            if tag in _INERT and not (close and _closed_here(tag, html[at : close.start()], stack)):
+                following = _BLOCK_TAG.search(html, at)
+                at = following.start() if following else end
+            else:
+                at = close.end() if close else end
             buffer.append(" ")
             continue
         if tag in _BLOCK:
@@ -286,11 +343,14 @@ def main_text(html: str | None) -> str:
         return ""
     edges, before = [], {}
     for k, (_, mark, parent, _, _, depth) in enumerate(blocks):
-        if k and blocks[k - 1][1] == mark:
+        if mark == GONE:
+            # settled by the markup: it pulls no other block
+            continue
+        if k and blocks[k - 1][1] != GONE:
             edges.append((k - 1, k, _ADJACENT / (1 + 0.5 * abs(blocks[k - 1][5] - depth))))
-        if (parent, mark) in before:
-            edges.append((before[parent, mark], k, _SIBLING))
-        before[parent, mark] = k
+        if parent in before:
+            edges.append((before[parent], k, _SIBLING))
+        before[parent] = k
     return "\n".join(b[0] for b, keep in zip(blocks, cut([odds(b) for b in blocks], edges)) if keep)
 
 

@@ -121,6 +121,26 @@ def test_main_text():
         assert html_text.main_text(x) == ""
 
 
+def test_main_text_of_compound_names():
+    """States and topics in class names, marks that differ and elements that never close lose no article."""
+    long = "The river rose for three days and then it fell again, and people came back to their houses. " * 3
+    for opening in ('<main class="content has-sidebar">', '<div id="main" class="no-sidebar">', '<article class="post comments-open">', '<article class="post category-legal">', '<article class="post tag-search">', '<div class="entry share">', '<main class="sidebar">'):
+        tag = opening[1:].split()[0]
+        assert html_text.main_text(f"<body>{opening}<p>{long}</p><p>Short.</p></{tag}></body>") == f"{long.strip()}\nShort.", opening
+    for name in ("site-footer", "sidebar-left", "comment-list", "share-buttons", "related-content", "ad", "comment-12"):
+        assert html_text.main_text(f'<main><p>{long}</p><div class="{name}"><p>{long}</p></div></main>') == long.strip(), name
+    for inert in ("button", "svg", "select", "template"):
+        assert long.strip() in html_text.main_text(f"<body><div><{inert}>x</div><article><p>{long}</p></article><div><{inert}>y</{inert}></div></body>"), inert
+        assert html_text.main_text(f"<body><article><{inert}><div>Press</div></{inert}><p>{long}</p></article></body>") == long.strip(), inert
+
+
+def test_cut_joins_blocks_of_different_marks(monkeypatch):
+    seen = []
+    monkeypatch.setattr(html_text, "cut", lambda z, edges: seen.append({e[:2] for e in edges}) or [True] * len(z))
+    html_text.main_text('<div class="promo">One</div><article>Two</article><nav>Gone</nav><p>Three</p>')
+    assert (0, 1) in seen[0] and not any(2 in e for e in seen[0])
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(-30, 30), min_size=1, max_size=7), st.data())
 def test_cut_is_cheapest(z, data):
