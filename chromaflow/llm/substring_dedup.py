@@ -60,6 +60,9 @@ def _stretches(rows: np.ndarray, column: pa.Array, window: int) -> dict[str, np.
         head = np.ones(len(own), bool)
         head[1:] = (own[1:] != own[:-1] + 1) | (place[own[1:]] != place[own[:-1]]) | (key[own[1:]] != key[own[:-1]]) | (words.doc[own[1:]] != words.doc[own[:-1]])
         start = np.flatnonzero(head)
+        # no more windows than the count in ``tail`` holds: longer stretches become several, equal ones the same several
+        since = np.arange(len(own)) - np.repeat(start, np.diff(np.append(start, len(own))))
+        start = np.flatnonzero(since % (_KNOWN - 1) == 0)
         n = np.diff(np.append(start, len(own)))
         a = own[start]
         doc = words.doc[a]

@@ -378,6 +378,15 @@ def brute_removal(texts, window=20):
     return out
 
 
+def test_removal_of_wide_windows(spark):
+    """Stretches of more windows than the row's count holds: unique texts and first occurrences stay."""
+    rng = np.random.default_rng(8)
+    words = [" ".join(f"w{x}" for x in rng.integers(0, 10**9, 400)) for _ in range(40)]
+    texts = [(k, t) for k, t in enumerate(words)] + [(100 + k, " ".join(t.split()[90:290])) for k, t in enumerate(words[:12])]
+    got = substring_dedup.removal(spark.createDataFrame([(k, t, "s") for k, t in texts], "doc_id long, text string, source string"), 80).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {k: 0 if k < 100 else 200 for k, _ in texts}
+
+
 def test_removal(docs, empty, odd):
     want = brute_removal(TEXTS)
     for r in substring_dedup.removal(docs).collect():
