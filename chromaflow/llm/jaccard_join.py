@@ -9,19 +9,27 @@ more. Result: one row per document with its component.
    which a frequent shingle is in a prefix only if nearly all of a document is frequent.
    Words below a cut of TABLE_WORDS words count as rare alike; this table is broadcast.
 2. Equal sets become one class. Classes with equal prefix and size become one group.
-3. Groups meet by the shingles of their prefixes. In a bucket of at most BUCKET
-   groups, pairs that pass the size and position bounds are counted, and a pair stays
-   if it shares as many prefix shingles as the bound on its overlap asks. In a larger
-   bucket no pairs are made: its groups, as far as sizes allow, form one chain.
+3. Groups meet by the shingles of their prefixes. Shingles of more than BUCKET groups
+   are found by a partial aggregation first. The others make pairs, which pass if
+   sizes, positions and the number of shared prefix shingles allow a link. Groups of a
+   frequent shingle meet by it and a second shingle (prefixes one longer share two);
+   where all their prefix is frequent, as in copies, they form a chain of size bands,
+   made by aggregations: no task sees all groups of a shingle.
 4. What hangs together by pairs and chains is an island; no link leaves its island.
    Groups expand to their members, whose whole sets are compared inside the island:
-   in one task if it is small, else in pairs of blocks. A task gives a spanning forest
-   of the verified links, not all of them.
+   in one task if it is small, else in pairs of blocks. By the triangle inequality of
+   the Jaccard distance, a member linked with one compared before is passed over where
+   no set outside is near enough, so that copies cost one comparison each. A task gives
+   a spanning forest of the verified links, not all of them.
 5. Components of the verified links, then of the classes.
 
 Scale: prefixes (a tenth of the shingles) cross the network once; texts only of
 documents in islands. Buckets stream in order with a bounded window; an island's
-blocks are bounded by MOST_BLOCK. All-pairs work is quadratic only inside one island.
+blocks are bounded by MOST_BLOCK. All-pairs work is quadratic only in the members of one
+island that are neither copies of each other nor told apart by two shingles.
+
+Words and shingles are equal by 64 bits derived from a 128-bit BLAKE2b of each word's
+bytes, equal sets by 128 bits of both halves: a link needs nine tenths of two sets.
 
 Defined cases: null and empty texts, and texts without words, have the empty set and
 link with nothing; with fewer words than a shingle the whole sequence is the one
@@ -47,7 +55,9 @@ from .components import components
 SHINGLE, MATCH = 3, 90
 TABLE_WORDS = 250_000
 BUCKET = 32
-BLOCK, MOST_BLOCK = 128, 8192
+#: From this mean share of frequent tokens in their prefixes on, a token's groups count as copies of each other.
+MOSTLY = 0.5
+BLOCK, MOST_BLOCK, MOST_COPIES = 128, 8192, 8
 U64 = np.uint64
 
 
@@ -102,48 +112,50 @@ def overlap_needed(a, b, match: int = MATCH):
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, word hashes, shingle hashes by their first word, first words, numbers of shingles with repeats) for chunks of texts."""
+    """(first row, word names, two names (columns) of each shingle by its first word, first words, numbers of shingles with repeats) for chunks of texts."""
     for first, _, buf, offsets in K.chunks(column):
         words = K.Words(buf, offsets)
-        hashes = words.hashes(lower=True)
-        rolled = K.Rolling(hashes)
-        shingles = np.zeros(len(hashes), U64)
-        full = rolled.windows(size)
-        shingles[: len(full)] = full
+        names = words.names(lower=True)
         n = np.diff(words.first)
         short = np.flatnonzero((n > 0) & (n < size))
         a = words.first[short]
-        shingles[a] = rolled.slices(a, a + n[short])
-        yield first, hashes, shingles, words.first[:-1], np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
+        shingles = np.zeros((len(names), 2), U64)
+        for half in range(2):
+            blocks = K.Blocks(np.ascontiguousarray(names[:, half]))
+            full = blocks.windows(size)
+            shingles[: len(full), half] = full
+            shingles[a, half] = blocks.slices(a, a + n[short])
+        yield first, names[:, 0], shingles, words.first[:-1], np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
 
 
 def _sets(rows: DataFrame, rarity, match: int, size: int) -> DataFrame:
-    """row, n (shingles), two halves of a digest of the set, digest of the prefix, prefix."""
+    """row, n (shingles), two halves of a digest of the set, digest of the prefix, the prefix and the shingle after it."""
 
     def run(batch):
-        own = rarity.value
+        level_of = rarity.value
         row = int64(batch.column(0))
         n_all = np.zeros(len(row), np.int64)
         one, two, three = (np.zeros(len(row), np.int64) for _ in range(3))
         prefixes: list[np.ndarray] = []
         for first, words, shingles, starts, counts in shingle_sets(batch.column(1), size):
-            level = own(words)
+            level = level_of(words)
             low, total = level.copy(), level.copy()
             for k in range(1, size):
                 low[:-k] = np.minimum(low[:-k], level[k:])
                 total[:-k] += level[k:]
             order = low * 4096 + total
             for i, (a, c) in enumerate(zip(starts.tolist(), counts.tolist())):
-                got, at = np.unique(shingles[a : a + c], return_index=True)
+                own = shingles[a : a + c]
+                got, at = np.unique(own[:, 0], return_index=True)
                 n = len(got)
                 p = prefix_length(n, match) if n else 0
-                rank = np.lexsort((got, order[a : a + c][at]))[:p] if n else at
+                rank = np.lexsort((got, order[a : a + c][at]))[: p + 1] if n else at
                 prefix = got[rank].view(np.int64)
-                digest = hashlib.blake2b(got.tobytes(), digest_size=16).digest()
+                digest = hashlib.blake2b(own[at].tobytes(), digest_size=16).digest()
                 k = first + i
                 n_all[k] = n
                 one[k], two[k] = np.frombuffer(digest, np.int64)
-                three[k] = np.frombuffer(hashlib.blake2b(prefix.tobytes(), digest_size=8).digest(), np.int64)[0]
+                three[k] = np.frombuffer(hashlib.blake2b(prefix[:p].tobytes(), digest_size=8).digest(), np.int64)[0]
                 prefixes.append(prefix)
         ends = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
@@ -152,23 +164,20 @@ def _sets(rows: DataFrame, rarity, match: int, size: int) -> DataFrame:
     return map_arrow(rows.select("row", "text"), run, "row long, n long, one long, two long, three long, prefix array<long>")
 
 
-_EDGE = "a long, b long, chain boolean, na long, nb long"
+_EDGE = "a long, b long, na long, nb long"
 
 
-def _bucket_edges(match: int, bucket: int):
-    """Over (token, n, id, pos) in order: candidate pairs of small buckets, chains of large ones."""
+def _bucket_pairs(match: int, bucket: int):
+    """Over (token, n, id, pos) in order, no token more than ``bucket`` times: pairs within the bounds of size and position."""
 
     def pairs(t, n, g, p):
         out = []
-        for step in range(1, bucket):
-            if step >= len(t):
-                break
+        for step in range(1, min(bucket, len(t))):
             a, b = slice(None, -step), slice(step, None)
-            near = np.flatnonzero((t[a] == t[b]) & (100 * n[a] >= match * n[b]) & (g[a] != g[b]))
-            if not len(near):
-                if not (t[a] == t[b]).any():
-                    break
-                continue
+            alike = t[a] == t[b]
+            if not alike.any():
+                break
+            near = np.flatnonzero(alike & (100 * n[a] >= match * n[b]) & (g[a] != g[b]))
             na, nb, pa_, pb = n[a][near], n[b][near], p[a][near], p[b][near]
             most = np.minimum(pa_, pb) + 1 + np.minimum(na - pa_ - 1, nb - pb - 1)
             near = near[most >= overlap_needed(na, nb, match)]
@@ -177,39 +186,18 @@ def _bucket_edges(match: int, bucket: int):
 
     def run(batches):
         rest = [np.zeros(0, np.int64)] * 4
-        lead = None  # (token, pivot, last n): a large bucket that goes on
         for batch in _then_end(batches):
             cols = rest if batch is None else [np.concatenate([r, int64(batch.column(i))]) for i, r in enumerate(rest)]
-            t, n, g, p = cols
+            t = cols[0]
             if not len(t):
                 continue
-            heads = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-            size = np.diff(np.append(heads, len(t)))
-            stop = len(t) if batch is None else int(heads[-1])
-            large = size > bucket
-            if lead is not None and t[0] == lead[0]:
-                large[0] = True
-            if batch is not None and large[-1]:
-                stop = len(t)
+            stop = len(t) if batch is None else int(np.searchsorted(t, t[-1]))
             rest = [c[stop:] for c in cols]
-            large_rows = np.repeat(large, size)[:stop]
-            found = [(a, b, np.zeros(len(a), bool), x, y) for a, b, x, y in pairs(*(c[:stop][~large_rows] for c in cols))]
-            at = np.flatnonzero(large_rows)
-            if len(at):
-                lt, ln, lg = t[at], n[at], g[at]
-                goes_on = np.zeros(len(at), bool)
-                goes_on[1:] = (lt[1:] == lt[:-1]) & (100 * ln[:-1] >= match * ln[1:])
-                pivot_at = np.maximum.accumulate(np.where(~goes_on, np.arange(len(at)), 0))
-                pivot = lg[pivot_at]
-                if lead is not None and lt[0] == lead[0] and 100 * lead[2] >= match * ln[0]:
-                    pivot = np.where(pivot_at == 0, lead[1], pivot)
-                zero = np.zeros(len(at), np.int64)
-                found.append((lg, pivot, np.ones(len(at), bool), zero, zero))
-                lead = (int(lt[-1]), int(pivot[-1]), int(ln[-1]))
+            found = pairs(*(c[:stop] for c in cols))
             if found:
-                a, b, chain, x, y = (np.concatenate(c) for c in zip(*found))
+                a, b, x, y = (np.concatenate(c) for c in zip(*found))
                 if len(a):
-                    yield {"a": np.minimum(a, b), "b": np.maximum(a, b), "chain": chain, "na": np.where(a < b, x, y), "nb": np.where(a < b, y, x)}
+                    yield {"a": np.minimum(a, b), "b": np.maximum(a, b), "na": np.where(a < b, x, y), "nb": np.where(a < b, y, x)}
 
     return run
 
@@ -219,23 +207,72 @@ def _then_end(batches):
     yield None
 
 
+def _split(tokens: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose token is listed, the others). ``listed`` was written before."""
+    some, other = split_by_ids(tokens, listed, "token")
+    if other is not None:
+        return some, other
+    return tokens.join(listed, "token", "left_semi"), tokens.join(listed, "token", "left_anti")
+
+
+def _frequent(tokens: DataFrame, bucket: int) -> DataFrame:
+    """The tokens of more than ``bucket`` groups: counted by partial aggregation, so that no task sees all rows of one."""
+    return materialise(tokens.groupBy("token").agg(F.count("*").alias("k")).filter(F.col("k") > bucket).select("token"), "frequent-tokens")
+
+
+def _pairs(tokens: DataFrame, match: int, bucket: int) -> DataFrame:
+    dealt = tokens.repartition(partitions(tokens.sparkSession), "token").sortWithinPartitions("token", "n", "id")
+    return stream_arrow(dealt.select("token", "n", "id", "pos"), _bucket_pairs(match, bucket), _EDGE)
+
+
+def _chains(tokens: DataFrame, match: int) -> DataFrame:
+    """Edges (a, b) that connect all groups of a token whose sizes may match: by aggregation, a group to the first of its size band, a band to the next."""
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / match)) + 1e-9).cast("long")
+    banded = tokens.select("token", "id", band.alias("band"))
+    firsts = materialise(banded.groupBy("token", "band").agg(F.min("id").alias("first")), "chain-bands")
+    inside = banded.join(firsts, ["token", "band"]).select(F.col("first").alias("a"), F.col("id").alias("b")).filter("a <> b").distinct()
+    after = firsts.select("token", (F.col("band") - 1).alias("band"), F.col("first").alias("b"))
+    return inside.unionByName(firsts.join(after, ["token", "band"]).select(F.col("first").alias("a"), "b").distinct())
+
+
 def candidate_edges(groups: DataFrame, match: int = MATCH, bucket: int = BUCKET) -> DataFrame:
-    """a, b: pairs of groups that may hold linked members, and chains through large buckets. ``groups``: id, n, prefix."""
-    tokens = groups.select("id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "n", "id", F.col("pos").cast("long").alias("pos"))
-    dealt = tokens.repartition(partitions(groups.sparkSession), "token").sortWithinPartitions("token", "n", "id")
-    edges = materialise(stream_arrow(dealt, _bucket_edges(match, bucket), _EDGE), "bucket-edges")
-    chains = edges.filter("chain").select("a", "b").distinct()
-    pairs = edges.filter("not chain").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    # what two sets share beyond the common part of their prefixes is at most the longer rest; pairs in a chained island are compared there anyway
+    """a, b: pairs of groups that may hold linked members, and chains through frequent tokens. ``groups``: id, n, prefix and one shingle more.
+
+    Two sets that match share a token of their prefixes and, with one shingle more,
+    a second. A token of at most ``bucket`` groups makes pairs, filtered by size,
+    position and number of shared tokens. The groups of a frequent token meet again
+    by it and their second token, where a group's other tokens are mostly rare;
+    else, and where that pair of tokens is frequent too, they form chains.
+    """
+    size = F.col("n") - F.ceil(F.lit(match) * F.col("n") / 100.0 - 1e-9) + 1
+    exploded = groups.select("id", "n", size.alias("p"), F.posexplode("prefix").alias("pos", "token"))
+    tokens = exploded.filter("pos < p").select("token", "n", "id", F.col("pos").cast("long").alias("pos"), "p")
+    frequent = _frequent(tokens, bucket)
+    often, rare = _split(tokens, frequent)
+    pairs = materialise(_pairs(rare, match, bucket), "bucket-pairs").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    # what two sets share beyond the common part of their prefixes is at most the longer rest; frequent tokens bring their pairs by themselves
     need = F.ceil(F.lit(match) * (F.col("na") + F.col("nb")) / F.lit(100.0 + match) - 1e-9)
     rest = F.greatest(*[F.col(c) - (F.col(c) - F.ceil(F.lit(match) * F.col(c) / 100.0 - 1e-9) + 1) for c in ("na", "nb")])
-    return pairs.filter(F.col("shared") + rest >= need).select("a", "b").unionByName(chains)
+    edges = pairs.filter(F.col("shared") + rest >= need).select("a", "b")
+    if frequent.isEmpty():
+        return edges
+
+    often = materialise(often, "frequent-rows")
+    share = often.groupBy("id").agg((F.count("*") / F.first("p")).alias("share"))
+    alike = materialise(often.join(share, "id").groupBy("token").agg(F.avg("share").alias("share")).filter(F.col("share") >= MOSTLY).select("token"), "copied-tokens")
+    copied, passing = _split(often, alike)
+    second = passing.select(F.col("token").alias("first"), "n", "id", "pos").join(groups.select("id", F.explode("prefix").alias("other")), "id")
+    twice = second.filter("first <> other").select(F.xxhash64(F.least("first", "other"), F.greatest("first", "other")).alias("token"), "n", "id", F.lit(0).cast("long").alias("pos"))
+    twice = materialise(twice.distinct(), "token-pairs")
+    often_again, rare_again = _split(twice, _frequent(twice, bucket))
+    met = _pairs(rare_again, match, bucket).select("a", "b").distinct()
+    return edges.unionByName(met).unionByName(_chains(copied, match)).unionByName(_chains(often_again, match)).distinct()
 
 
 def _forest(match: int, size: int):
-    """Over (task, side, row, text) in order of task: a spanning forest of the links in each task, of those between sides where there are two."""
+    """Over (task, row, text) in order of task: a spanning forest of the links in each task."""
 
-    def links(rows: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    def links(rows: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
         n = np.array([len(s) for s in sets])
         _, ids = np.unique(np.concatenate(sets), return_inverse=True)
         owner = np.repeat(np.arange(len(sets)), n)
@@ -243,8 +280,9 @@ def _forest(match: int, size: int):
         bounds = np.concatenate([[0], np.cumsum(np.bincount(ids))])
         owners = owner[by_token]
         starts = np.concatenate([[0], np.cumsum(n)])
-        two = sides.min() != sides.max()
         parent = list(range(len(sets)))
+        settled = np.zeros(len(sets), bool)
+        far = 1 - match / 100
 
         def root(x: int) -> int:
             while parent[x] != x:
@@ -253,41 +291,46 @@ def _forest(match: int, size: int):
             return x
 
         out = []
-        for x in range(1, len(sets)):
+        for x in range(len(sets)):
+            if settled[x]:
+                continue
             own = ids[starts[x] : starts[x + 1]]
             a, b = bounds[own], bounds[own + 1]
             length = b - a
             where = np.repeat(a - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(int(length.sum()))
-            common = np.bincount(owners[where], minlength=len(sets))[:x]
-            hit = 100 * common >= match * (n[x] + n[:x] - common)
-            if two:
-                hit &= sides[:x] != sides[x]
+            common = np.bincount(owners[where], minlength=len(sets))
+            either = n[x] + n - common
+            hit = 100 * common >= match * either
             for y in np.flatnonzero(hit).tolist():
                 rx, ry = root(x), root(y)
                 if rx != ry:
                     parent[max(rx, ry)] = min(rx, ry)
                     out.append((int(rows[x]), int(rows[y])))
+            # Jaccard distance is a metric: what links with a set y linked here is at most its distance + far away from x.
+            # Where all so near are linked with x themselves, y brings nothing new.
+            distance = 1 - common / either
+            nearest = distance[~hit].min(initial=2.0)
+            settled |= hit & (distance + far + 1e-9 < nearest)
         return out
 
     def run(batches):
-        task, rows, sides, sets = None, [], [], []
+        task, rows, sets = None, [], []
         for batch in _then_end(batches):
             found: list[tuple[int, int]] = []
             if batch is None:
-                entries = [((None, None), 0, 0, None)]
+                entries = [((None, None, None), 0, None)]
             else:
                 texts_sets: list[np.ndarray] = []
-                for _, _, shingles, starts, counts in shingle_sets(batch.column(5), size):
-                    texts_sets += [np.unique(shingles[a : a + c]) for a, c in zip(starts.tolist(), counts.tolist())]
+                for _, _, shingles, starts, counts in shingle_sets(batch.column(4), size):
+                    texts_sets += [np.unique(shingles[a : a + c, 0]) for a, c in zip(starts.tolist(), counts.tolist())]
                 keys = list(zip(*(int64(batch.column(i)).tolist() for i in range(3))))
-                entries = zip(keys, int64(batch.column(3)).tolist(), int64(batch.column(4)).tolist(), texts_sets)
-            for key, side, row, own in entries:
+                entries = zip(keys, int64(batch.column(3)).tolist(), texts_sets)
+            for key, row, own in entries:
                 if key != task:
                     if len(sets) > 1:
-                        found += links(np.array(rows), np.array(sides), sets)
-                    task, rows, sides, sets = key, [], [], []
+                        found += links(np.array(rows), sets)
+                    task, rows, sets = key, [], []
                 rows.append(row)
-                sides.append(side)
                 sets.append(own)
             if found:
                 yield {"a": [x for x, _ in found], "b": [y for _, y in found]}
@@ -299,9 +342,9 @@ def verified_links(members: DataFrame, rows: DataFrame, match: int = MATCH, size
     """a, b: links that connect whatever is linked inside an island. ``members``: row, island; ``rows``: row, text."""
     spark = members.sparkSession
     sizes = members.groupBy("island").agg(F.count("*").alias("members")).filter("members > 1")
-    # up to BLOCK rows are one block; more make up to 16 blocks, then blocks of MOST_BLOCK
+    # few rows are one block; more make up to MOST_COPIES blocks (copies of a text), then blocks of MOST_BLOCK
     blocks = F.when(F.col("members") <= 2 * BLOCK, F.lit(1)).otherwise(
-        F.greatest(F.least(F.ceil(F.col("members") / BLOCK), F.lit(16)), F.ceil(F.col("members") / MOST_BLOCK))
+        F.greatest(F.least(F.ceil(F.col("members") / BLOCK), F.lit(MOST_COPIES)), F.ceil(F.col("members") / MOST_BLOCK))
     )
     placed = materialise(
         members.join(sizes.withColumn("blocks", blocks.cast("long")), "island")
@@ -313,7 +356,7 @@ def verified_links(members: DataFrame, rows: DataFrame, match: int = MATCH, size
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     tasks = some.join(placed, "row").withColumn("other", other)
     tasks = tasks.select(
-        "island", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.col("block").alias("side"), "row", "text"
+        "island", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "row", "text"
     )
     dealt = tasks.repartition(partitions(spark), "island", "low", "high").sortWithinPartitions("island", "low", "high", "row")
     return stream_arrow(dealt, _forest(match, size), "a long, b long")
@@ -333,7 +376,7 @@ def link_components(documents: DataFrame, match: int = MATCH, size: int = SHINGL
     reps = member_of.filter("row = rep").select("row", "n", "three")
     groups = materialise(reps.groupBy("n", "three").agg(F.min("row").alias("id")), "groups")
     leaders = sets.join(groups.select(F.col("id").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), "n", "prefix")
-    edges = materialise(candidate_edges(leaders, match), "candidate-edges")
+    edges = materialise(candidate_edges(materialise(leaders, "leaders"), match), "candidate-edges")
 
     # groups of several members are islands too
     grouped = materialise(reps.join(groups, ["n", "three"]).select("row", "id"), "group-members")

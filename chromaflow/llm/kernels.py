@@ -1,12 +1,16 @@
 """Vectorised text kernels over the byte buffers of Arrow string columns.
 
 A batch is one ``uint8`` buffer with document offsets; words are runs of bytes
-outside space and 0x09-0x0D. No kernel loops over words in Python.
+outside space and 0x09-0x0D. Words are equal where their bytes are: each batch's
+words are looked up in a dictionary of bytes, and names that hold across batches
+are halves of a 128-bit BLAKE2b of the bytes. Only different words are visited in
+Python, once a batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +21,8 @@ CHUNK_BYTES = 512 << 10
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 #: 5 modulo 8, so that its powers differ in their low bits.
 _B1 = 0x9E3779B97F4A7C15
 _powers: dict[int, np.ndarray] = {}
@@ -50,7 +52,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any slices [a, b) of a sequence of 64-bit values."""
+    """Rolling hashes of the windows of a sequence of 64-bit values: a filter, whose hits are compared value by value (see :func:`repeats_of`)."""
 
     def __init__(self, values: np.ndarray, base: int = _B1):
         n = len(values)
@@ -58,15 +60,69 @@ class Rolling:
         np.cumsum(values * powers(base, n), out=self.sums[1:])
         self.undo = powers(pow(base, -1, 1 << 64), n + 1)
 
-    def slices(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((self.sums[b] - self.sums[a]) * self.undo[a])
-
     def windows(self, n: int) -> np.ndarray:
         """Hash of every window of n neighbours, by its start."""
         k = len(self.sums) - n
         return mix((self.sums[n:] - self.sums[:k]) * self.undo[:k]) if k > 0 else np.zeros(0, U64)
 
 
+_LEFT, _RIGHT = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
+
+
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One value for two in order. Mixed on both sides, so that no sum of products makes different sequences equal."""
+    return mix(mix(a * _LEFT + U64(1)) ^ (b * _RIGHT))
+
+
+class Blocks:
+    """Names of slices of a sequence of 64-bit names, from names of its blocks of 1, 2, 4, ... neighbours.
+
+    Slices of one length are equal if the two blocks that cover them are; each
+    block's name pairs those of its halves, as a hash tree does.
+    """
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+
+    def level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            last, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(pair(last[:-half], last[half:]) if len(last) > half else np.zeros(0, U64))
+        return self.levels[k]
+
+    def windows(self, n: int) -> np.ndarray:
+        """Name of every window of n neighbours, by its start."""
+        k, m = n.bit_length() - 1, len(self.levels[0]) - n + 1
+        if m <= 0:
+            return np.zeros(0, U64)
+        own = self.level(k)
+        return pair(own[:m] + U64(n), own[n - (1 << k) : n - (1 << k) + m])
+
+    def slices(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Names of the slices [a, b), none of them empty."""
+        out = np.zeros(len(a), U64)
+        n = b - a
+        level = np.frexp(n.astype(float))[1] - 1
+        for k in np.unique(level).tolist():
+            at = np.flatnonzero(level == k)
+            own = self.level(k)
+            out[at] = pair(own[a[at]] + n[at].astype(U64), own[b[at] - (1 << k)])
+        return out
+
+
+def binaries(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Byte strings that follow one another in ``data``."""
+    ends = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=ends[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def digests(strings: list[bytes]) -> np.ndarray:
+    """Two 64-bit names (columns) of each byte string: the halves of its 128-bit BLAKE2b."""
+    raw = b"".join([blake2b(x, digest_size=16).digest() for x in strings])
+    return np.frombuffer(raw, U64).reshape(-1, 2)
+
+
 class Words:
     """Words of consecutive documents in one buffer: start, end (bytes), doc, first (word index of each document, one more at the end)."""
 
@@ -87,11 +143,20 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(self.n_docs), np.diff(self.first))
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        return self.bytes_rolling(lower).slices(self.start, self.end)
+    def coded(self, lower: bool = False) -> tuple[np.ndarray, list[bytes]]:
+        """(place of each word in the list of different words, that list): equal places are equal bytes."""
+        data = (_LOWER[self.buf] if lower else self.buf)[self.solid]
+        coded = binaries(data, self.end - self.start).dictionary_encode()
+        return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+
+    def names(self, lower: bool = False) -> np.ndarray:
+        """Two 64-bit names of each word, the same wherever the word stands."""
+        codes, different = self.coded(lower)
+        return digests(different)[codes] if different else np.zeros((0, 2), U64)
 
-    def bytes_rolling(self, lower: bool = False) -> Rolling:
-        return Rolling((_BYTE_LOWER if lower else _BYTE)[self.buf])
+    def hashes(self, lower: bool = False) -> np.ndarray:
+        """The first of the two names."""
+        return np.ascontiguousarray(self.names(lower)[:, 0])
 
 
 def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -133,6 +198,32 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return twice[at] == keys
 
 
+def repeats_of(codes: np.ndarray, words: Words, n: int, rolled: Rolling) -> np.ndarray:
+    """Starts of the windows of n words that occur more than once in their document.
+
+    Rolling hashes propose, the words' codes decide: neighbours in the order of
+    hashes are compared word by word, and if any differ, all proposed windows are.
+    """
+    inside = np.flatnonzero(within(words, n))
+    keys = rolled.windows(n)[inside] ^ mix(words.doc[inside].astype(U64) + U64(1))
+    hit = repeated(keys)
+    starts, keys = inside[hit], keys[hit]
+    if not len(starts):
+        return starts
+    order = np.argsort(keys, kind="stable")
+    at, keys = starts[order], keys[order]
+    twin = keys[1:] == keys[:-1]
+    a, b = at[:-1][twin], at[1:][twin]
+    equal = words.doc[a] == words.doc[b]
+    for k in range(n):
+        equal &= codes[a + k] == codes[b + k]
+    if equal.all():
+        return starts
+    rows = np.column_stack([words.doc[starts], *(codes[starts + k] for k in range(n))])
+    _, which, count = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
+    return starts[count[which.reshape(-1)] > 1]
+
+
 def covered(n: int, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
     """Mask of n places inside any [start, start+length)."""
     step = np.zeros(n + 1, np.int64)

@@ -121,7 +121,7 @@ def anchors(hashes: np.ndarray, doc: np.ndarray, window: int, rounds: int = ROUN
     """
     n = len(hashes)
     n_windows = max(0, n - window + 1)
-    rolled = K.Rolling(hashes)
+    blocks = K.Blocks(hashes)
     key = np.zeros(n, U64)
     place = np.full(n, -1, np.int64)
     open_ = np.zeros(n, bool)
@@ -132,14 +132,14 @@ def anchors(hashes: np.ndarray, doc: np.ndarray, window: int, rounds: int = ROUN
         if not len(fit) or not open_.any():
             continue
         lo, hi, size = s.lo[fit], s.hi[fit], size[fit]
-        own = K.mix(s.name[fit] ^ rolled.slices(lo, hi))
+        own = K.mix(s.name[fit] ^ blocks.slices(lo, hi))
         # contexts begin and end in the order of their symbols, so the first of those that begin at a word is the shortest: any window that holds another holds it
         first = np.ones(len(lo), bool)
         first[1:] = lo[1:] != lo[:-1]
         lo, size, own = lo[first], size[first], own[first]
         value = np.full(n + window, _NONE, U64)
         value[lo] = own
-        length = np.full(n + window, window + 1, np.int8)
+        length = np.full(n + window, window + 1, np.int32)
         length[lo] = size
         todo = np.flatnonzero(open_)
         best, at = np.full(len(todo), _NONE, U64), np.full(len(todo), -1, np.int64)
@@ -153,6 +153,6 @@ def anchors(hashes: np.ndarray, doc: np.ndarray, window: int, rounds: int = ROUN
         key[todo[hit]], place[todo[hit]] = best[hit], at[hit]
         open_[todo[hit]] = False
     rest = np.flatnonzero(open_)
-    key[rest] = rolled.slices(rest, rest + window)
+    key[rest] = blocks.slices(rest, rest + window)
     place[rest] = rest
     return key, place

@@ -3,7 +3,8 @@
 Rolling hashes of several n-gram lengths, computed in numpy over a batch's byte
 buffer, find the n-grams that occur twice or more in a document; coverage is the
 share of the document's characters inside such n-grams, or inside repeated
-lines. All state is one batch; nothing is shuffled.
+lines. Hashes only propose: n-grams and lines count as equal where their words'
+and lines' bytes are. All state is one batch; nothing is shuffled.
 
 Defined cases: a null text is empty; an empty text has no words and fails the
 base rule; rows are judged one by one, so repeated rows and a null doc_id get
@@ -36,7 +37,7 @@ RESULT = f"doc_id long, {MEASURES}, base_failed boolean, kept boolean"
 def measure(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The measures of each document of a chunk."""
     words = K.Words(buf, offsets)
-    rolled = words.bytes_rolling()
+    codes, _ = words.coded()
     lead = (buf & 0xC0) != 0x80
     points = np.zeros(len(buf) + 1, np.int64)
     np.cumsum(lead & words.solid, out=points[1:])
@@ -47,14 +48,11 @@ def measure(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         "word_chars": points[offsets[1:]] - points[offsets[:-1]],
         "n_symbols": K.per_doc(_SYMBOL[buf], offsets),
     }
-    out |= _lines(buf, offsets, words, rolled, points)
+    out |= line_repeats(buf, offsets, points)
 
-    own = K.Rolling(rolled.slices(words.start, words.end))
-    salt = K.mix(words.doc.astype(np.uint64) + K.U64(1))
+    rolled = K.Rolling(K.mix(codes.astype(np.uint64)))
     for n in sorted({BASE_LENGTH, *NGRAM_LIMITS}):
-        inside = np.flatnonzero(K.within(words, n))
-        keys = own.windows(n)[inside] ^ salt[inside]
-        hit = K.covered(len(salt), inside[K.repeated(keys)], n)
+        hit = K.covered(len(codes), K.repeats_of(codes, words, n, rolled), n)
         if n == BASE_LENGTH:
             out["n_repeat_words"] = K.per_doc(hit, words.first)
         if n in NGRAM_LIMITS:
@@ -62,25 +60,25 @@ def measure(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _lines(buf, offsets, words, rolled, points) -> dict[str, np.ndarray]:
+def line_repeats(buf: np.ndarray, offsets: np.ndarray, points: np.ndarray) -> dict[str, np.ndarray]:
+    """Lines with a word that equal an earlier line of their document, and the characters of words in lines that occur twice or more."""
+    n = len(offsets) - 1
     breaks = np.flatnonzero(buf == 10)
     start = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], breaks + 1]))
     start = start[start < len(buf)]
     if not len(start):
-        zero = np.zeros(words.n_docs, np.int64)
-        return {"n_dup_lines": zero, "chars_in_repeated_lines": zero}
+        return {"n_dup_lines": np.zeros(n, np.int64), "chars_in_repeated_lines": np.zeros(n, np.int64)}
     doc = np.searchsorted(offsets, start, "right") - 1
     at = np.searchsorted(breaks, start)
     stop = np.minimum(np.append(breaks, len(buf))[at], offsets[doc + 1])
+    line = K.binaries(buf[buf != 10], stop - start).dictionary_encode().indices.to_numpy().astype(np.int64)
     chars = points[stop] - points[start]
-    keep = chars > 0
-    start, stop, doc, chars = start[keep], stop[keep], doc[keep], chars[keep]
-    keys = rolled.slices(start, stop) ^ K.mix(doc.astype(np.uint64) + K.U64(1))
-    _, first = np.unique(keys, return_index=True)
-    later = np.ones(len(keys), bool)
+    some = np.flatnonzero(chars > 0)
+    key, doc, chars = doc[some] * (len(start) + 1) + line[some], doc[some], chars[some]
+    _, first = np.unique(key, return_index=True)
+    later = np.ones(len(key), bool)
     later[first] = False
-    both = K.repeated(keys)
-    n = words.n_docs
+    both = K.repeated(key)
     return {
         "n_dup_lines": np.bincount(doc[later], minlength=n).astype(np.int64),
         "chars_in_repeated_lines": np.bincount(doc[both], weights=chars[both], minlength=n).astype(np.int64),

@@ -6,13 +6,14 @@ and drops most; the rest compile into one Spark column expression, so scoring is
 one pass: statistics from whole texts (numpy over batches), then native columns.
 
 Training rows: labelled, not held out (crc32 of the id's text modulo 5 is 0), at
-most MAX_TRAINING_ROWS of them, those with the smallest hash of doc_id; only their
-statistics reach the driver. labels, lang, source and doc_id are not inputs.
+most MAX_TRAINING_ROWS rows, those with the smallest hash of doc_id (then of text, where ids
+repeat); only their statistics reach the driver. labels, lang, source and doc_id are not inputs.
 
 Defined cases: a null text is empty; an empty text has statistics of 0 and a score
 like any other; without labels of both kinds every score is the share of label 1
 among them (0.5 if there are none); rows that share a doc_id are scored each; a null
-doc_id is not held out; other columns are ignored.
+doc_id is not held out; of several labels of an id the largest counts; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import map_arrow, table, texts
+from .repetition import line_repeats
 
 MAX_TRAINING_ROWS = 12_000
 THRESHOLD = 0.3
@@ -60,18 +62,13 @@ def statistics(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     size = points[words.end] - points[words.start]
     chars = np.maximum(points[offsets[1:]] - points[offsets[:-1]], 1).astype(float)
     counts = lambda table: K.per_doc(table[buf], offsets).astype(float)
-    hashes = words.hashes()
-    again = np.zeros(len(hashes), bool)
-    again[1:] = (hashes[1:] == hashes[:-1]) & (words.doc[1:] == words.doc[:-1])
-    salt = K.mix(words.doc.astype(np.uint64) + K.U64(1))
-    _, first = np.unique(hashes ^ salt, return_index=True)
-    inside = np.flatnonzero(K.within(words, 4))
-    keys = K.Rolling(hashes).windows(4)[inside] ^ salt[inside]
-    hit = K.covered(len(hashes), inside[K.repeated(keys)], 4)
+    codes, different = words.coded()
+    again = np.zeros(len(codes), bool)
+    again[1:] = (codes[1:] == codes[:-1]) & (words.doc[1:] == words.doc[:-1])
+    _, first = np.unique(words.doc * (len(different) + 1) + codes, return_index=True)
+    hit = K.covered(len(codes), K.repeats_of(codes, words, 4, K.Rolling(K.mix(codes.astype(np.uint64)))), 4)
     lines = counts(_class(b"\n")) + 1
-    from .repetition import _lines
-
-    repeated = _lines(buf, offsets, words, words.bytes_rolling(), points)["chars_in_repeated_lines"]
+    repeated = line_repeats(buf, offsets, points)["chars_in_repeated_lines"]
     return {
         "n_words": n,
         "mean_word": K.per_doc(size, words.first) / some,
@@ -244,12 +241,14 @@ def _matrix(x: np.ndarray, y: np.ndarray) -> tuple[list[tuple[Condition, ...]],
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_TRAINING_ROWS) -> RuleModel:
-    """Fits on at most ``most`` labelled rows that are not held out."""
+    """Fits on at most ``most`` labelled rows that are not held out. Of an id's labels the largest counts; rows that repeat an id are rows of their own."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).cast("long").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = documents.select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    got = with_statistics(rows, "y").toPandas().sort_values(["doc_id", *STATISTICS])
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("place", F.xxhash64("text"))
+    # ids may repeat: the bound holds for rows
+    got = with_statistics(rows, "y", "place").orderBy(F.xxhash64("doc_id"), "doc_id", "place").limit(most)
+    got = got.toPandas().sort_values(["doc_id", *STATISTICS])
     return fit(got[list(STATISTICS)].to_numpy(float), got["y"].to_numpy(float))
 
 

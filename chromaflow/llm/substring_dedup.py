@@ -6,16 +6,19 @@ covers it also starts earlier: in a document of smaller doc_id, or earlier in th
 1. Rounds of recompression (see :mod:`recompression`) name runs and pairs of words
    globally; every window picks a symbol, and neighbouring windows that pick one
    occurrence make a stretch. Equal windows lie in stretches with the same key.
-2. Stretches meet by key. Of stretches equal word for word, all but the earliest are
-   repeats. Where one key has different stretches, their earliest occurrences go on.
-3. Only for those, the single windows meet by the hash of their words.
-4. Repeats become word ranges of their documents.
-
-What crosses the network is about one row for six words, then rows of repeats. Equal
-stretches meet inside a batch first, so a passage that a third of all documents hold
-sends one row for each batch, and a sorted stream over each partition holds one row
-as state. Names are 64-bit hashes; stretches and windows are compared by further hash
-bits of their words.
+2. Stretches meet by key. Of stretches with equal names, all but the earliest are
+   claimed as repeats. Where one key has different stretches, their earliest
+   occurrences go on.
+3. Only for those, the single windows meet by their names.
+4. Claims are verified: the words of each claimed stretch and of the earliest one like
+   it meet as bytes, and only bytes that stand earlier make a repeat. Should a claim
+   fail, all stretches that met are compared window by window, and verified again.
+5. Repeats become word ranges of their documents.
+
+What crosses the network is about one row for six words, then rows of repeats and their
+words. Equal stretches meet inside a batch first, so a passage that a third of all
+documents hold sends one row for each batch, and a sorted stream over each partition
+holds one row as state. Names are hashes of words; they only propose.
 
 Defined cases: a null or empty text has no words; a text shorter than a window loses
 nothing; rows without doc_id come first; rows that share a doc_id are documents that
@@ -40,19 +43,31 @@ from .common import as_often, free, int64, map_arrow, materialise, partitions, s
 
 WINDOW = 20
 U64 = np.uint64
-#: The low bits of ``tail``: the number of windows of a stretch, and whether the row already is a known repeat.
-_COUNT_BITS, _KNOWN = 6, 32
-_MET = "key long, tail long, row long, place int"
-_FOUND = "row long, place int, n int, repeat boolean"
-
-
-def _stretches(rows: np.ndarray, column: pa.Array, window: int) -> dict[str, np.ndarray]:
-    """Stretches of each text: row, place of the first window, number of windows, key and hash of the words."""
+#: Most windows of a stretch, and what a row of _MET adds to their number: that it is a claim already, that it leads claims.
+MOST_WINDOWS, _KNOWN, _LEAD = 31, 1 << 16, 1 << 17
+_MET = "key long, tail long, row long, place int, n int"
+#: kind: windows to compare singly, a claimed repeat, the earliest stretch like claimed ones.
+OPEN, CLAIM, LEAD = 0, 1, 2
+_FOUND = "row long, place int, n int, kind int"
+_SPAN = "slot long, span binary, row long, place int, n int, claim boolean"
+_CHECKED = "row long, place int, n int, repeat boolean"
+
+
+def _names(words: K.Words, bits: int) -> list[np.ndarray]:
+    """Two names of each word; with few ``bits`` different words share names, which costs time, not results."""
+    both = words.names()
+    if bits < 64:
+        both = K.mix(both & U64((1 << bits) - 1))
+    return [np.ascontiguousarray(both[:, k]) for k in range(2)]
+
+
+def _stretches(rows: np.ndarray, column: pa.Array, window: int, bits: int) -> dict[str, np.ndarray]:
+    """Stretches of each text: row, place of the first window, number of windows, key and name of the words."""
     parts = []
     for first, _, buf, offsets in K.chunks(column):
         words = K.Words(buf, offsets)
-        hashes = words.hashes()
-        key, place = R.anchors(hashes, words.doc, window)
+        one, two = _names(words, bits)
+        key, place = R.anchors(one, words.doc, window)
         own = np.flatnonzero(place >= 0)
         if not len(own):
             continue
@@ -60,43 +75,50 @@ def _stretches(rows: np.ndarray, column: pa.Array, window: int) -> dict[str, np.
         head = np.ones(len(own), bool)
         head[1:] = (own[1:] != own[:-1] + 1) | (place[own[1:]] != place[own[:-1]]) | (key[own[1:]] != key[own[:-1]]) | (words.doc[own[1:]] != words.doc[own[:-1]])
         start = np.flatnonzero(head)
-        # no more windows than the count in ``tail`` holds: longer stretches become several, equal ones the same several
+        # longer stretches become several, equal ones the same several
         since = np.arange(len(own)) - np.repeat(start, np.diff(np.append(start, len(own))))
-        start = np.flatnonzero(since % (_KNOWN - 1) == 0)
+        start = np.flatnonzero(since % MOST_WINDOWS == 0)
         n = np.diff(np.append(start, len(own)))
         a = own[start]
         doc = words.doc[a]
-        parts.append((rows[first + doc], a - words.first[doc], n, key[a], K.Rolling(hashes, 0xD1B54A32D192ED05).slices(a, a + n - 1 + window)))
+        parts.append((rows[first + doc], a - words.first[doc], n, key[a], K.Blocks(two).slices(a, a + n - 1 + window)))
+    return _columns(parts)
+
+
+def _columns(parts: list[tuple]) -> dict[str, np.ndarray]:
     if not parts:
         parts = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),) * 2]
-    return dict(zip(("row", "place", "n", "key", "words"), (np.concatenate(x) for x in zip(*parts))))
+    return dict(zip(("row", "place", "n", "key", "tail"), (np.concatenate(x) for x in zip(*parts))))
 
 
 def _met(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Rows of _MET for stretches of a batch; of equal ones only the earliest meets others, the rest are known repeats."""
-    tail = (s["words"] & ~U64((1 << _COUNT_BITS) - 1)) | s["n"].astype(U64)
-    key = s["key"].copy()
+    """Rows of _MET for stretches of a batch; of equal ones only the earliest meets others, the rest are claims."""
+    key, n = s["key"].copy(), s["n"].astype(np.int64)
     again = np.flatnonzero(K.repeated(key))
     if len(again):
-        order = again[np.lexsort((s["place"][again], s["row"][again], tail[again], key[again]))]
-        same = (key[order][1:] == key[order][:-1]) & (tail[order][1:] == tail[order][:-1])
+        order = again[np.lexsort((s["place"][again], s["row"][again], s["tail"][again], key[again]))]
+        same = (key[order][1:] == key[order][:-1]) & (s["tail"][order][1:] == s["tail"][order][:-1])
+        head = np.append(True, ~same)
+        leads = order[head][np.diff(np.append(np.flatnonzero(head), len(order))) > 1]
         known = order[1:][same]
         # spread by their own place: they only pass through
         key[known] = K.mix(s["row"][known].astype(U64) ^ (s["place"][known].astype(U64) << U64(32)))
-        tail[known] |= U64(_KNOWN)
-    return {"key": key.view(np.int64), "tail": tail.view(np.int64), "row": s["row"], "place": s["place"].astype(np.int32)}
+        n[known] |= _KNOWN
+        n[leads] |= _LEAD
+    return {"key": key.view(np.int64), "tail": s["tail"].view(np.int64), "row": s["row"], "place": s["place"].astype(np.int32), "n": n.astype(np.int32)}
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Over rows of _MET in order: repeats, and the earliest occurrences of each stretch whose key has others."""
+    """Over rows of _MET in order: claims and what they are like, and the earliest occurrences of each stretch whose key has others."""
     key = tail = None  # of the last row
     lead = (0, 0)  # the earliest occurrence of that stretch
     held = None  # the only stretch of that key so far
     for batch in batches:
-        cols = [int64(batch.column(i)) for i in range(4)]
-        known = (cols[1] & _KNOWN) != 0
-        out = [(cols[2][known], cols[3][known], cols[1][known] & (_KNOWN - 1), np.ones(int(known.sum()), bool))]
-        k, t, r, p = (c[~known] for c in cols)
+        cols = [int64(batch.column(i)) for i in range(5)]
+        known, leads = (cols[4] & _KNOWN) != 0, (cols[4] & _LEAD) != 0
+        cols[4] &= _KNOWN - 1
+        out = [_rows(cols[2:], known, CLAIM), _rows(cols[2:], leads, LEAD)]
+        k, t, r, p, n = (c[~known] for c in cols)
         if len(k):
             new_key, new = np.ones(len(k), bool), np.ones(len(k), bool)
             new_key[1:] = k[1:] != k[:-1]
@@ -106,10 +128,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
             lead_r, lead_p = np.where(at >= 0, r[at], lead[0]), np.where(at >= 0, p[at], lead[1])
             later = ~new & ((r != lead_r) | (p != lead_p))
-            out.append((r[later], p[later], t[later] & (_KNOWN - 1), np.ones(int(later.sum()), bool)))
+            out.append(_rows((r, p, n), later, CLAIM))
+            led = np.flatnonzero(later)
+            led = led[np.append(True, (lead_r[led][1:] != lead_r[led][:-1]) | (lead_p[led][1:] != lead_p[led][:-1]))[: len(led)]]
+            out.append(_rows((lead_r, lead_p, n), led, LEAD))
             # the first of each stretch, behind the one that waits
             f = np.flatnonzero(new)
-            fk, fr, fp, fn = k[f], r[f], p[f], t[f] & (_KNOWN - 1)
+            fk, fr, fp, fn = k[f], r[f], p[f], n[f]
             mixed_before = key is not None and not new_key[0] and held is None
             if held is not None:
                 if new_key[0]:
@@ -125,20 +150,29 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
                 if not many[-1] and fk[-1] == k[-1]:
                     held = (fk[-1], fr[-1], fp[-1], fn[-1])
                 go = np.repeat(many, np.diff(np.append(heads, len(fk))))
-                out.append((fr[go], fp[go], fn[go], np.zeros(int(go.sum()), bool)))
+                out.append(_rows((fr, fp, fn), go, OPEN))
             key, tail, lead = k[-1], t[-1], (int(lead_r[-1]), int(lead_p[-1]))
-        row, place, n, repeat = (np.concatenate(x) for x in zip(*out))
+        row, place, n, kind = (np.concatenate(x) for x in zip(*out))
         if len(row):
-            yield {"row": row, "place": place.astype(np.int32), "n": n.astype(np.int32), "repeat": repeat}
+            yield {"row": row, "place": place.astype(np.int32), "n": n.astype(np.int32), "kind": kind.astype(np.int32)}
+
+
+def _rows(columns, which: np.ndarray, kind: int) -> tuple[np.ndarray, ...]:
+    row, place, n = (c[which] for c in columns)
+    return row, place, n, np.full(len(row), kind)
 
 
-def _windows(column: pa.Array, rows: np.ndarray, ranges: pa.Array, window: int) -> dict[str, np.ndarray]:
+def _packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return column.offsets.to_numpy().astype(np.int64), column.values.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _windows(column: pa.Array, rows: np.ndarray, ranges: pa.Array, window: int, bits: int) -> dict[str, np.ndarray]:
     """Rows of _MET for the single windows of some ranges (place * 64 + number of windows) of each text."""
-    bounds, packed = ranges.offsets.to_numpy().astype(np.int64), ranges.values.to_numpy(zero_copy_only=False).astype(np.int64)
+    bounds, packed = _packed(ranges)
     parts = []
     for first, stop, buf, offsets in K.chunks(column):
         words = K.Words(buf, offsets)
-        hashes = words.hashes()
+        one, two = _names(words, bits)
         own = packed[bounds[first] : bounds[stop]]
         doc = np.repeat(np.arange(stop - first), np.diff(bounds[first : stop + 1]))
         n = own & 63
@@ -146,8 +180,55 @@ def _windows(column: pa.Array, rows: np.ndarray, ranges: pa.Array, window: int)
         step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
         place = (own >> 6)[which] + step
         a = words.first[doc[which]] + place
-        parts.append((rows[first + doc[which]], place, np.ones(len(a), np.int64), K.Rolling(hashes).slices(a, a + window), K.Rolling(hashes, 0xD1B54A32D192ED05).slices(a, a + window)))
-    return dict(zip(("row", "place", "n", "key", "words"), (np.concatenate(x) for x in zip(*parts))))
+        parts.append((rows[first + doc[which]], place, np.ones(len(a), np.int64), K.Blocks(one).slices(a, a + window), K.Blocks(two).slices(a, a + window)))
+    return _columns(parts)
+
+
+def _spans(rows: np.ndarray, column: pa.Array, ranges: pa.Array, window: int) -> dict[str, list]:
+    """Rows of _SPAN: the words of each range (packed place * 64 + number of windows, times two, plus one for a claim). A claim whose words stand earlier in the batch is settled here and passes without them."""
+    bounds, packed = _packed(ranges)
+    entries = []
+    for first, stop, buf, offsets in K.chunks(column):
+        words = K.Words(buf, offsets)
+        data = buf[words.solid].tobytes()
+        at = np.concatenate([[0], np.cumsum(words.end - words.start)]).tolist()
+        lengths = (words.end - words.start).astype("<u4")
+        for i in range(first, stop):
+            base, end = int(words.first[i - first]), int(words.first[i - first + 1])
+            for x in sorted(set(packed[bounds[i] : bounds[i + 1]].tolist())):
+                place, n = x >> 7, (x >> 1) & 63
+                a = base + place
+                b = min(a + n - 1 + window, end)
+                # the words' number and lengths tell where they are cut
+                entries.append((int(rows[i]), place, n, bool(x & 1), (b - a).to_bytes(4, "little") + lengths[a:b].tobytes() + data[at[a] : at[b]]))
+    entries.sort(key=lambda e: e[:2])
+    seen: dict[bytes, tuple[int, int]] = {}
+    slot, span = [], []
+    for row, place, n, claim, words_ in entries:
+        first_at = seen.setdefault(words_, (row, place))
+        known = claim and first_at != (row, place)
+        slot.append(hash((row, place)) if known else int.from_bytes(hashlib.blake2b(words_, digest_size=8).digest(), "little", signed=True))
+        span.append(None if known else words_)
+    return {"slot": slot, "span": span} | {k: [e[j] for e in entries] for j, k in enumerate(("row", "place", "n", "claim"))}
+
+
+def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Over rows of _SPAN in order of their words, then place: whether each claim's words stand earlier."""
+    before: bytes | None = None
+    first = (0, 0)
+    for batch in batches:
+        spans, rows, places, n, claims = (batch.column(i).to_pylist() for i in range(1, 6))
+        repeat = []
+        for span, row, place in zip(spans, rows, places):
+            if span is None:
+                repeat.append(True)
+                continue
+            if span != before:
+                before, first = span, (row, place)
+            repeat.append((row, place) != first)
+        keep = [i for i, c in enumerate(claims) if c]
+        if keep:
+            yield {"row": [rows[i] for i in keep], "place": [places[i] for i in keep], "n": [n[i] for i in keep], "repeat": [repeat[i] for i in keep]}
 
 
 def _sorted_meeting(met: DataFrame) -> DataFrame:
@@ -160,22 +241,46 @@ def _ranges(found: DataFrame) -> DataFrame:
     return found.groupBy("row").agg(F.collect_list(F.col("place").cast("long") * 64 + F.col("n")).alias("ranges"))
 
 
-def repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """row and ranges (place * 64 + number of windows) of the windows that also start earlier. ``rows``: row, text."""
-
-    def parse(batch):
-        return _met(_stretches(int64(batch.column(0)), batch.column(1), window))
-
-    found = materialise(_sorted_meeting(map_arrow(rows.select("row", "text"), parse, _MET)), "repeats-found")
-    open_ = materialise(_ranges(found.filter("not repeat")), "repeats-open")
+def _single(rows: DataFrame, found: DataFrame, window: int, bits: int) -> DataFrame:
+    """Claims and leads among the single windows of ``found``."""
+    open_ = materialise(_ranges(found.select("row", "place", "n").distinct()), "repeats-open")
     some, _ = split_by_ids(rows.select("row", "text"), open_)
 
     def single(batch):
-        return _met(_windows(batch.column(1), int64(batch.column(0)), batch.column(2), window))
+        return _met(_windows(batch.column(1), int64(batch.column(0)), batch.column(2), window, bits))
+
+    return _sorted_meeting(map_arrow(some.join(open_, "row").select("row", "text", "ranges"), single, _MET)).filter(F.col("kind") != OPEN)
+
+
+def _verified(rows: DataFrame, claims: DataFrame, window: int) -> DataFrame:
+    """row, place, n of each claim, and whether its words stand earlier, by their bytes."""
+    packed = (F.col("place").cast("long") * 64 + F.col("n")) * 2 + (F.col("kind") == CLAIM).cast("long")
+    wanted = materialise(claims.groupBy("row").agg(F.collect_list(packed).alias("ranges")), "repeats-claimed")
+    some, _ = split_by_ids(rows.select("row", "text"), wanted)
 
-    windows = _sorted_meeting(map_arrow(some.join(open_, "row").select("row", "text", "ranges"), single, _MET))
-    both = found.filter("repeat").unionByName(windows.filter("repeat"))
-    return materialise(_ranges(both), "repeats")
+    def spans(batch):
+        return _spans(int64(batch.column(0)), batch.column(1), batch.column(2), window)
+
+    met = map_arrow(some.join(wanted, "row").select("row", "text", "ranges"), spans, _SPAN)
+    dealt = met.repartition(partitions(rows.sparkSession), "slot").sortWithinPartitions("slot", "span", "row", "place")
+    return materialise(stream_arrow(dealt, _check, _CHECKED), "repeats-checked")
+
+
+def repeats(rows: DataFrame, window: int = WINDOW, bits: int = 64) -> DataFrame:
+    """row and ranges (place * 64 + number of windows) of the windows that also start earlier. ``rows``: row, text; ``bits``: of the words' names."""
+    if not 2 <= window <= 1024:
+        raise ValueError(f"window must be 2 to 1024 words, not {window}")
+
+    def parse(batch):
+        return _met(_stretches(int64(batch.column(0)), batch.column(1), window, bits))
+
+    found = materialise(_sorted_meeting(map_arrow(rows.select("row", "text"), parse, _MET)), "repeats-found")
+    windows = _single(rows, found.filter(F.col("kind") == OPEN), window, bits)
+    checked = _verified(rows, found.filter(F.col("kind") != OPEN).unionByName(windows), window)
+    if not checked.filter(~F.col("repeat")).isEmpty():
+        # different words shared a name: what met is compared window by window
+        checked = _verified(rows, _single(rows, found, window, bits), window)
+    return materialise(_ranges(checked.filter("repeat")), "repeats")
 
 
 def _kept(n_words: int, packed: np.ndarray, window: int) -> np.ndarray:
