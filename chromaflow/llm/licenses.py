@@ -1,13 +1,14 @@
 """Licence scan by ordered signature rules.
 
 A text becomes its words (ASCII letters lower-cased, digits, other characters) with
-single spaces. Hand-written licence families are crossed with hand-written sentence
-forms into several hundred regular expressions, each gated by keywords that must
-occur first. Matches are taken in order of priority, then length, then place; one
-that lies within a match taken before it is suppressed. Base phrases are exact word
-sequences and are always reported.
+single spaces. Several hundred hand-written regular expressions (see
+:mod:`license_rules`) are gated by keywords: one automaton over all rules' keywords
+reads the text once, and only rules whose keyword occurs are tried. Matches are taken
+in order of priority, then length, then place; one that lies within a match taken
+before it is suppressed. Base phrases are exact word sequences and are always reported.
 
-One pass without a shuffle; memory is one batch. Whole texts are scanned.
+One pass without a shuffle; memory is one batch. Whole texts are scanned, in time that
+grows with their length and, with its logarithm, with the number of matches.
 
 Defined cases: a null text is empty: no words, no labels (empty strings), score 0,
 null places; repeated rows give repeated results; a null doc_id is passed on; other
@@ -17,129 +18,21 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_arrow, table, texts
+from .license_rules import IDENTIFIERS, RULES
 
 #: Fixed values of the query's contract.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: (label, pattern of the name in normalised words, keywords of which one must occur)
-FAMILIES = (
-    ("mit", r"(?:mit|expat|mit x11|x11 mit)", ("mit", "expat")),
-    ("x11", r"(?:x11|x consortium)", ("x11", "x consortium")),
-    ("apache-2", r"apache (?:software )?(?:license )?(?:version |v )?(?:2 0|2|v2)", ("apache",)),
-    ("apache-1.1", r"apache (?:software )?(?:license )?(?:version |v )?1 1", ("apache",)),
-    ("apache-1.0", r"apache (?:software )?(?:license )?(?:version |v )?1 0", ("apache",)),
-    ("bsd-2-clause", r"(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)", ("bsd",)),
-    ("bsd-3-clause", r"(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)", ("bsd",)),
-    ("bsd-4-clause", r"(?:bsd 4 clause|4 clause bsd|original bsd|old bsd)", ("bsd",)),
-    ("bsd-0-clause", r"(?:bsd 0 clause|0bsd|zero clause bsd)", ("bsd",)),
-    ("gpl-1.0", r"(?:gnu )?(?:gpl|general public license)(?: (?:version|v))? ?(?:v?1|v?1 0)", ("gpl", "general public")),
-    ("gpl-2.0", r"(?:gnu )?(?:gpl|general public license)(?: (?:version|v))? ?(?:v?2|v?2 0)", ("gpl", "general public")),
-    ("gpl-3.0", r"(?:gnu )?(?:gpl|general public license)(?: (?:version|v))? ?(?:v?3|v?3 0)", ("gpl", "general public")),
-    ("lgpl-2.0", r"(?:gnu )?(?:lgpl|library general public license)(?: (?:version|v))? ?(?:v?2|v?2 0)", ("lgpl", "library general")),
-    ("lgpl-2.1", r"(?:gnu )?(?:lgpl|lesser general public license)(?: (?:version|v))? ?v?2 1", ("lgpl", "lesser general")),
-    ("lgpl-3.0", r"(?:gnu )?(?:lgpl|lesser general public license)(?: (?:version|v))? ?(?:v?3|v?3 0)", ("lgpl", "lesser general")),
-    ("agpl-3.0", r"(?:gnu )?(?:agpl|affero general public license)(?: (?:version|v))? ?(?:v?3|v?3 0)", ("agpl", "affero")),
-    ("gfdl", r"(?:gnu )?(?:gfdl|fdl|free documentation license)(?: (?:version|v))?(?: 1 [123])?", ("gfdl", "fdl", "free documentation")),
-    ("mpl-1.1", r"(?:mpl|mozilla public license)(?: (?:version|v))? ?1 1", ("mpl", "mozilla")),
-    ("mpl-2.0", r"(?:mpl|mozilla public license)(?: (?:version|v))? ?2(?: 0)?", ("mpl", "mozilla")),
-    ("epl-1.0", r"(?:epl|eclipse public license)(?: (?:version|v))? ?1(?: 0)?", ("epl", "eclipse")),
-    ("epl-2.0", r"(?:epl|eclipse public license)(?: (?:version|v))? ?2(?: 0)?", ("epl", "eclipse")),
-    ("eupl", r"(?:eupl|european union public licen[cs]e)(?: (?:version|v))?(?: 1 [012])?", ("eupl", "european union")),
-    ("cddl", r"(?:cddl|common development and distribution license)(?: (?:version|v))?(?: 1 [01])?", ("cddl", "common development")),
-    ("cpl-1.0", r"(?:cpl|common public license)(?: (?:version|v))? ?1(?: 0)?", ("cpl", "common public")),
-    ("isc", r"isc", ("isc",)),
-    ("zlib", r"(?:zlib|zlib libpng|libpng)", ("zlib", "libpng")),
-    ("bsl-1.0", r"boost software(?: license)?(?: (?:version|v))?(?: 1 0)?", ("boost",)),
-    ("unlicense", r"unlicense", ("unlicense",)),
-    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public license)", ("wtfpl", "do what the")),
-    ("artistic-2.0", r"artistic(?: license)?(?: (?:version|v))? ?2(?: 0)?", ("artistic",)),
-    ("artistic-1.0", r"artistic(?: license)?(?: (?:version|v))? ?1(?: 0)?", ("artistic",)),
-    ("python-2.0", r"(?:psf|python software foundation)(?: license)?(?: (?:version|v))?(?: 2)?", ("psf", "python software")),
-    ("php-3.01", r"php(?: license)?(?: (?:version|v))? ?3(?: 0| 01)?", ("php",)),
-    ("ruby", r"ruby", ("ruby",)),
-    ("ofl-1.1", r"(?:sil )?(?:ofl|open font license)(?: (?:version|v))?(?: 1 1)?", ("ofl", "open font")),
-    ("odbl-1.0", r"(?:odbl|open database license)(?: (?:version|v))?(?: 1 0)?", ("odbl", "open database")),
-    ("odc-by", r"(?:odc by|open data commons attribution)(?: license)?", ("odc by", "open data commons")),
-    ("pddl", r"(?:pddl|public domain dedication and license)", ("pddl", "public domain")),
-    ("cc0", r"(?:cc0|cc zero|creative commons zero)(?: 1 0)?", ("cc0", "cc zero", "creative commons")),
-    ("cc-by-nc-nd", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)(?: [1234] [05])?", ("cc by", "creative commons")),
-    ("cc-by-nc-sa", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1234] [05])?", ("cc by", "creative commons")),
-    ("cc-by-nc", r"(?:cc by nc|creative commons attribution non ?commercial)(?: [1234] [05])?", ("cc by", "creative commons")),
-    ("cc-by-nd", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)(?: [1234] [05])?", ("cc by", "creative commons")),
-    ("cc-by-sa", r"(?:cc by sa|creative commons attribution share ?alike)(?: [1234] [05])?", ("cc by", "creative commons")),
-    ("cc-by", r"(?:cc by|creative commons attribution)(?: [1234] [05])?", ("cc by", "creative commons")),
-    ("ms-pl", r"(?:ms pl|microsoft public license)", ("ms pl", "microsoft public")),
-    ("ms-rl", r"(?:ms rl|microsoft reciprocal license)", ("ms rl", "microsoft reciprocal")),
-    ("afl-3.0", r"(?:afl|academic free license)(?: (?:version|v))?(?: 3 0)?", ("afl", "academic free")),
-    ("osl-3.0", r"(?:osl|open software license)(?: (?:version|v))?(?: 3 0)?", ("osl", "open software")),
-    ("upl-1.0", r"(?:upl|universal permissive license)(?: (?:version|v))?(?: 1 0)?", ("upl", "universal permissive")),
-    ("ncsa", r"(?:ncsa|university of illinois)(?: open source)?", ("ncsa", "university of illinois")),
-    ("postgresql", r"postgresql", ("postgresql",)),
-    ("openssl", r"openssl", ("openssl",)),
-    ("vim", r"vim", ("vim",)),
-    ("openrail-m", r"(?:bigscience |creativeml )?(?:open ?rail m|open ?rail)", ("openrail", "open rail")),
-    ("llama-community", r"llama (?:[234] )?community", ("llama",)),
-)
-
-#: (name, pattern with the family's name at %s, priority (smaller first), confidence)
-FORMS = (
-    ("identifier", r"spdx license identifier %s(?: only| or later)?", 0, 1.0),
-    ("grant", r"(?:licensed|released|distributed|available|published|provided|shared|redistributed|offered|dual licensed) (?:to you )?under (?:the )?(?:terms of )?(?:the )?(?:conditions of (?:the )?)?%s(?: public)?(?: licen[cs]e)?", 1, 0.98),
-    ("terms", r"(?:subject to|under the terms of|governed by|covered by|in accordance with|permitted by|in compliance with) (?:the )?%s(?: licen[cs]e)?", 2, 0.9),
-    ("under", r"under (?:the |a )?%s(?: licen[cs]e)", 3, 0.85),
-    ("name", r"%s licen[cs]e", 4, 0.75),
-    ("label", r"licen[cs]e (?:is |of |type |name )?%s", 5, 0.6),
-)
-
-#: Names that say enough by themselves.
-SELF_EVIDENT = frozenset("gpl-1.0 gpl-2.0 gpl-3.0 lgpl-2.0 lgpl-2.1 lgpl-3.0 agpl-3.0 mpl-1.1 mpl-2.0 cc0 cc-by-nc-nd cc-by-nc-sa cc-by-nc cc-by-nd cc-by-sa wtfpl bsd-2-clause bsd-3-clause ofl-1.1 odbl-1.0 gfdl eupl cddl".split())
-
-#: (label, phrase of a licence's own text, confidence)
-PASSAGES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", 0.95),
-    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 0.9),
-    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 0.95),
-    ("apache-2", "you may not use this file except in compliance with the license", 0.8),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", 0.9),
-    ("bsd-3-clause", "neither the name of", 0.4),
-    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display", 0.9),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", 0.95),
-    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty", 0.9),
-    ("lgpl", "this library is free software you can redistribute it and or modify it", 0.9),
-    ("gpl", "everyone is permitted to copy and distribute verbatim copies of this license document", 0.85),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license", 0.95),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 0.95),
-    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", 0.9),
-    ("zlib", "altered source versions must be plainly marked as such", 0.9),
-    ("unlicense", "this is free and unencumbered software released into the public domain", 0.98),
-    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy", 0.95),
-    ("wtfpl", "you just do what the fuck you want to", 0.9),
-    ("cc0", "to the extent possible under law the author has waived all copyright", 0.95),
-    ("public-domain", "dedicated to the public domain", 0.8),
-    ("public-domain", "released into the public domain", 0.8),
-    ("public-domain", "this work is in the public domain", 0.8),
-    ("proprietary", "all rights reserved", 0.5),
-    ("proprietary", "proprietary and confidential", 0.7),
-    ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited", 0.9),
-    ("proprietary", "no part of this publication may be reproduced", 0.85),
-    ("proprietary", "may not be reproduced without permission", 0.7),
-    ("warranty-disclaimer", "without warranties or conditions of any kind either express or implied", 0.5),
-    ("warranty-disclaimer", "without warranty of any kind express or implied", 0.5),
-    ("gpl", "gnu general public license", 0.7),
-    ("lgpl", "gnu lesser general public license", 0.7),
-    ("agpl", "gnu affero general public license", 0.7),
-    ("creative-commons", "licensed under a creative commons", 0.7),
-    ("creative-commons", "creative commons license", 0.7),
-)
-
-#: A text without any of these has no licence of any rule: each rule's match holds one of them.
-GATES = tuple(x.encode() for x in ("licen", "spdx", "subject to", " under ", "governed by", "covered by", "accordance with", "permitted by", "compliance with", "public domain", "rights reserved", "permission", "redistribut", "warrant", "gpl", "cc by", "cc0", "cc zero", "creative commons", "proprietary", "reproduced", "mpl", "mozilla", "bsd", "wtfpl", "ofl", "odbl", "eupl", "cddl", "fdl", "free documentation", "open font", "european union", "common development", "do what the", "neither the name of", "altered source", "advertising materials", "unauthorized copying", "free software"))
+#: Words that say little of a rule when its keyword is chosen.
+_PLAIN = frozenset("under the terms of is a may be not this and or to in you copy software".split())
 
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -149,64 +42,153 @@ class Rule:
     label: str
     name: str
     pattern: re.Pattern
-    keywords: tuple[bytes, ...]
+    keywords: tuple[str, ...]
     priority: int
     confidence: float
 
 
+def _weight(literal: str) -> int:
+    return sum(len(w) for w in literal.split() if w not in _PLAIN)
+
+
+def keywords(expression: str) -> tuple[str, ...]:
+    """Strings of which each match of ``expression`` holds one: the weightiest run of plain characters, or one of each alternative."""
+    from re import _constants as C
+    from re import _parser as parser
+
+    def best(sequence) -> tuple[str, ...]:
+        found: list[tuple[str, ...]] = []
+        run = ""
+        for op, value in [*sequence, (None, None)]:
+            if op is C.LITERAL:
+                run += chr(value)
+                continue
+            if run:
+                found.append((run,))
+                run = ""
+            if op is C.SUBPATTERN:
+                found.append(best(value[3]))
+            elif op is C.BRANCH:
+                each = [best(x) for x in value[1]]
+                found.append(tuple(k for x in each for k in x) if all(each) else ())
+            elif op is C.MAX_REPEAT and value[0] > 0:
+                found.append(best(value[2]))
+        found = [x for x in found if x]
+        return max(found, key=lambda x: min(_weight(k) for k in x)) if found else ()
+
+    return best(parser.parse(expression))
+
+
 @lru_cache(1)
 def rules() -> tuple[Rule, ...]:
     """All signature rules, in order of priority."""
     out = []
-    for label, name, keywords in FAMILIES:
-        forms = FORMS + ((("bare", "%s", 6, 0.5),) if label in SELF_EVIDENT else ())
-        for form, pattern, priority, confidence in forms:
-            out.append(Rule(label, form, re.compile((" " + pattern % name + "(?= )").encode()), tuple(k.encode() for k in keywords), priority, confidence))
-    for label, phrase, confidence in PASSAGES:
-        out.append(Rule(label, "passage", re.compile(f" {phrase}(?= )".encode()), (phrase.encode(),), 1 if confidence > 0.7 else 7, confidence))
-    return tuple(sorted(out, key=lambda r: r.priority))
+    for line in IDENTIFIERS.split("\n"):
+        if line:
+            identifier, label = line.split()
+            words = re.sub("[^a-z0-9]+", " ", identifier.lower())
+            # the longer identifier is another rule's: BSD-2-Clause-Patent is not BSD-2-Clause
+            out.append((label, "identifier", f"spdx license identifier {words}(?: only| or later| plus)?", 0, 1.0))
+    section, priority = "", 0
+    for line in RULES.split("\n"):
+        if line.startswith("["):
+            section, priority = line.strip("[]"), priority + 1
+        elif line:
+            label, confidence, expression = (x.strip() for x in line.split(" | "))
+            out.append((label, section, expression, priority, float(confidence)))
+    made = []
+    for label, name, expression, priority, confidence in out:
+        made.append(Rule(label, name, re.compile(f" (?:{expression})(?= )"), keywords(expression), priority, confidence))
+    return tuple(made)
+
+
+@lru_cache(1)
+def _automaton():
+    """Finds every keyword in one reading; its values are the places of the rules it opens."""
+    from ahocorasick import Automaton
+
+    opens: dict[str, list[int]] = {}
+    for i, rule in enumerate(rules()):
+        for k in rule.keywords:
+            opens.setdefault(k, []).append(i)
+    own = Automaton()
+    for k, which in opens.items():
+        own.add_word(k, tuple(which))
+    own.make_automaton()
+    return own
+
 
+class _Cover:
+    """Intervals taken so far: does one contain [a, b]? A tree of prefix maxima over the starts known beforehand."""
 
-def detections(normal: bytes) -> list[tuple[int, int, Rule]]:
+    def __init__(self, starts: list[int]):
+        self.starts = sorted(set(starts))
+        self.most = [-1] * (len(self.starts) + 1)
+
+    def contains(self, a: int, b: int) -> bool:
+        i = bisect_right(self.starts, a)
+        while i:
+            if self.most[i] >= b:
+                return True
+            i &= i - 1
+        return False
+
+    def add(self, a: int, b: int) -> None:
+        i = bisect_left(self.starts, a) + 1
+        while i < len(self.most):
+            self.most[i] = max(self.most[i], b)
+            i += i & -i
+
+
+def detections(normal: str) -> list[tuple[int, int, Rule]]:
     """Matches (start, end, rule) in `` words joined and enclosed by spaces `` that no match before them in order contains."""
-    if not any(g in normal for g in GATES):
+    opened: set[tuple[int, ...]] = {which for _, which in _automaton().iter(normal)}
+    if not opened:
         return []
-    there: dict[bytes, bool] = {}
+    own = rules()
     found = []
-    for rule in rules():
-        for k in rule.keywords:
-            if k not in there:
-                there[k] = k in normal
-        if any(there[k] for k in rule.keywords):
-            found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(normal)]
+    for i in sorted({i for which in opened for i in which}):
+        found += [(m.start(), m.end(), own[i]) for m in own[i].pattern.finditer(normal)]
     found.sort(key=lambda x: (x[2].priority, x[0] - x[1], x[0], -x[2].confidence))
-    kept: list[tuple[int, int, Rule]] = []
+    taken, kept = _Cover([a for a, _, _ in found]), []
     for a, b, rule in found:
-        if not any(x <= a and b <= y for x, y, _ in kept):
+        if not taken.contains(a, b):
+            taken.add(a, b)
             kept.append((a, b, rule))
     return kept
 
 
+def normalised(text: bytes) -> tuple[str, int]:
+    """(words joined and enclosed by spaces, their number); bytes beyond ASCII are one character each."""
+    words = text.translate(_NORMAL).split()
+    return (b" " + b" ".join(words) + b" ").decode("latin-1"), len(words)
+
+
+def _spaces(normal: str) -> np.ndarray:
+    return np.flatnonzero(np.frombuffer(normal.encode("latin-1"), np.uint8) == 32)
+
+
 def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
     """n_words, n_base, first_word, last_word, base_labels, labels and score of a whole text."""
-    words = text.translate(_NORMAL).split()
-    normal = b" " + b" ".join(words) + b" "
+    normal, n_words = normalised(text)
     places, base = [], set()
     for phrase, label in BASE:
-        needle = f" {phrase} ".encode()
+        needle = f" {phrase} "
         at = normal.find(needle)
         while at >= 0:
-            places.append(normal.count(b" ", 0, at))
+            places.append(at)
             base.add(label)
             at = normal.find(needle, at + 1)
+    first = last = None
+    if places:
+        first, last = np.searchsorted(_spaces(normal), [min(places), max(places)]).tolist()
     kept = detections(normal)
     doubt = 0.02 if base else 1.0
     for _, _, rule in kept:
         doubt *= 1 - rule.confidence
     labels = base | {rule.label for _, _, rule in kept}
-    return (
-        len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), min(1.0, max(0.0, 1 - doubt))
-    )
+    score = min(1.0, max(0.0, 1 - doubt))
+    return n_words, len(places), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score
 
 
 FIELDS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -233,10 +215,14 @@ def license_spans(documents: DataFrame) -> DataFrame:
 
         out: list[tuple] = []
         for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-            normal = b" " + b" ".join(raw.translate(_NORMAL).split()) + b" "
-            for a, b, rule in detections(normal):
+            normal, _ = normalised(raw)
+            kept = detections(normal)
+            if not kept:
+                continue
+            first = np.searchsorted(_spaces(normal), [a for a, _, _ in kept]).tolist()
+            for (a, b, rule), place in zip(kept, first):
                 span = normal[a:b].strip()
-                out.append((i, rule.label, rule.name, normal.count(b" ", 0, a), span.count(b" ") + 1, span.decode(), rule.confidence))
+                out.append((i, rule.label, rule.name, place, span.count(" ") + 1, span.encode("latin-1").decode(), rule.confidence))
         names = ("doc_id", "label", "rule", "first_word", "n_words", "matched", "confidence")
         return {k: [x[j] for x in out] for j, k in enumerate(names)}
 

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from chromaflow.llm import bpe, html_text, impact_topk, jaccard_join, licenses, mixing, pieces, recompression, repetition, rule_quality, substring_dedup, token_orc
+from chromaflow.llm import bpe, html_text, jaccard_join, licenses, mixing, pieces, recompression, repetition, rule_quality, substring_dedup, token_orc
 from chromaflow.llm import kernels as K
 
 #: Columns whose names clash with what operators use inside.
@@ -291,29 +291,6 @@ def test_rule_ensemble(spark, sf_dir, docs, empty):
     assert rule_quality.score_quality(docs, nothing).agg(F.min("score"), F.max("score")).first() == (0.5, 0.5)
 
 
-# --- 6 top-k
-
-
-def test_top_k(spark):
-    rng = np.random.default_rng(3)
-    data = rng.normal(0, 0.15, (300, 16)).astype(np.float32)
-    data[50:90] = data[50]
-    rows = [(i, [float(v) for v in x], "z") for i, x in enumerate(data)]
-    rows += [(300, None, "z"), (320, [float("nan")] * 16, "z"), (340, [None] * 16, "z"), (None, [1.0] * 16, "z")]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, v string")
-    own = vectors.select("vec_id", impact_topk.whole(F.col("embedding")).alias("v"))
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in impact_topk.top_k(own, own.filter("vec_id % 20 = 0"), 20).collect()}
-    whole = np.floor(data.astype(float) * 64).astype(int)
-    for q in range(0, 300, 20):
-        scores = whole @ whole[q]
-        order = [i for i in np.lexsort((np.arange(300), -scores)) if i != q][:20]
-        assert [got[q, k + 1] for k in range(20)] == [(i, scores[i]) for i in order]
-    assert len(got) == 300
-    few = own.filter("vec_id in (0, 7, 9)")
-    assert impact_topk.top_k(few, few.filter("vec_id = 0"), 20).count() == 2
-    assert impact_topk.top_k(few.filter("false"), few, 20).count() == 0
-
-
 # --- 7 Jaccard join
 
 
@@ -406,19 +383,6 @@ def test_removal(docs, empty, odd):
 # --- 10 licences
 
 
-def test_license_rules():
-    assert len(licenses.rules()) > 300
-    for _, phrase, _ in licenses.PASSAGES:
-        assert any(g in f" {phrase} ".encode() for g in licenses.GATES)
-    n, base, first, last, labels, more, score = licenses.scan("Released UNDER the MIT-License; Apache License, Version 2.0. cc by nc cc by nc".encode())
-    assert (n, base, first, last, labels) == (16, 4, 1, 13, "apache-2,cc-by-nc,mit") and set(labels.split(",")) <= set(more.split(",")) and 0.9 < score <= 1
-    assert licenses.scan(b"") == (0, 0, None, None, "", "", 0.0)
-    # the longer grant suppresses the name inside it
-    kept = licenses.detections(b" licensed under the gnu general public license version 3 ")
-    assert [r.label for _, _, r in kept] == ["gpl-3.0"]
-    assert licenses.scan("the miť license É under".encode())[1] == 0
-
-
 def test_license_query(docs, empty, odd):
     assert licenses.license_scan(docs).count() == len(TEXTS) and licenses.license_scan(empty).count() == 0 and licenses.license_scan(odd).count() == 8
     assert licenses.license_spans(docs).columns[0] == "doc_id"
