@@ -1,19 +1,23 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into blocks of text. A linear classifier over a block's text, tag
-and enclosing elements gives each block a cost for being called content and one
-for being called boilerplate: the capacities of its edges to the two terminals.
-Smoothness edges join blocks that follow one another and blocks with the same
-parent. The maximum flow between the terminals gives the cheapest labelling;
-blocks that their own terminal edge decides whatever the others do are settled
-first, which leaves the same cut.
-
-Pages are independent, so this is one pass without a shuffle; memory is one batch.
-
-Defined cases: null or empty html gives an empty text with 0 characters; markup
-that never closes runs to the end of its page, but a button, drawing or the like
-that is never closed ends at the next block; repeated rows give repeated
-results; a null page_id or url is passed on; other columns are ignored.
+A page is cut into blocks of text. A linear classifier gives each block a cost for
+being called content and one for being called boilerplate, the capacities of its edges
+to the two terminals: from its words, its links, its tag, and from what the elements
+around it say by tag and name. That evidence has finite weight: nothing but scripts,
+styles and controls is dropped without being asked. Smoothness edges join blocks that
+follow one another, the heavier the nearer they stand in the tree, and blocks with the
+same parent. The maximum flow between the terminals gives the cheapest labelling, in
+which neighbours overrule a classifier that is unsure; blocks that their own terminal
+edge decides whatever the others do are settled first, which leaves the same cut.
+
+Pages are independent, so this is one pass without a shuffle. Elements know their
+parents by pointer: memory and time grow with the page, not with its depth.
+
+Defined cases: null or empty html gives an empty text with 0 characters; a script,
+style or comment that never closes runs to the end of its page, any other element ends
+with the block around it; where nothing is content, the text that nothing speaks
+against is (a page of a few unmarked words); repeated rows give repeated results; a null
+page_id or url is passed on; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,26 +40,27 @@ _TOKEN = re.compile(
     re.S | re.X,
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_NOT_TEXT = frozenset("script style noscript template svg math iframe object embed canvas audio video map head title textarea select option button datalist".split())
-_RAW = frozenset("script style title textarea noscript iframe template svg math select button".split())
-#: Skipped whole where they close in their own block; what never closes ends at the next block's tag.
-_INERT = frozenset("noscript template svg math select button".split())
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+#: Their text is not the page's: dropped as markup. The first hold raw text up to their own end tag.
+_RAW = frozenset("script style title textarea iframe".split())
+_MUTE = frozenset("noscript template svg object embed canvas audio video map head select option datalist button label".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 _CELL = frozenset(("td", "th", "br", "wbr", "img", "input"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+_CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "button": ("button",)}
 _LIMITS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}
 
-_AWAY_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
+_AWAY_TAGS = frozenset("nav footer aside menu dialog".split())
+_FORM_TAGS = frozenset("form fieldset".split())
 _AWAY_WORDS = frozenset(
-    """ad ads advert adverts advertisement advertising adslot adsense aside banner breadcrumb breadcrumbs byline comment comments commentlist
+    """ad ads advert adverts advertisement advertising adslot adsense aside banner complementary breadcrumb breadcrumbs byline comment comments commentlist
     consent contentinfo cookie cookies copyright disclaimer disqus footer gdpr header legal login masthead menu menubar modal nav navbar navigation navmenu
     newsletter notice notices notification pager paging pagination popup promo promos promotion recommended related reply replies respond search
     share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets""".split()
 )
-#: Words that hold for all inside but in the main element; the other words yield to an article and to names of content.
+#: Words that hold for all inside but in the main element; the other words yield to an article and to names of content inside.
 _HARD_WORDS = frozenset("ad ads advert comment comments commentlist cookie disqus footer nav navigation sidebar".split())
 _STAY_WORDS = frozenset("article articlebody content entry main post story text".split())
 #: First parts of names that tell a state or a topic, not what the element is; and parts that may follow the word that decides.
@@ -67,21 +72,27 @@ _PARTS = frozenset(
 _LEGAL = re.compile("©|\\(c\\) *[0-9]{4}|all rights reserved|cookie|privacy policy|terms of (?:use|service)|subscribe|sign (?:in|up)|log in", re.I)
 _END = re.compile("[.!?…:;][\"'”’)»]*(?:\\s|$)")
 
-NEITHER, STAY, AWAY, GONE = 0, 1, 2, 3
-
 
 class _Element:
-    __slots__ = ("tag", "mark", "path")
+    """An open element: its tag, what it says of its text, the block element around it and its depth."""
+
+    __slots__ = ("tag", "evidence", "up", "depth", "mute")
+
+    def __init__(self, tag: str, evidence: tuple, up: "_Element | None", mute: bool):
+        self.tag, self.evidence, self.up, self.mute = tag, evidence, up, mute
+        self.depth = up.depth + 1 if up else 0
+
 
-    def __init__(self, tag: str, mark: int, path: tuple):
-        self.tag, self.mark, self.path = tag, mark, path
+#: Evidence of the elements around a block, in log odds: (against, whether that holds in an article inside too, for).
+_NOTHING = (0.0, False, 0.0)
+_AGAINST, _AGAINST_HEADER, _FOR, _YIELDS = -12.0, -8.0, 5.0, 0.25
 
 
 @lru_cache(maxsize=65536)
 def _word(name: str) -> str | None:
-    """The word that decides what an element of this whole class or id is; None where no word does.
+    """The word that says what an element of this whole class or id is; None where no word does.
 
-    A word decides alone, as the last part (site-footer), before parts of a layout (sidebar-left), or before a name of content
+    A word speaks alone, as the last part (site-footer), before parts of a layout (sidebar-left), or before a name of content
     (related-posts, comment-text); not in states and topics (has-sidebar, comments-open, category-legal).
     """
     parts = [x for x in re.split("[^a-z]+", name) if x]
@@ -96,83 +107,105 @@ def _word(name: str) -> str | None:
     return None
 
 
-def _mark(tag: str, attributes: str, outer: int) -> int:
-    """What an element says of the text in it. GONE and AWAY by tag or reader comments hold for all inside; AWAY by name yields to an article inside."""
-    if outer == GONE:
-        return GONE
+def _evidence(tag: str, attributes: str, outer: tuple) -> tuple:
+    """What an element says of the text in it, beside what those around it say."""
+    against, firm, for_ = outer
     if tag in _AWAY_TAGS:
-        return GONE
-    mark = outer
-    if tag in ("article", "main"):
-        mark = STAY
-    elif tag == "header":
-        mark = STAY if outer == STAY else AWAY
-    if attributes and tag not in ("body", "html"):
-        names: set[str] = set()
-        for m in _ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-            if key in ("class", "id", "role", "itemprop"):
-                names.update(value.split())
-            elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-                return GONE
-        words = {_word(x) for x in names}
-        away, stay = words & _AWAY_WORDS, words & _STAY_WORDS
-        if away:
-            if away == {"header"} and (outer == STAY or stay or any(x in _STAY_WORDS for n in names for x in re.split("[^a-z]+", n))):
-                return mark
-            if tag == "main" or ((tag == "article" or stay) and not away & _HARD_WORDS):
-                return STAY
-            return GONE if outer == STAY or away & _HARD_WORDS and tag not in ("section",) else AWAY
-        if stay:
-            mark = STAY
-    return mark
-
-
-_BLOCK_TAG = re.compile(f"</?(?:{'|'.join(sorted(_BLOCK, key=len, reverse=True))})(?=[\\s/>])", re.I)
-
-
-def _closed_here(tag: str, inside: str, stack: list[_Element]) -> bool:
-    """Whether the element that ends after ``inside`` is the one that began before it: none like it begins, and no block around it ends."""
-    low = inside.lower()
-    if tag in ("button", "select") and re.search(f"<{tag}(?=[\\s/>])", low):
-        return False
-    around = {e.tag for e in stack if e.tag in _BLOCK}
-    open_here: dict[str, int] = {}
-    for m in _BLOCK_TAG.finditer(low):
-        name = m[0].strip("</")
-        open_here[name] = open_here.get(name, 0) + (-1 if m[0].startswith("</") else 1)
-        if open_here[name] < 0 and name in around:
-            return False
-    return True
-
-
-def blocks_of(html: str) -> list[tuple[str, int, int, str, int, int]]:
-    """(text, mark, parent number, tag, characters in links, depth) of each block in page order."""
-    out: list[tuple[str, int, int, str, int, int]] = []
-    stack = [_Element("", NEITHER, (0,))]
+        return _AGAINST, True, for_
+    if tag in _FORM_TAGS:
+        against = min(against, _AGAINST)
+    elif tag in ("article", "main"):
+        against, for_ = against if firm else against * _YIELDS, _FOR
+    elif tag == "header" and not for_:
+        against = min(against, _AGAINST_HEADER)
+    if not attributes or tag in ("body", "html"):
+        return against, firm, for_
+    names: set[str] = set()
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        if key in ("class", "id", "role", "itemprop"):
+            names.update(value.split())
+        elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and _HIDDEN.search(value)):
+            return _AGAINST, True, for_
+    words = {_word(x) for x in names}
+    away, stay = words & _AWAY_WORDS, words & _STAY_WORDS
+    if away == {"header"}:
+        if not (for_ or stay or any(x in _STAY_WORDS for n in names for x in re.split("[^a-z]+", n))):
+            against = min(against, _AGAINST_HEADER)
+        return against, firm, for_
+    if away and not (tag == "main" or ((tag == "article" or stay) and not away & _HARD_WORDS)):
+        return _AGAINST, firm or bool(for_ or away & _HARD_WORDS), for_
+    if stay or away:
+        against, for_ = against if firm else against * _YIELDS, _FOR
+    return against, firm, for_
+
+
+class Block:
+    """A block of text: the element it stands in, and the characters of it that are links."""
+
+    __slots__ = ("text", "home", "evidence", "linked")
+
+    def __init__(self, text: str, home: _Element, evidence: tuple, linked: int):
+        self.text, self.home, self.evidence, self.linked = text, home, evidence, linked
+
+
+def blocks_of(html: str) -> list[Block]:
+    """The blocks of a page in its order."""
+    out: list[Block] = []
+    root = _Element("", _NOTHING, None, False)
+    stack = [root]
+    blocks = [root]  # the block elements of the stack
+    open_: dict[str, int] = {}  # open elements by tag
+    inline: list[dict[str, int]] = [{}]  # open inline elements by tag since each of ``blocks``
     buffer: list[str] = []
-    linked = numbered = 0
-    in_link = 0
+    linked = in_link = 0
 
     def flush() -> None:
         nonlocal linked
         if buffer:
             text = " ".join("".join(buffer).split())
             if text:
-                home = next((e for e in reversed(stack) if e.tag in _BLOCK or not e.tag), stack[0])
-                path = home.path
-                out.append((text, stack[-1].mark, path[-2] if len(path) > 1 else 0, home.tag, min(linked, len(text)), len(path)))
+                out.append(Block(text, blocks[-1], stack[-1].evidence, min(linked, len(text))))
             buffer.clear()
         linked = 0
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not stack[-1].mute:
             text = unescape(raw) if "&" in raw else raw
             buffer.append(text)
             if in_link:
                 linked += len(text)
 
+    def pop() -> str:
+        nonlocal in_link
+        gone = stack.pop()
+        open_[gone.tag] -= 1
+        if gone is blocks[-1]:
+            blocks.pop()
+            inline.pop()
+        else:
+            inline[-1][gone.tag] -= 1
+        if gone.tag == "a":
+            in_link -= 1
+        return gone.tag
+
+    def push(tag: str, attributes: str) -> None:
+        nonlocal in_link
+        outer = stack[-1]
+        asked = tag in _BLOCK or tag in ("span", "td", "th", "a")
+        evidence = _NOTHING if tag == "body" else _evidence(tag, attributes, outer.evidence) if asked else outer.evidence
+        own = _Element(tag, evidence, blocks[-1], tag != "body" and (outer.mute or tag in _MUTE))
+        stack.append(own)
+        open_[tag] = open_.get(tag, 0) + 1
+        if tag in _BLOCK:
+            blocks.append(own)
+            inline.append({})
+        else:
+            inline[-1][tag] = inline[-1].get(tag, 0) + 1
+        if tag == "a":
+            in_link += 1
+
     at, end = 0, len(html)
     while at < end:
         m = _TOKEN.search(html, at)
@@ -188,67 +221,62 @@ def blocks_of(html: str) -> list[tuple[str, int, int, str, int, int]]:
         if closing:
             if tag in _BLOCK:
                 flush()
-            elif tag in _CELL:
-                buffer.append(" ")
-            if tag == "a":
-                in_link = max(0, in_link - 1)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in _BLOCK and stack[k].tag in _BLOCK:
-                    break
-            continue
-        if tag in _RAW and not attributes.endswith("/"):
-            close = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(html, at)
-            if tag in _INERT and not (close and _closed_here(tag, html[at : close.start()], stack)):
-                following = _BLOCK_TAG.search(html, at)
-                at = following.start() if following else end
+                if open_.get(tag):
+                    while pop() != tag:
+                        pass
             else:
+                if tag in _CELL:
+                    buffer.append(" ")
+                # an inline element ends only in the block that it began in
+                if inline[-1].get(tag):
+                    while pop() != tag:
+                        pass
+            continue
+        if tag in _RAW:
+            if not attributes.endswith("/"):
+                close = _end_of(tag).search(html, at)
                 at = close.end() if close else end
             buffer.append(" ")
             continue
         if tag in _BLOCK:
             flush()
-        elif tag in _CELL:
+            while stack[-1].tag == "head":
+                pop()
+        elif tag in _CELL or tag in _MUTE:
             buffer.append(" ")
-        if tag in _CLOSES:
+        if tag in _CLOSES and any(open_.get(x) for x in _CLOSES[tag]):
             stop = _LIMITS.get(tag, ())
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in _CLOSES[tag]:
-                    del stack[k:]
+                    while len(stack) > k:
+                        pop()
                     break
-                if stack[k].tag in stop or (tag == "p" and stack[k].tag in _BLOCK):
+                if stack[k].tag in stop or (tag in ("p", "option", "button") and stack[k].tag in _BLOCK):
                     break
         elif tag in _BLOCK and stack[-1].tag == "p":
-            stack.pop()
-        if tag in _VOID or attributes.endswith("/"):
-            continue
-        if tag == "a":
-            in_link += 1
-        numbered += 1
-        outer = stack[-1]
-        mark = GONE if tag in _NOT_TEXT else _mark(tag, attributes, outer.mark) if tag in _BLOCK or tag in ("span", "td") else outer.mark
-        if tag == "body":
-            mark = NEITHER
-        if tag == "head":
-            mark = GONE
-        stack.append(_Element(tag, mark, (*outer.path, numbered) if tag in _BLOCK else outer.path))
+            pop()
+        if tag not in _VOID and not attributes.endswith("/"):
+            push(tag, attributes)
     flush()
     return out
 
 
-#: Weights of the linear classifier, in log odds of being content.
-_BY_MARK = {NEITHER: 0.0, STAY: 9.0, AWAY: -7.0, GONE: -40.0}
-_ADJACENT, _SIBLING = 0.8, 1.2
+@lru_cache(16)
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I)
+
+
+#: Smoothness: of neighbours by their distance in the tree, of blocks with one parent, and what is left of it between unlike evidence.
+_ADJACENT, _FAR, _SIBLING, _UNLIKE = 2.2, 0.2, 0.8, 0.3
 _SCALE = 1000
 
 
-def odds(block: tuple[str, int, int, str, int, int]) -> float:
+def odds(block: Block) -> float:
     """Log odds that a block is content, by the classifier alone."""
-    text, mark, _, tag, linked, _ = block
+    text, tag = block.text, block.home.tag
+    against, _, for_ = block.evidence
     words = text.count(" ") + 1
-    z = _BY_MARK[mark] - 1.2 + 0.09 * min(words, 45) - 4.5 * linked / len(text)
+    z = against + for_ - 1.0 + 0.09 * min(words, 45) - 4.5 * block.linked / len(text)
     if tag in ("p", "blockquote", "pre"):
         z += 1.4
     elif tag in ("h1", "h2", "h3", "h4"):
@@ -262,6 +290,38 @@ def odds(block: tuple[str, int, int, str, int, int]) -> float:
     return z
 
 
+def _steps(a: _Element | None, b: _Element | None, most: int = 8) -> int:
+    """Steps from one block element to another through the tree, at most ``most``."""
+    for n in range(most):
+        if a is b:
+            return n
+        if a is None or (b is not None and b.depth > a.depth):
+            b = b.up
+        else:
+            a = a.up
+    return most
+
+
+def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
+    """Smoothness edges of a page's blocks."""
+    out, before = [], {}
+
+    def join(i: int, k: int, weight: float) -> None:
+        a, b = blocks[i].evidence, blocks[k].evidence
+        out.append((i, k, weight if a[0] == b[0] else weight * _UNLIKE))
+
+    for k, block in enumerate(blocks):
+        if k:
+            steps = _steps(blocks[k - 1].home, block.home)
+            join(k - 1, k, _ADJACENT / (1 + 0.5 * steps) if steps < 8 else _FAR)
+        parent = block.home.up
+        if parent is not None:
+            if parent in before:
+                join(before[parent], k, _SIBLING)
+            before[parent] = k
+    return out
+
+
 def cut(z: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """The labelling (True: content) of least cost: -z of each block on the wrong side of 0, plus the weight of each edge between labels."""
     n = len(z)
@@ -336,22 +396,20 @@ def _max_flow(rest: list[int], unary: list[int], near: list[dict[int, int]]) ->
                 path.pop()
 
 
+def labels_of(blocks: list[Block]) -> list[bool]:
+    """Which blocks are content."""
+    z, edges = [odds(b) for b in blocks], edges_of(blocks)
+    labels = cut(z, edges)
+    if any(labels):
+        return labels
+    # nothing stands out: what nothing speaks against is the page's text
+    return [not b.evidence[0] and 2 * b.linked < len(b.text) and any(c.isalnum() for c in b.text) for b in blocks]
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page, its blocks joined by one line feed."""
     blocks = blocks_of(html or "")
-    if not blocks:
-        return ""
-    edges, before = [], {}
-    for k, (_, mark, parent, _, _, depth) in enumerate(blocks):
-        if mark == GONE:
-            # settled by the markup: it pulls no other block
-            continue
-        if k and blocks[k - 1][1] != GONE:
-            edges.append((k - 1, k, _ADJACENT / (1 + 0.5 * abs(blocks[k - 1][5] - depth))))
-        if parent in before:
-            edges.append((before[parent], k, _SIBLING))
-        before[parent] = k
-    return "\n".join(b[0] for b, keep in zip(blocks, cut([odds(b) for b in blocks], edges)) if keep)
+    return "\n".join(b.text for b, keep in zip(blocks, labels_of(blocks)) if keep)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

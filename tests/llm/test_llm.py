@@ -134,11 +134,9 @@ def test_main_text_of_compound_names():
         assert html_text.main_text(f"<body><article><{inert}><div>Press</div></{inert}><p>{long}</p></article></body>") == long.strip(), inert
 
 
-def test_cut_joins_blocks_of_different_marks(monkeypatch):
-    seen = []
-    monkeypatch.setattr(html_text, "cut", lambda z, edges: seen.append({e[:2] for e in edges}) or [True] * len(z))
-    html_text.main_text('<div class="promo">One</div><article>Two</article><nav>Gone</nav><p>Three</p>')
-    assert (0, 1) in seen[0] and not any(2 in e for e in seen[0])
+def test_cut_joins_blocks_of_unlike_evidence():
+    blocks = html_text.blocks_of('<div class="promo">One</div><article>Two</article><nav>Three</nav><p>Four</p>')
+    assert {(0, 1), (1, 2), (2, 3)} <= {e[:2] for e in html_text.edges_of(blocks)} and len({b.evidence for b in blocks}) == 4
 
 
 @settings(max_examples=80, deadline=None)
