@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -71,17 +72,46 @@ def _arrow(kind) -> pa.DataType:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors see; the cluster's spark.checkpoint.dir if it names one."""
+    """A new folder that the driver and all executors see, in the cluster's spark.checkpoint.dir; removed when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_dir(spark)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_remove_all)
+    _written.append((spark, path))
+    return path
 
 
 def _own_dir(spark: SparkSession) -> str:
-    """Only where the cluster names no folder, as in tests on one machine."""
+    """Where the session names no folder: one of this machine's, which only a local master shares with its executors."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.conf.set("spark.checkpoint.dir", "/tmp/checkpoints")
     return "/tmp/checkpoints"
 
 
+#: Folders written by this driver, with the session that wrote them.
+_written: list[tuple[SparkSession, str]] = []
+
+
+def release() -> None:
+    """Removes all intermediate folders written so far. Frames that were not read yet are lost."""
+    while _written:
+        spark, path = _written.pop()
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+
+
+def _remove_all() -> None:
+    """At the driver's end; what cannot be reached any more (a stopped JVM) stays for the cluster's own cleaning."""
+    from py4j.protocol import Py4JError, Py4JNetworkError
+
+    try:
+        release()
+    except (Py4JError, Py4JNetworkError, AttributeError, OSError):
+        _written.clear()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts the lineage and survives lost executors."""
     path = shared_path(df.sparkSession, name)

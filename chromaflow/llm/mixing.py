@@ -33,8 +33,10 @@ BUDGET = 1.5
 MOST = 2.0
 #: Newton steps end when every source is this near to its target (share of it), or after so many.
 NEAR, MOST_STEPS = 1e-7, 60
+#: Multipliers are rounded to so many digits: sums of doubles differ in their last bits from run to run.
+DIGITS = 10
 #: Copies move until every source's words are this near to its target (share of it), or no copy helps.
-ROUNDED, MOST_MOVES = 1e-5, 40
+ROUNDED, MOST_MOVES = 1e-5, 60
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -97,13 +99,16 @@ def balance(histogram: DataFrame, targets: DataFrame) -> DataFrame:
         state = materialise(
             state.join(moments, "key", "left").select(
                 "key", "mean", "target", "full",
-                F.when(F.col("full") | F.col("got").isNull(), F.col("multiplier")).otherwise(F.col("multiplier") - F.greatest(-most, F.least(most, step))).alias("multiplier"),
+                F.when(F.col("full") | F.col("got").isNull(), F.col("multiplier")).otherwise(F.round(F.col("multiplier") - F.greatest(-most, F.least(most, step)), DIGITS)).alias("multiplier"),
                 F.when(F.col("full") | F.col("got").isNull(), 0.0).otherwise(F.abs(F.col("got") - F.col("target")) / F.col("target")).alias("off"),
             ),
             "mix-newton",
         )
-        if (state.agg(F.max("off")).first()[0] or 0.0) <= NEAR:
+        off = state.agg(F.max("off")).first()[0] or 0.0
+        if off <= NEAR:
             break
+    else:
+        raise RuntimeError(f"the dual is not solved: a source is {off:g} of its target away after {MOST_STEPS} steps")
     rate = F.when(F.col("full"), F.lit(MOST)).otherwise(_rate(F.col("multiplier"), F.col("size"), F.col("mean")))
     return rows.join(state, "key").select("key", "size", "n", "target", rate.alias("rate"))
 
@@ -120,13 +125,18 @@ def copies_of_sizes(rates: DataFrame) -> DataFrame:
         left = left.filter(F.abs("left") > ROUNDED * F.col("aim")).select("key", "left")
         room = F.when(F.col("left") > 0, MOST * F.col("n") - F.col("copies")).otherwise(F.col("copies"))
         movable = state.join(left, "key").withColumn("room", room.cast("long")).filter("room > 0 and size <= abs(left)")
-        best = movable.groupBy("key").agg(F.max_by(F.struct("size", (F.signum("left") * F.least("room", F.floor(F.abs("left") / F.col("size")))).cast("long").alias("move")), "size").alias("best"))
-        best = materialise(best.select("key", "best.size", "best.move"), "mix-moves")
-        if best.isEmpty():
+        # the largest sizes first, as long as all of their copies fit, then what fits of the next: the sizes that can move shrink each time
+        upto = F.sum(F.col("size") * F.col("room")).over(down.rowsBetween(Window.unboundedPreceding, -1))
+        rest = F.abs("left") - F.coalesce(upto, F.lit(0))
+        moved = movable.withColumn("move", F.least("room", F.floor(rest / F.col("size")))).filter("move > 0")
+        moved = materialise(moved.select("key", "size", (F.signum("left") * F.col("move")).cast("long").alias("move")), "mix-moves")
+        if moved.isEmpty():
             break
         state = materialise(
-            state.join(best, ["key", "size"], "left").select("key", "size", "n", "target", (F.col("copies") + F.coalesce("move", F.lit(0))).alias("copies")), "mix-copies"
+            state.join(moved, ["key", "size"], "left").select("key", "size", "n", "target", (F.col("copies") + F.coalesce("move", F.lit(0))).alias("copies")), "mix-copies"
         )
+    else:
+        raise RuntimeError(f"copies still move after {MOST_MOVES} rounds")
     return state.select("key", "size", "n", "copies")
 
 

@@ -166,7 +166,8 @@ def write_token_orc(documents: DataFrame, out: str, path: str | None = None, end
             yield {"doc_id": batch.column(0), "shard": np.full(len(n), shard, np.int32), "offset": before + stop - n, "n_tokens": n, "ids": lists}
             before += int(stop[-1])
 
-    ordered = texts(documents).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows that share a doc_id, or have none, are dealt by how their texts begin
+    ordered = texts(documents).repartitionByRange(shards, F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     stream_arrow(ordered, run, SCHEMA).write.options(**WRITER).orc(out)
 
 
@@ -181,8 +182,8 @@ def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def find_documents(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
-    """Rows of some documents; stripes and row groups without them are skipped by index and Bloom filter."""
-    return read_token_orc(spark, path).filter(F.col("doc_id").isin([int(i) for i in ids]))
+    """SCHEMA of some documents; stripes and row groups without them are skipped by index and Bloom filter, nothing else is read."""
+    return spark.read.schema(SCHEMA).orc(path).filter(F.col("doc_id").isin([int(i) for i in ids]))
 
 
 def digests(rows: DataFrame) -> DataFrame:

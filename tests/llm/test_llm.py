@@ -259,13 +259,41 @@ def test_token_orc(spark, docs, empty, odd, tmp_path):
         ids = [*library.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids, 1]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
-    found = token_orc.find_documents(spark, out, [5, 7])
-    assert {r.doc_id for r in found.collect()} == {5, 7} and "doc_id" in found._jdf.queryExecution().toString()
+    assert {r.doc_id for r in token_orc.find_documents(spark, out, [5, 7]).collect()} == {5, 7}
     for name, own, n in (("e", empty, 0), ("o", odd, 8)):
         token_orc.write_token_orc(own, str(tmp_path / name))
         assert token_orc.read_token_orc(spark, str(tmp_path / name)).count() == n
 
 
+def rows_scanned(df):
+    """Rows that the scan of a plan without exchanges gave."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    return plan.collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+
+def test_lookups_skip_row_groups(spark, tmp_path):
+    out = str(tmp_path / "many")
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    token_orc.write_token_orc(docs, out, shards=3)
+    # row groups hold 1,000 rows
+    assert rows_scanned(spark.read.schema(token_orc.SCHEMA).orc(out)) == 30_000
+    found = token_orc.find_documents(spark, out, [12_345])
+    assert rows_scanned(found) <= 1_000 and [r.doc_id for r in found.collect()] == [12_345]
+    # inside every row group's bounds, but in none: the Bloom filters know
+    gaps = str(tmp_path / "gaps")
+    token_orc.write_token_orc(docs.withColumn("doc_id", F.col("doc_id") * 1_000), gaps, shards=3)
+    assert rows_scanned(token_orc.find_documents(spark, gaps, [12_345_678])) <= 1_000
+
+
+def test_rows_of_one_id_are_dealt_over_shards(spark, tmp_path):
+    out = str(tmp_path / "same")
+    docs = spark.range(4_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.col("id") * 7 % 4_000, F.lit(" w")).alias("text"))
+    token_orc.write_token_orc(docs, out, shards=4)
+    sizes = [r["count"] for r in spark.read.schema(token_orc.SCHEMA).orc(out).groupBy("shard").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2_000
+
+
 # --- 5 quality
 
 
