@@ -1,10 +1,9 @@
 """Vectorised text kernels over the byte buffers of Arrow string columns.
 
 A batch is one ``uint8`` buffer with document offsets; words are runs of bytes
-outside space and 0x09-0x0D. Words are equal where their bytes are: each batch's
-words are looked up in a dictionary of bytes, and names that hold across batches
-are halves of a 128-bit BLAKE2b of the bytes. Only different words are visited in
-Python, once a batch.
+outside space and 0x09-0x0D. Words are equal where their keys are: the bytes of a
+word of up to 15, a 120-bit BLAKE2b of a longer one. Names that hold across batches
+are hashes of keys. Only long words are visited in Python.
 """
 
 from __future__ import annotations
@@ -117,10 +116,20 @@ def binaries(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def digests(strings: list[bytes]) -> np.ndarray:
-    """Two 64-bit names (columns) of each byte string: the halves of its 128-bit BLAKE2b."""
-    raw = b"".join([blake2b(x, digest_size=16).digest() for x in strings])
-    return np.frombuffer(raw, U64).reshape(-1, 2)
+#: Bytes of a word that its key holds as they are.
+SHORT = 15
+_LOW = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(SHORT + 1)], U64)
+_HIGH = np.array([(1 << 8 * max(n - 8, 0)) - 1 for n in range(SHORT + 1)], U64)
+_ROUNDS = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0x27D4EB2F165667C5))
+
+
+def named(keys: np.ndarray) -> np.ndarray:
+    """Two 64-bit names (columns) for keys of two 64-bit halves: four rounds of a Feistel network, and the key added again so that it cannot be run backwards."""
+    low, high = keys[:, 0], keys[:, 1]
+    a, b = low, high
+    for constant in _ROUNDS:
+        a, b = b, a ^ mix(b + constant)
+    return np.column_stack([a ^ low, b ^ high])
 
 
 class Words:
@@ -143,16 +152,38 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(self.n_docs), np.diff(self.first))
 
-    def coded(self, lower: bool = False) -> tuple[np.ndarray, list[bytes]]:
-        """(place of each word in the list of different words, that list): equal places are equal bytes."""
-        data = (_LOWER[self.buf] if lower else self.buf)[self.solid]
-        coded = binaries(data, self.end - self.start).dictionary_encode()
-        return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    def keys(self, lower: bool = False) -> np.ndarray:
+        """Two 64-bit halves (columns) of each word's key: equal keys are equal words.
+
+        Up to SHORT bytes the key holds the word's bytes and their number; of a longer
+        word, its 120-bit BLAKE2b.
+        """
+        n = self.end - self.start
+        out = np.zeros((len(n), 2), U64)
+        if not len(n):
+            return out
+        data = np.concatenate([_LOWER[self.buf] if lower else self.buf, np.zeros(16, np.uint8)])
+        eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        some = np.minimum(n, SHORT)
+        out[:, 0] = eight[self.start] & _LOW[some]
+        out[:, 1] = (eight[self.start + 8] & _HIGH[some]) | (some.astype(U64) << U64(56))
+        long = np.flatnonzero(n > SHORT)
+        if len(long):
+            raw = data.tobytes()
+            seen: dict[bytes, bytes] = {}
+            parts = []
+            for a, b in zip(self.start[long].tolist(), self.end[long].tolist()):
+                word = raw[a:b]
+                digest = seen.get(word)
+                if digest is None:
+                    digest = seen[word] = blake2b(word, digest_size=SHORT).digest() + b"\xff"
+                parts.append(digest)
+            out[long] = np.frombuffer(b"".join(parts), "<u8").reshape(-1, 2)
+        return out
 
     def names(self, lower: bool = False) -> np.ndarray:
-        """Two 64-bit names of each word, the same wherever the word stands."""
-        codes, different = self.coded(lower)
-        return digests(different)[codes] if different else np.zeros((0, 2), U64)
+        """Two 64-bit names (columns) of each word, the same wherever the word stands."""
+        return named(self.keys(lower))
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """The first of the two names."""
@@ -187,39 +218,45 @@ def within(words: Words, n: int) -> np.ndarray:
 
 def repeated(keys: np.ndarray) -> np.ndarray:
     """Mask of the keys that occur more than once."""
+    out = np.zeros(len(keys), bool)
     if len(keys) < 2:
-        return np.zeros(len(keys), bool)
+        return out
     ordered = np.sort(keys)
     twice = ordered[1:][ordered[1:] == ordered[:-1]]
-    if not len(twice):
-        return np.zeros(len(keys), bool)
-    at = np.searchsorted(twice, keys)
-    at[at == len(twice)] = 0
-    return twice[at] == keys
-
-
-def repeats_of(codes: np.ndarray, words: Words, n: int, rolled: Rolling) -> np.ndarray:
+    if len(twice):
+        # a table of their low bits spares most keys the search
+        bits = np.array(0xFFFF, keys.dtype)
+        there = np.zeros(1 << 16, bool)
+        there[twice & bits] = True
+        some = np.flatnonzero(there[keys & bits])
+        at = np.searchsorted(twice, keys[some])
+        at[at == len(twice)] = 0
+        out[some] = twice[at] == keys[some]
+    return out
+
+
+def repeats_of(keys: np.ndarray, words: Words, n: int, rolled: Rolling) -> np.ndarray:
     """Starts of the windows of n words that occur more than once in their document.
 
-    Rolling hashes propose, the words' codes decide: neighbours in the order of
+    Rolling hashes propose, the words' keys decide: neighbours in the order of
     hashes are compared word by word, and if any differ, all proposed windows are.
     """
     inside = np.flatnonzero(within(words, n))
-    keys = rolled.windows(n)[inside] ^ mix(words.doc[inside].astype(U64) + U64(1))
-    hit = repeated(keys)
-    starts, keys = inside[hit], keys[hit]
+    hashes = rolled.windows(n)[inside] ^ mix(words.doc[inside].astype(U64) + U64(1))
+    hit = repeated(hashes)
+    starts, hashes = inside[hit], hashes[hit]
     if not len(starts):
         return starts
-    order = np.argsort(keys, kind="stable")
-    at, keys = starts[order], keys[order]
-    twin = keys[1:] == keys[:-1]
+    order = np.argsort(hashes, kind="stable")
+    at, hashes = starts[order], hashes[order]
+    twin = hashes[1:] == hashes[:-1]
     a, b = at[:-1][twin], at[1:][twin]
     equal = words.doc[a] == words.doc[b]
     for k in range(n):
-        equal &= codes[a + k] == codes[b + k]
+        equal &= (keys[a + k] == keys[b + k]).all(1)
     if equal.all():
         return starts
-    rows = np.column_stack([words.doc[starts], *(codes[starts + k] for k in range(n))])
+    rows = np.column_stack([words.doc[starts].astype(U64), *(keys[starts + k] for k in range(n))])
     _, which, count = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
     return starts[count[which.reshape(-1)] > 1]
 

@@ -37,7 +37,7 @@ RESULT = f"doc_id long, {MEASURES}, base_failed boolean, kept boolean"
 def measure(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The measures of each document of a chunk."""
     words = K.Words(buf, offsets)
-    codes, _ = words.coded()
+    keys = words.keys()
     lead = (buf & 0xC0) != 0x80
     points = np.zeros(len(buf) + 1, np.int64)
     np.cumsum(lead & words.solid, out=points[1:])
@@ -50,9 +50,9 @@ def measure(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     }
     out |= line_repeats(buf, offsets, points)
 
-    rolled = K.Rolling(K.mix(codes.astype(np.uint64)))
+    rolled = K.Rolling(np.ascontiguousarray(K.named(keys)[:, 0]))
     for n in sorted({BASE_LENGTH, *NGRAM_LIMITS}):
-        hit = K.covered(len(codes), K.repeats_of(codes, words, n, rolled), n)
+        hit = K.covered(len(keys), K.repeats_of(keys, words, n, rolled), n)
         if n == BASE_LENGTH:
             out["n_repeat_words"] = K.per_doc(hit, words.first)
         if n in NGRAM_LIMITS:

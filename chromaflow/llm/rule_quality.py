@@ -62,11 +62,14 @@ def statistics(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     size = points[words.end] - points[words.start]
     chars = np.maximum(points[offsets[1:]] - points[offsets[:-1]], 1).astype(float)
     counts = lambda table: K.per_doc(table[buf], offsets).astype(float)
-    codes, different = words.coded()
-    again = np.zeros(len(codes), bool)
-    again[1:] = (codes[1:] == codes[:-1]) & (words.doc[1:] == words.doc[:-1])
-    _, first = np.unique(words.doc * (len(different) + 1) + codes, return_index=True)
-    hit = K.covered(len(codes), K.repeats_of(codes, words, 4, K.Rolling(K.mix(codes.astype(np.uint64)))), 4)
+    keys = words.keys()
+    again = np.zeros(len(keys), bool)
+    again[1:] = (keys[1:] == keys[:-1]).all(1) & (words.doc[1:] == words.doc[:-1])
+    order = np.lexsort((keys[:, 1], keys[:, 0], words.doc))
+    own, home = keys[order], words.doc[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = (own[1:] != own[:-1]).any(1) | (home[1:] != home[:-1])
+    hit = K.covered(len(keys), K.repeats_of(keys, words, 4, K.Rolling(np.ascontiguousarray(K.named(keys)[:, 0]))), 4)
     lines = counts(_class(b"\n")) + 1
     repeated = line_repeats(buf, offsets, points)["chars_in_repeated_lines"]
     return {
@@ -83,7 +86,7 @@ def statistics(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         "other_marks": counts(_OTHER) / some,
         "beyond_ascii": K.per_doc(lead & (buf >= 0x80), offsets) / chars,
         "same_as_before": K.per_doc(again, words.first) / some,
-        "distinct": np.bincount(words.doc[first], minlength=words.n_docs) / some,
+        "distinct": np.bincount(home[first], minlength=words.n_docs) / some,
         "in_repeated_4grams": K.per_doc(hit, words.first) / some,
         "words_per_line": n / lines,
         "repeated_lines": repeated / chars,

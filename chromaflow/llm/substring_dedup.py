@@ -10,15 +10,16 @@ covers it also starts earlier: in a document of smaller doc_id, or earlier in th
    claimed as repeats. Where one key has different stretches, their earliest
    occurrences go on.
 3. Only for those, the single windows meet by their names.
-4. Claims are verified: the words of each claimed stretch and of the earliest one like
-   it meet as bytes, and only bytes that stand earlier make a repeat. Should a claim
-   fail, all stretches that met are compared window by window, and verified again.
+4. Neighbouring claims that are like neighbouring places of one document grow together
+   to long repeats. Each is verified: a 256-bit digest of its words' bytes must be that
+   of the place it is like. Should one fail, all stretches that met are compared window
+   by window, sorted by their words' bytes.
 5. Repeats become word ranges of their documents.
 
-What crosses the network is about one row for six words, then rows of repeats and their
-words. Equal stretches meet inside a batch first, so a passage that a third of all
-documents hold sends one row for each batch, and a sorted stream over each partition
-holds one row as state. Names are hashes of words; they only propose.
+What crosses the network is about one row for six words, then rows of repeats. Equal
+stretches meet inside a batch first, so a passage that a third of all documents hold
+sends one row for each batch, and a sorted stream over each partition holds one row
+as state. Names are hashes of words; they only propose.
 
 Defined cases: a null or empty text has no words; a text shorter than a window loses
 nothing; rows without doc_id come first; rows that share a doc_id are documents that
@@ -43,13 +44,15 @@ from .common import as_often, free, int64, map_arrow, materialise, partitions, s
 
 WINDOW = 20
 U64 = np.uint64
-#: Most windows of a stretch, and what a row of _MET adds to their number: that it is a claim already, that it leads claims.
-MOST_WINDOWS, _KNOWN, _LEAD = 31, 1 << 16, 1 << 17
+#: Most windows of a stretch, and what a row of _MET adds to their number where it is a claim already.
+MOST_WINDOWS, _KNOWN = 31, 1 << 16
+#: Of a known claim, ``tail`` is the row that it is like, and the upper half of ``key`` the place there.
 _MET = "key long, tail long, row long, place int, n int"
-#: kind: windows to compare singly, a claimed repeat, the earliest stretch like claimed ones.
-OPEN, CLAIM, LEAD = 0, 1, 2
-_FOUND = "row long, place int, n int, kind int"
-_SPAN = "slot long, span binary, row long, place int, n int, claim boolean"
+#: kind: windows to compare singly, or a claimed repeat of what stands at the lead.
+OPEN, CLAIM = 0, 1
+_FOUND = "row long, place int, n int, kind int, lead_row long, lead_place int"
+_RUNS = "row long, place int, n int, lead_row long, lead_place int"
+_SPAN = "slot long, span binary, row long, place int, claim boolean"
 _CHECKED = "row long, place int, n int, repeat boolean"
 
 
@@ -93,19 +96,20 @@ def _columns(parts: list[tuple]) -> dict[str, np.ndarray]:
 
 def _met(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Rows of _MET for stretches of a batch; of equal ones only the earliest meets others, the rest are claims."""
-    key, n = s["key"].copy(), s["n"].astype(np.int64)
+    key, tail, n = s["key"].copy(), s["tail"].copy(), s["n"].astype(np.int64)
     again = np.flatnonzero(K.repeated(key))
     if len(again):
-        order = again[np.lexsort((s["place"][again], s["row"][again], s["tail"][again], key[again]))]
-        same = (key[order][1:] == key[order][:-1]) & (s["tail"][order][1:] == s["tail"][order][:-1])
-        head = np.append(True, ~same)
-        leads = order[head][np.diff(np.append(np.flatnonzero(head), len(order))) > 1]
-        known = order[1:][same]
+        order = again[np.lexsort((s["place"][again], s["row"][again], tail[again], key[again]))]
+        head = np.ones(len(order), bool)
+        head[1:] = (key[order][1:] != key[order][:-1]) | (tail[order][1:] != tail[order][:-1])
+        lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))][~head]
+        known = order[~head]
         # spread by their own place: they only pass through
-        key[known] = K.mix(s["row"][known].astype(U64) ^ (s["place"][known].astype(U64) << U64(32)))
+        spread = K.mix(s["row"][known].astype(U64) ^ (s["place"][known].astype(U64) << U64(32))) & U64(0xFFFFFFFF)
+        key[known] = (s["place"][lead].astype(U64) << U64(32)) | spread
+        tail[known] = s["row"][lead].astype(np.int64).view(U64)
         n[known] |= _KNOWN
-        n[leads] |= _LEAD
-    return {"key": key.view(np.int64), "tail": s["tail"].view(np.int64), "row": s["row"], "place": s["place"].astype(np.int32), "n": n.astype(np.int32)}
+    return {"key": key.view(np.int64), "tail": tail.view(np.int64), "row": s["row"], "place": s["place"].astype(np.int32), "n": n.astype(np.int32)}
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -115,9 +119,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     held = None  # the only stretch of that key so far
     for batch in batches:
         cols = [int64(batch.column(i)) for i in range(5)]
-        known, leads = (cols[4] & _KNOWN) != 0, (cols[4] & _LEAD) != 0
+        known = (cols[4] & _KNOWN) != 0
         cols[4] &= _KNOWN - 1
-        out = [_rows(cols[2:], known, CLAIM), _rows(cols[2:], leads, LEAD)]
+        out = [(*(c[known] for c in cols[2:]), np.full(int(known.sum()), CLAIM), cols[1][known], cols[0][known] >> 32)]
         k, t, r, p, n = (c[~known] for c in cols)
         if len(k):
             new_key, new = np.ones(len(k), bool), np.ones(len(k), bool)
@@ -128,10 +132,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
             lead_r, lead_p = np.where(at >= 0, r[at], lead[0]), np.where(at >= 0, p[at], lead[1])
             later = ~new & ((r != lead_r) | (p != lead_p))
-            out.append(_rows((r, p, n), later, CLAIM))
-            led = np.flatnonzero(later)
-            led = led[np.append(True, (lead_r[led][1:] != lead_r[led][:-1]) | (lead_p[led][1:] != lead_p[led][:-1]))[: len(led)]]
-            out.append(_rows((lead_r, lead_p, n), led, LEAD))
+            out.append((r[later], p[later], n[later], np.full(int(later.sum()), CLAIM), lead_r[later], lead_p[later]))
             # the first of each stretch, behind the one that waits
             f = np.flatnonzero(new)
             fk, fr, fp, fn = k[f], r[f], p[f], n[f]
@@ -150,16 +151,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
                 if not many[-1] and fk[-1] == k[-1]:
                     held = (fk[-1], fr[-1], fp[-1], fn[-1])
                 go = np.repeat(many, np.diff(np.append(heads, len(fk))))
-                out.append(_rows((fr, fp, fn), go, OPEN))
+                none = np.full(int(go.sum()), -1)
+                out.append((fr[go], fp[go], fn[go], np.full(int(go.sum()), OPEN), none, none))
             key, tail, lead = k[-1], t[-1], (int(lead_r[-1]), int(lead_p[-1]))
-        row, place, n, kind = (np.concatenate(x) for x in zip(*out))
-        if len(row):
-            yield {"row": row, "place": place.astype(np.int32), "n": n.astype(np.int32), "kind": kind.astype(np.int32)}
-
-
-def _rows(columns, which: np.ndarray, kind: int) -> tuple[np.ndarray, ...]:
-    row, place, n = (c[which] for c in columns)
-    return row, place, n, np.full(len(row), kind)
+        columns = [np.concatenate(x) for x in zip(*out)]
+        if len(columns[0]):
+            yield {name: c if name.endswith("row") else c.astype(np.int32) for name, c in zip(("row", "place", "n", "kind", "lead_row", "lead_place"), columns)}
 
 
 def _packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +164,7 @@ def _packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(column: pa.Array, rows: np.ndarray, ranges: pa.Array, window: int, bits: int) -> dict[str, np.ndarray]:
-    """Rows of _MET for the single windows of some ranges (place * 64 + number of windows) of each text."""
+    """Rows of _MET for the single windows of some ranges (see :func:`_pack`) of each text."""
     bounds, packed = _packed(ranges)
     parts = []
     for first, stop, buf, offsets in K.chunks(column):
@@ -175,19 +172,18 @@ def _windows(column: pa.Array, rows: np.ndarray, ranges: pa.Array, window: int,
         one, two = _names(words, bits)
         own = packed[bounds[first] : bounds[stop]]
         doc = np.repeat(np.arange(stop - first), np.diff(bounds[first : stop + 1]))
-        n = own & 63
+        n = own & _COUNT
         which = np.repeat(np.arange(len(own)), n)
         step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        place = (own >> 6)[which] + step
+        place = (own >> 32)[which] + step
         a = words.first[doc[which]] + place
         parts.append((rows[first + doc[which]], place, np.ones(len(a), np.int64), K.Blocks(one).slices(a, a + window), K.Blocks(two).slices(a, a + window)))
     return _columns(parts)
 
 
-def _spans(rows: np.ndarray, column: pa.Array, ranges: pa.Array, window: int) -> dict[str, list]:
-    """Rows of _SPAN: the words of each range (packed place * 64 + number of windows, times two, plus one for a claim). A claim whose words stand earlier in the batch is settled here and passes without them."""
+def _words_of(column: pa.Array, ranges: pa.Array, window: int, single: bool = False) -> Iterator[tuple[int, int, bytes]]:
+    """(row of the batch, range, its words' number, lengths and bytes) for each range of each text, which is cut at the text's end; ``single``: of its first window alone."""
     bounds, packed = _packed(ranges)
-    entries = []
     for first, stop, buf, offsets in K.chunks(column):
         words = K.Words(buf, offsets)
         data = buf[words.solid].tobytes()
@@ -195,21 +191,22 @@ def _spans(rows: np.ndarray, column: pa.Array, ranges: pa.Array, window: int) ->
         lengths = (words.end - words.start).astype("<u4")
         for i in range(first, stop):
             base, end = int(words.first[i - first]), int(words.first[i - first + 1])
-            for x in sorted(set(packed[bounds[i] : bounds[i + 1]].tolist())):
-                place, n = x >> 7, (x >> 1) & 63
-                a = base + place
-                b = min(a + n - 1 + window, end)
-                # the words' number and lengths tell where they are cut
-                entries.append((int(rows[i]), place, n, bool(x & 1), (b - a).to_bytes(4, "little") + lengths[a:b].tobytes() + data[at[a] : at[b]]))
-    entries.sort(key=lambda e: e[:2])
+            for x in packed[bounds[i] : bounds[i + 1]].tolist():
+                a = min(base + (x >> 32), end)
+                b = min(a + (1 if single else x & _COUNT) - 1 + window, end)
+                yield i, x, (b - a).to_bytes(4, "little") + lengths[a:b].tobytes() + data[at[a] : at[b]]
+
+
+def _spans(rows: np.ndarray, column: pa.Array, ranges: pa.Array, window: int) -> dict[str, list]:
+    """Rows of _SPAN: the words of single windows, whose number is 2 for a claim. A claim whose words stand earlier in the batch is settled here and passes without them."""
+    entries = sorted(((int(rows[i]), x >> 32, (x & _COUNT) == 2, words) for i, x, words in _words_of(column, ranges, window, True)), key=lambda e: e[:2])
     seen: dict[bytes, tuple[int, int]] = {}
     slot, span = [], []
-    for row, place, n, claim, words_ in entries:
-        first_at = seen.setdefault(words_, (row, place))
-        known = claim and first_at != (row, place)
+    for row, place, claim, words_ in entries:
+        known = claim and seen.setdefault(words_, (row, place)) != (row, place)
         slot.append(hash((row, place)) if known else int.from_bytes(hashlib.blake2b(words_, digest_size=8).digest(), "little", signed=True))
         span.append(None if known else words_)
-    return {"slot": slot, "span": span} | {k: [e[j] for e in entries] for j, k in enumerate(("row", "place", "n", "claim"))}
+    return {"slot": slot, "span": span} | {k: [e[j] for e in entries] for j, k in enumerate(("row", "place", "claim"))}
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -217,18 +214,31 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     before: bytes | None = None
     first = (0, 0)
     for batch in batches:
-        spans, rows, places, n, claims = (batch.column(i).to_pylist() for i in range(1, 6))
-        repeat = []
-        for span, row, place in zip(spans, rows, places):
-            if span is None:
-                repeat.append(True)
-                continue
-            if span != before:
+        out = []
+        for span, row, place, claim in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+            if span is not None and span != before:
                 before, first = span, (row, place)
-            repeat.append((row, place) != first)
-        keep = [i for i, c in enumerate(claims) if c]
-        if keep:
-            yield {"row": [rows[i] for i in keep], "place": [places[i] for i in keep], "n": [n[i] for i in keep], "repeat": [repeat[i] for i in keep]}
+            if claim:
+                out.append((row, place, span is None or (row, place) != first))
+        if out:
+            row, place, repeat = zip(*out)
+            yield {"row": list(row), "place": list(place), "n": [1] * len(out), "repeat": list(repeat)}
+
+
+def _runs(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """Rows of _RUNS: claims of each document (row, list of place, n, lead_row, lead_place) that continue one another grown together."""
+    claims = batch.column(1)
+    ends = claims.offsets.to_numpy().astype(np.int64)
+    flat = claims.values
+    place, n, lead_row, lead_place = (int64(flat.field(k))[ends[0] : ends[-1]] for k in range(4))
+    row = np.repeat(int64(batch.column(0)), np.diff(ends))
+    order = np.lexsort((place, row))
+    row, place, n, lead_row, lead_place = (x[order] for x in (row, place, n, lead_row, lead_place))
+    head = np.ones(len(row), bool)
+    head[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + n[:-1]) | (lead_row[1:] != lead_row[:-1]) | (lead_place[1:] != lead_place[:-1] + n[:-1])
+    start = np.flatnonzero(head)
+    total = np.add.reduceat(n, start) if len(start) else n
+    return {"row": row[start], "lead_row": lead_row[start]} | {k: x.astype(np.int32) for k, x in (("place", place[start]), ("n", total), ("lead_place", lead_place[start]))}
 
 
 def _sorted_meeting(met: DataFrame) -> DataFrame:
@@ -236,38 +246,69 @@ def _sorted_meeting(met: DataFrame) -> DataFrame:
     return stream_arrow(dealt, _meet, _FOUND)
 
 
+_COUNT = (1 << 32) - 1
+
+
+def _pack(place: str = "place", n: str = "n"):
+    """A range as one number: place of its first window times 2**32, plus its number of windows."""
+    return F.shiftleft(F.col(place).cast("long"), 32) + F.col(n)
+
+
 def _ranges(found: DataFrame) -> DataFrame:
     """One row for each document: its ranges, packed."""
-    return found.groupBy("row").agg(F.collect_list(F.col("place").cast("long") * 64 + F.col("n")).alias("ranges"))
+    return found.groupBy("row").agg(F.collect_list(_pack()).alias("ranges"))
+
+
+def _texts_with(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """row, text, ranges of the documents that have any. ``ranges`` was written before."""
+    some, _ = split_by_ids(rows.select("row", "text"), ranges)
+    return some.join(ranges, "row").select("row", "text", "ranges")
 
 
 def _single(rows: DataFrame, found: DataFrame, window: int, bits: int) -> DataFrame:
-    """Claims and leads among the single windows of ``found``."""
-    open_ = materialise(_ranges(found.select("row", "place", "n").distinct()), "repeats-open")
-    some, _ = split_by_ids(rows.select("row", "text"), open_)
+    """Claims among the single windows of ``found`` (row, place, n)."""
+    open_ = materialise(_ranges(found), "repeats-open")
 
     def single(batch):
         return _met(_windows(batch.column(1), int64(batch.column(0)), batch.column(2), window, bits))
 
-    return _sorted_meeting(map_arrow(some.join(open_, "row").select("row", "text", "ranges"), single, _MET)).filter(F.col("kind") != OPEN)
+    return _sorted_meeting(map_arrow(_texts_with(rows, open_), single, _MET)).filter(F.col("kind") == CLAIM)
+
+
+def _confirmed(rows: DataFrame, claims: DataFrame, window: int) -> DataFrame:
+    """row, place, n of each long repeat, and whether the place that it is like has the same words."""
+    listed = claims.groupBy("row").agg(F.collect_list(F.struct("place", "n", "lead_row", "lead_place")).alias("claims"))
+    runs = materialise(map_arrow(listed, _runs, _RUNS), "repeats-runs")
+    asked = runs.select("row", _pack().alias("span")).unionByName(runs.select(F.col("lead_row").alias("row"), _pack("lead_place").alias("span"))).distinct()
+    asked = materialise(asked.groupBy("row").agg(F.collect_list("span").alias("ranges")), "repeats-asked")
+
+    def digest(batch):
+        got = [(i, x, hashlib.blake2b(words, digest_size=32).digest()) for i, x, words in _words_of(batch.column(1), batch.column(2), window)]
+        return {"row": int64(batch.column(0))[[i for i, _, _ in got]], "span": [x for _, x, _ in got], "words": [d for _, _, d in got]}
+
+    spans = materialise(map_arrow(_texts_with(rows, asked), digest, "row long, span long, words binary"), "repeats-spans")
+    own = runs.select("row", "place", "n", _pack().alias("span"), "lead_row", _pack("lead_place").alias("lead_span"))
+    like = spans.select(F.col("row").alias("lead_row"), F.col("span").alias("lead_span"), F.col("words").alias("lead_words"))
+    both = own.join(spans, ["row", "span"]).join(like, ["lead_row", "lead_span"])
+    return materialise(both.select("row", "place", "n", (F.col("words") == F.col("lead_words")).alias("repeat")), "repeats-checked")
 
 
-def _verified(rows: DataFrame, claims: DataFrame, window: int) -> DataFrame:
-    """row, place, n of each claim, and whether its words stand earlier, by their bytes."""
-    packed = (F.col("place").cast("long") * 64 + F.col("n")) * 2 + (F.col("kind") == CLAIM).cast("long")
-    wanted = materialise(claims.groupBy("row").agg(F.collect_list(packed).alias("ranges")), "repeats-claimed")
-    some, _ = split_by_ids(rows.select("row", "text"), wanted)
+def _sorted_by_words(rows: DataFrame, claims: DataFrame, window: int) -> DataFrame:
+    """row, place, n of each claimed single window, and whether its words stand earlier, whatever it was claimed to be like."""
+    claimed = claims.select("row", "place", F.lit(2).alias("n"))
+    leads = claims.select(F.col("lead_row").alias("row"), F.col("lead_place").alias("place"), F.lit(1).alias("n")).distinct()
+    wanted = materialise(_ranges(claimed.unionByName(leads)), "repeats-claimed")
 
     def spans(batch):
         return _spans(int64(batch.column(0)), batch.column(1), batch.column(2), window)
 
-    met = map_arrow(some.join(wanted, "row").select("row", "text", "ranges"), spans, _SPAN)
+    met = map_arrow(_texts_with(rows, wanted), spans, _SPAN)
     dealt = met.repartition(partitions(rows.sparkSession), "slot").sortWithinPartitions("slot", "span", "row", "place")
-    return materialise(stream_arrow(dealt, _check, _CHECKED), "repeats-checked")
+    return materialise(stream_arrow(dealt, _check, _CHECKED), "repeats-sorted")
 
 
 def repeats(rows: DataFrame, window: int = WINDOW, bits: int = 64) -> DataFrame:
-    """row and ranges (place * 64 + number of windows) of the windows that also start earlier. ``rows``: row, text; ``bits``: of the words' names."""
+    """row and ranges (see :func:`_pack`) of the windows that also start earlier. ``rows``: row, text; ``bits``: of the words' names."""
     if not 2 <= window <= 1024:
         raise ValueError(f"window must be 2 to 1024 words, not {window}")
 
@@ -275,16 +316,18 @@ def repeats(rows: DataFrame, window: int = WINDOW, bits: int = 64) -> DataFrame:
         return _met(_stretches(int64(batch.column(0)), batch.column(1), window, bits))
 
     found = materialise(_sorted_meeting(map_arrow(rows.select("row", "text"), parse, _MET)), "repeats-found")
-    windows = _single(rows, found.filter(F.col("kind") == OPEN), window, bits)
-    checked = _verified(rows, found.filter(F.col("kind") != OPEN).unionByName(windows), window)
+    claims = found.filter(F.col("kind") == CLAIM)
+    checked = _confirmed(rows, claims.unionByName(_single(rows, found.filter(F.col("kind") == OPEN), window, bits)), window)
     if not checked.filter(~F.col("repeat")).isEmpty():
-        # different words shared a name: what met is compared window by window
-        checked = _verified(rows, _single(rows, found, window, bits), window)
+        # different words shared a name: all that met is compared window by window
+        leads = claims.select(F.col("lead_row").alias("row"), F.col("lead_place").alias("place"), "n")
+        everything = found.select("row", "place", "n").unionByName(leads).distinct()
+        checked = _sorted_by_words(rows, _single(rows, everything, window, bits), window)
     return materialise(_ranges(checked.filter("repeat")), "repeats")
 
 
 def _kept(n_words: int, packed: np.ndarray, window: int) -> np.ndarray:
-    start, n = packed >> 6, packed & 63
+    start, n = packed >> 32, packed & _COUNT
     return ~K.covered(n_words, start, n - 1 + window)
 
 
@@ -333,7 +376,7 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, first_word, n_words of each maximal stretch of words that :func:`removal` takes out."""
     rows, plain = with_rows(documents)
     spans = repeats(rows, window).withColumn("r", F.explode("ranges"))
-    spans = spans.select("row", F.shiftright("r", 6).alias("a"), (F.shiftright("r", 6) + F.col("r").bitwiseAND(F.lit(63)) - 1 + window).alias("b"))
+    spans = spans.select("row", F.shiftright("r", 32).alias("a"), (F.shiftright("r", 32) + F.col("r").bitwiseAND(F.lit(_COUNT)) - 1 + window).alias("b"))
 
     def merge(pdf):
         pdf = pdf.sort_values("a")

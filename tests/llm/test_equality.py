@@ -38,7 +38,8 @@ def test_words_that_collide_under_polynomials_have_names_of_their_own():
     assert polynomial(ONE) == polynomial(OTHER)
     own = K.Words(*next((b, o) for _, _, b, o in K.chunks(pa.array([f"{ONE} {OTHER} {ONE}"]))))
     first, second, third = own.names().tolist()
-    assert first == third != second and own.coded()[0].tolist() == [0, 1, 0]
+    keys = own.keys().tolist()
+    assert first == third != second and keys[0] == keys[2] != keys[1]
 
 
 def test_blocks_name_slices_by_content():
