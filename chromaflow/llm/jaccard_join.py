@@ -416,3 +416,24 @@ def keep_one(documents: DataFrame, match: int = MATCH, size: int = SHINGLE) -> D
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_classes(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB SQL for :func:`query`'s rows.
+ORACLE = f"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as ws from documents
+),
+s as (
+  select distinct doc_id, array_to_string(list_slice(ws, p, p + {SHINGLE - 1}), ' ') as shingle from (
+    select doc_id, ws, unnest(range(1, greatest(len(ws) - {SHINGLE - 2}, 2))) as p from d where len(ws) > 0
+  )
+),
+n as (select doc_id, count(*) as n from s group by doc_id),
+links as (
+  select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as k from s x join s y on x.shingle = y.shingle and x.doc_id <> y.doc_id group by x.doc_id, y.doc_id)
+  join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * k >= {MATCH} * (na.n + nb.n - k)
+),
+reach(a, b) as (select doc_id, doc_id from d union select reach.a, links.b from reach join links on reach.b = links.a)
+select d.doc_id, cast(coalesce(any_value(n.n), 0) as bigint) as n_shingles, min(reach.b) as component_id
+from d left join n on n.doc_id = d.doc_id join reach on reach.a = d.doc_id group by d.doc_id
+"""

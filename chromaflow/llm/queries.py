@@ -24,4 +24,9 @@ QUERIES: dict[str, Query] = {
 }
 
 #: Only where SQL gives the whole result; the others are tested against brute force.
-ORACLES: dict[str, str] = {"op6_impact_topk": impact_topk.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_repetition_rules": repetition.ORACLE,
+    "op6_impact_topk": impact_topk.ORACLE,
+    "op7_grouped_prefix_join": jaccard_join.ORACLE,
+    "op8_recompression_dedup": substring_dedup.ORACLE,
+}

@@ -129,3 +129,44 @@ def quality_filter(documents: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    """DuckDB SQL for :func:`query`'s rows."""
+    grams = ",\n".join(
+        f"""starts{n} as (select i, p from (select i, p, count(*) over (partition by i, {"".join(f"c{k}, " for k in range(n)).rstrip(", ")}) as k from g where c{n - 1} is not null) where k > 1),
+hit{n} as (select i, sum(size) as chars, count(*) as words from (select distinct s.i, s.p + o.k as p from starts{n} s, range({n}) o(k)) join c using (i, p) group by i)"""
+        for n in sorted({BASE_LENGTH, *NGRAM_LIMITS})
+    )
+    ahead = ", ".join(f"lead(code, {k}) over (partition by i order by p) as c{k}" for k in range(max(NGRAM_LIMITS)))
+    joins = " ".join(f"left join hit{n} using (i)" for n in sorted({BASE_LENGTH, *NGRAM_LIMITS}))
+    wide = ", ".join(f"cast(coalesce(hit{n}.chars, 0) as bigint) as chars_in_repeated_{n}grams" for n in NGRAM_LIMITS)
+    bad = " or ".join([f"100 * chars_in_repeated_{n}grams > {most} * word_chars" for n, most in NGRAM_LIMITS.items()] + [f"100 * chars_in_repeated_lines > {LINE_LIMIT} * word_chars"])
+    return f"""
+with t as (select row_number() over () as i, doc_id, coalesce(text, '') as text from documents),
+d as (select i, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as ws from t),
+w as (select i, unnest(ws) as word, generate_subscripts(ws, 1) as p from d),
+codes as (select word, row_number() over () as code from (select distinct word from w)),
+c as (select i, p, code, length(word) as size from w join codes using (word)),
+g as materialized (select i, p, {ahead} from c),
+{grams},
+lines as (
+  select i, line, sum(length(w)) as chars, count(*) as k from (
+    select i, line, place, unnest(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) as w from (
+      select i, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as place from d
+    )
+  ) group by i, line, place
+),
+line_sums as (select i, sum(k - 1) as again, sum(case when k > 1 then chars else 0 end) as chars from (select i, line, count(*) as k, sum(chars) as chars from lines group by i, line) group by i),
+m as (
+  select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) as bigint) as word_chars,
+    cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(coalesce(line_sums.again, 0) as bigint) as n_dup_lines,
+    cast(coalesce(hit{BASE_LENGTH}.words, 0) as bigint) as n_repeat_words, cast(coalesce(line_sums.chars, 0) as bigint) as chars_in_repeated_lines, {wide}
+  from d left join line_sums using (i) {joins}
+),
+v as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed from m)
+select *, not base_failed and not ({bad}) as kept from v
+"""
+
+
+ORACLE = _oracle()

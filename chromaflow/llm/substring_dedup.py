@@ -421,3 +421,20 @@ def strip_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB SQL for :func:`query`'s rows.
+ORACLE = f"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+w as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as p from d),
+codes as (select word, row_number() over () as code from (select distinct word from w)),
+g as (select doc_id, p, {", ".join(f"lead(code, {k}) over (partition by doc_id order by p) as c{k}" for k in range(WINDOW))} from w join codes using (word)),
+windows as (select doc_id, p, row_number() over (partition by {", ".join(f"c{k}" for k in range(WINDOW))} order by doc_id, p) as place from g where c{WINDOW - 1} is not null),
+gone as (select distinct doc_id, unnest(range(p, p + {WINDOW})) as p from windows where place > 1),
+kept as (
+  select w.doc_id, string_agg(w.word, ' ' order by w.p) as words, count(*) as k
+  from w left join gone on gone.doc_id = w.doc_id and gone.p = w.p where gone.p is null group by w.doc_id
+)
+select d.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(kept.k, 0) as bigint) as n_removed, sha256(coalesce(kept.words, '')) as kept_sha256
+from d left join kept on kept.doc_id = d.doc_id
+"""
