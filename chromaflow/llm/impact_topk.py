@@ -13,7 +13,7 @@ whose possible members are few stops and scores these exactly. There is no other
 without proof all segments are processed.
 
 Memory of a task: a block, a batch of queries and the scores of QUERY_BLOCK of them.
-The shuffles are that of the vectors into blocks, and k rows of a block for a query.
+The shuffles are that of the vectors into blocks, and k rows of a task for a query.
 
 Defined cases: a vector that is null or holds null, NaN or infinity takes no part, nor
 does a row without vec_id; missing trailing components count as 0; components and
@@ -236,19 +236,38 @@ def _block(batch: pa.RecordBatch, i: int) -> Block:
     return Block(lists[0], width.as_py(), *lists[1:])
 
 
+def _merged(best: tuple[np.ndarray, np.ndarray, np.ndarray], more: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of both for each query place, in order of place and rank."""
+    place, ids, scores = (np.concatenate(x) for x in zip(best, more))
+    order = np.lexsort((ids, ~scores, place))
+    place, ids, scores = place[order], ids[order], scores[order]
+    head = np.flatnonzero(np.diff(place, prepend=-1))
+    rank = np.arange(len(place)) - np.repeat(head, np.diff(np.append(head, len(place))))
+    return place[rank < k], ids[rank < k], scores[rank < k]
+
+
 def search(index: DataFrame, asking, k: int) -> DataFrame:
-    """FOUND: the k best of each block for the queries of the broadcast (ids, vectors, least scores)."""
+    """FOUND: the k best of each task's blocks for the queries of the broadcast (ids, vectors, least scores). What a block proves bounds the blocks after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        ids, vectors, at_least = asking.value
+        ids, vectors, known = asking.value
+        at_least = known.copy()
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        best = [none for _ in range(0, len(ids), QUERY_BLOCK)]
         for batch in batches:
             for i in range(batch.num_rows):
                 block = _block(batch, i)
-                for a in range(0, len(ids), QUERY_BLOCK):
-                    own = slice(a, a + QUERY_BLOCK)
-                    place, found, scores, _ = best_of_block(block, ids[own], vectors[own], k, at_least[own])
-                    if len(place):
-                        yield {"query_id": ids[own][place], "vec_id": found, "score": scores}
+                for b in range(len(best)):
+                    own = slice(b * QUERY_BLOCK, (b + 1) * QUERY_BLOCK)
+                    *more, _ = best_of_block(block, ids[own], vectors[own], k, at_least[own])
+                    if len(more[0]):
+                        best[b] = place, _, scores = _merged(best[b], tuple(more), k)
+                        full = np.bincount(place, minlength=len(ids[own])) == k
+                        last = np.searchsorted(place, np.arange(len(full)), "right") - 1
+                        at_least[own][full] = np.maximum(at_least[own][full], scores[last[full]])
+        for b, (place, found, scores) in enumerate(best):
+            if len(place):
+                yield {"query_id": ids[b * QUERY_BLOCK + place], "vec_id": found, "score": scores}
 
     return stream_arrow(index, run, FOUND)
 
