@@ -1,13 +1,16 @@
 """Scalar functions of the colour quantiser as Column expressions.
 
-Everything is built-in Catalyst: no Python runs per row. Bytes are LONG columns in
-0..255; all real arithmetic is DOUBLE. Nulls give null.
+Everything is built-in Catalyst but :func:`gcd_of_rows`, which takes Arrow batches: no Python
+runs per row. Bytes are LONG columns in 0..255; all real arithmetic is DOUBLE. Nulls
+give null.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +39,11 @@ def colour(prefix: str = "p") -> Colour:
     return Colour(*(F.col(prefix + c) for c in "argb"))
 
 
+def reflected(c: Colour, of: Colour) -> Colour:
+    """The colour as far beyond ``c`` as ``of`` is before it."""
+    return Colour(*(2 * x - y for x, y in zip(c, of)))
+
+
 def to_byte(v: Column) -> Column:
     """Clamp to 0..255, then cut the fraction."""
     return F.floor(F.least(F.greatest(v, F.lit(0.0)), F.lit(255.0))).cast("long")
@@ -133,14 +141,26 @@ def effective_dispose(dispose: Column, frame_no: Column) -> Column:
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor of LONGs below 2**33: Euclid's steps, 48 at most, as a fold."""
+    """Greatest common divisor of LONGs below 2**33: Euclid's steps, 48 at most, as a fold, which also runs inside a lambda."""
     start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
     step = lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, F.lit(0).cast("long")).otherwise(s["a"] % F.when(s["b"] == 0, F.lit(1).cast("long")).otherwise(s["b"])).alias("b"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(48)), start, step, lambda s: s["a"])
 
 
-def merge_delays(n1: Column, d1: Column, n2: Column, d2: Column) -> tuple[Column, Column]:
-    """Sum of two delays num/den (a den of 0 means 100) with parts below 65536; else in ms, capped."""
+def gcd_of_rows(a: Column, b: Column) -> Column:
+    """As :func:`gcd` for a table's rows, a batch at once in numpy; null where either is."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("long")
+    def divisor(x: pd.Series, y: pd.Series) -> pd.Series:
+        known = x.notna() & y.notna()
+        return pd.Series(np.gcd(x.where(known, 0).astype("int64"), y.where(known, 0).astype("int64"))).astype("Int64").where(known)
+
+    return divisor(a.cast("long"), b.cast("long"))
+
+
+def merge_delays(n1: Column, d1: Column, n2: Column, d2: Column, divisor=gcd) -> tuple[Column, Column]:
+    """Sum of two delays num/den (a den of 0 means 100) with parts below 65536; else in ms, capped. ``divisor`` is gcd_of_rows outside of lambdas."""
     d1, d2 = (F.when(d == 0, F.lit(100)).otherwise(d).cast("long") for d in (d1, d2))
     n1, n2 = n1.cast("long"), n2.cast("long")
     num, den = n1 * d2 + n2 * d1, d1 * d2
@@ -154,7 +174,7 @@ def merge_delays(n1: Column, d1: Column, n2: Column, d2: Column) -> tuple[Column
         return F.struct(F.when(same, n1 + n2).when(cross, cut_n).otherwise(ms).alias("n"), F.when(same, d1).when(cross, cut_d).otherwise(F.lit(1000)).alias("d"))
 
     # one element: the divisor is computed once and bound
-    out = F.element_at(F.transform(F.array(F.when(same, F.lit(1).cast("long")).otherwise(gcd(num, den))), by), 1)
+    out = F.element_at(F.transform(F.array(F.when(same, F.lit(1).cast("long")).otherwise(divisor(num, den))), by), 1)
     return out["n"].cast("long"), out["d"].cast("long")
 
 
@@ -174,6 +194,22 @@ def parse_dither(text: Column) -> Column:
     return F.when(v.between(0.0, 1.0), v)
 
 
+def rgba_bytes(width: Column, height: Column) -> Column:
+    """Bytes of an image; null where a LONG cannot hold them."""
+    return F.try_multiply(F.try_multiply(width.cast("long"), height.cast("long")), F.lit(4).cast("long"))
+
+
+def rgba_place(x: Column, y: Column, width: Column, height: Column) -> Column:
+    """Place of a pixel's first byte; null outside of the image."""
+    inside = (x >= 0) & (x < width) & (y >= 0) & (y < height)
+    return F.when(inside & rgba_bytes(width, height).isNotNull(), (y.cast("long") * width + x) * 4)
+
+
+def output_target(output: Column, source: Column, extension: str) -> Column:
+    """Where a result goes: the output asked for, the standard output ('-') for the standard input, else beside the source."""
+    return F.coalesce(output, F.when(source == "-", source).otherwise(output_path(source, extension)))
+
+
 def output_path(path: Column, extension: str) -> Column:
     """Parent and stem with another ending."""
     return F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit(extension))
@@ -190,6 +226,43 @@ def code_of(error: Column, library: bool = False) -> Column:
     return out.cast("long")
 
 
+def error_text(error: Column, detail: Column, path: Column, numbers: dict[str, Column]) -> Column:
+    """What an error says; ``numbers``: minimum, actual, in_bytes, out_bytes, most_bytes, score."""
+    n = {k: v.cast("string") for k, v in numbers.items()}
+    too_large = F.concat(
+        F.lit("skip-if-larger rejected output: input="), n["in_bytes"], F.lit(" bytes, output="), n["out_bytes"], F.lit(" bytes, max_allowed="), n["most_bytes"], F.lit(" bytes, quality_score="), n["score"]
+    )
+    return (
+        F.when(error == "argument", detail)
+        .when(error == "io", F.concat(F.lit("io error"), F.coalesce(F.concat(F.lit(" at "), path), F.lit("")), F.lit(": "), detail))
+        .when(error.isin("decode", "encode"), F.concat(error, F.lit(" error: "), detail))
+        .when(error == "quality_too_low", F.concat(F.lit("quality too low: actual="), n["actual"], F.lit(", minimum="), n["minimum"]))
+        .when(error == "output_too_large", too_large)
+    )
+
+
+def success_text(width: Column, height: Column, requested: Column, effective: Column, score: Column, mse: Column, in_bytes: Column, out_bytes: Column, path: Column) -> Column:
+    """What a written file says; the quality asked for only where one was, the effective one only where it differs."""
+    asked = F.when(requested.isNotNull(), F.concat(F.lit("requested_quality="), requested, F.lit(", ")))
+    other = F.when(requested != effective, F.concat(F.lit("effective_quality="), effective, F.lit(", ")))
+    none = F.lit("")
+    return F.concat(
+        F.lit("ok: "), width.cast("string"), F.lit("x"), height.cast("string"), F.lit(", "), F.coalesce(asked, none), F.coalesce(other, none),
+        F.lit("quality_score="), score.cast("string"), F.lit(", quality_mse="), F.format_string("%.3f", mse), F.lit(", "),
+        in_bytes.cast("string"), F.lit(" -> "), out_bytes.cast("string"), F.lit(" bytes, wrote "), path,
+    )
+
+
+def library_options(speed: Column, dither: Column, posterize: Column, mode: Column) -> dict[str, Column]:
+    """Options as a library caller gives them, made whole: 0 and negative values stand for the defaults."""
+    return {
+        "speed": F.when(speed == 0, 4).otherwise(speed).cast("long"),
+        "dither": F.when(dither < 0, 1.0).otherwise(dither).cast("double"),
+        "posterize": F.nullif(posterize.cast("long"), F.lit(0).cast("long")),
+        "mode": F.when(mode == 1, "aggressive").otherwise("safe"),
+    }
+
+
 def iterations_of_speed(speed: Column) -> Column:
     i = F.greatest(8 - F.least(speed, F.lit(10)), F.lit(0)).cast("long")
     return (i + F.floor(i * i / 2)).cast("long")

@@ -25,22 +25,57 @@ def dither_map(indexed: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "x"])
         h, w = int(pdf["y"].nunique()), int(pdf["x"].nunique())
-        idx, out = pdf["idx"].to_numpy().reshape(h, w), pdf["edge"].to_numpy(float).reshape(h, w)
-        for y in range(h):
-            head = np.append(True, idx[y, 1:] != idx[y, :-1])
-            start = np.flatnonzero(head)
-            length = np.diff(np.append(start, w))
-            shared = sum(np.add.reduceat((idx[other] == idx[y]).astype(float), start) for other in (y - 1, y + 1) if 0 <= other < h)
-            n = 10 * length + 15 * shared
-            out[y] = np.floor((out[y] + 128) * 255 / 383 * np.repeat(1 - 20 / (20 + n), length))
-        return pd.DataFrame({"image_id": pdf["image_id"], "y": pdf["y"], "x": pdf["x"], "strength": out.ravel().astype(np.int64)})
+        out = run_strengths(pdf["idx"].to_numpy().reshape(h, w), pdf["edge"].to_numpy(np.int64).reshape(h, w))
+        return pd.DataFrame({"image_id": pdf["image_id"], "y": pdf["y"], "x": pdf["x"], "strength": out.ravel()})
 
     return indexed.groupBy("image_id").applyInPandas(run, MAPPED)
 
 
+def run_strengths(idx: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Strengths of an (h, w) image.
+
+    A run goes from the pixel where its index begins to the pixel before the next run; the last of a row ends before the
+    row's last pixel, whatever index that has. Its length and the pixels above and below that share its index give a
+    factor for its pixels and for the one after it, which so is scaled twice.
+    """
+    h, w = idx.shape
+    if w < 2:
+        return edge.copy()
+    head = np.zeros((h, w), bool)
+    head[:, 0] = True
+    head[:, 1 : w - 1] = idx[:, 1 : w - 1] != idx[:, : w - 2]
+    start = np.flatnonzero(head)
+    row, first = start // w, start % w
+    stop = np.append(first[1:], 0)
+    last = np.append(row[1:] != row[:-1], True)
+    stop[last] = w - 1
+    own = idx[row, first]
+    inside = np.arange(w)[None, :] < w - 1
+    of_run = (np.cumsum(head) - 1).reshape(h, w)
+    shared = np.zeros(len(start))
+    for other in (-1, 1):
+        near = np.zeros((h, w), bool)
+        a, b = (slice(1, None), slice(None, -1)) if other == -1 else (slice(None, -1), slice(1, None))
+        near[a] = idx[b] == own[of_run][a]
+        shared += np.bincount(of_run[near & inside], minlength=len(start))
+    factor = 1 - 20 / (20 + 10 * (stop - first) + 15 * shared)
+
+    def scaled(value: np.ndarray, by: np.ndarray) -> np.ndarray:
+        return np.floor((value + 128) * (255 / 383) * by).astype(np.int64)
+
+    out = edge.astype(np.int64)
+    # a run's first pixel has the factor of the run before it first
+    twice = start[first > 0]
+    out.ravel()[twice] = scaled(out.ravel()[twice], factor[np.flatnonzero(first > 0) - 1])
+    # the last pixel belongs to the last run whatever its index
+    return scaled(out, factor[of_run])
+
+
 def diffused(px: DataFrame, palettes: DataFrame, level: float = 1.0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """idx of each pixel (internal colour p*, strength 0..255) under Floyd-Steinberg diffusion; even rows run left to right, odd ones back.
 
+    ``palettes`` may hold the error of each image's remap, which bounds the errors that are passed on.
+
     Where ``px`` has frame_no, its frames are scanned apart with the palette of their image_id. Where it also has what lies
     under a pixel (internal colour u*, null in frames that replace), a pixel may keep it through the transparent entry.
     """
@@ -53,7 +88,7 @@ def diffused(px: DataFrame, palettes: DataFrame, level: float = 1.0, chunk_rows:
     # a chunk's palette meets it once, not in each of its pixels
     extent = px.groupBy(*unit).agg(F.max("y").alias("_last"))
     numbers = F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / chunk_rows))
-    entries = extent.select(*unit, F.explode(numbers).alias("chunk")).join(palettes.select("image_id", "idx", *(f"q{c}" for c in "argb")), "image_id")
+    entries = extent.select(*unit, F.explode(numbers).alias("chunk")).join(palettes.select("image_id", "idx", *(f"q{c}" for c in "argb"), *(["error"] if "error" in palettes.columns else [])), "image_id")
     # both sides may come from one table: named anew, their columns stay apart
     entries = entries.select(*(F.col(c).alias(c) for c in entries.columns))
 
@@ -65,9 +100,9 @@ def diffused(px: DataFrame, palettes: DataFrame, level: float = 1.0, chunk_rows:
         palette = listed[["qa", "qr", "qg", "qb"]].to_numpy(float)
         rows, w = pdf["y"].unique(), int(pdf["x"].nunique())
         own = pdf[["pa", "pr", "pg", "pb"]].to_numpy(float).reshape(len(rows), w, 4)
-        strength = pdf["strength"].to_numpy(float).reshape(len(rows), w) / 255 * level
+        strength = pdf["strength"].to_numpy(float).reshape(len(rows), w) / 255 * base_level(level)
         below = pdf[under].to_numpy(float).reshape(len(rows), w, 4) if under and pdf["ua"].notna().all() else None
-        places = scan(own, strength, palette, int(rows[0]), below)
+        places = scan(own, strength, palette, int(rows[0]), below, most_error(float(listed["error"].iloc[0]) if "error" in listed else None))
         out = pdf[[*unit, "y", "x"]].assign(idx=listed["idx"].to_numpy()[places.ravel()])
         return out[out["y"] >= first]
 
@@ -75,8 +110,22 @@ def diffused(px: DataFrame, palettes: DataFrame, level: float = 1.0, chunk_rows:
     return dealt.groupBy(*unit, "chunk").cogroup(entries.groupBy(*unit, "chunk")).applyInPandas(run, schema)
 
 
-def scan(own: np.ndarray, strength: np.ndarray, palette: np.ndarray, first_row: int = 0, under: np.ndarray | None = None) -> np.ndarray:
-    """Places in ``palette`` of an (h, w, 4) image by serpentine diffusion.
+#: Errors of qualities 35 and 80 in internal units.
+_Q35, _Q80 = (0.45 * (max(0.016 / (0.001 + q) - 0.001, 0.0) + 2.5 / (210.0 + q) ** 1.2 * (100.1 - q) / 100.0) for q in (35, 80))
+
+
+def base_level(level: float) -> float:
+    """Share of the error that goes on, from the level asked for."""
+    return (1 - (1 - level) ** 2) * 15 / 16
+
+
+def most_error(error: float | None) -> float:
+    """Errors beyond this are damped, from the mean error of the image's remap."""
+    return max(2.4 * (_Q80 if error is None else error), _Q35)
+
+
+def scan(own: np.ndarray, strength: np.ndarray, palette: np.ndarray, first_row: int = 0, under: np.ndarray | None = None, cap: float = _Q35) -> np.ndarray:
+    """Places in ``palette`` of an (h, w, 4) image by serpentine diffusion; errors beyond ``cap`` are damped.
 
     With the colours ``under`` it and a transparent entry in the palette, a pixel takes that entry where what lies under is
     as near; where diffusion would do worse than leaving the old colour, it takes the entry that the pixel before it met, if
@@ -84,8 +133,6 @@ def scan(own: np.ndarray, strength: np.ndarray, palette: np.ndarray, first_row:
     """
     h, w, _ = own.shape
     out = np.zeros((h, w), np.int64)
-    own_gap = np.sort(differences(palette, palette), axis=1)
-    cap = float(own_gap[:, 1].mean()) if len(palette) > 1 else 0.0
     carry = np.zeros((w + 2, 4))
     clear = int((palette**2).sum(1).argmin()) if len(palette) else 0
     if under is not None and palette[clear, 0] >= 0.625 / 255:
@@ -111,7 +158,7 @@ def scan(own: np.ndarray, strength: np.ndarray, palette: np.ndarray, first_row:
                         i, shown = before, palette[before]
             out[k, x] = i
             error = wanted - shown
-            if cap and (error**2).sum() > cap:
+            if (error**2).sum() > cap:
                 error = error * 0.75
             carry[x + 1 + step] += error * (7 / 16)
             ahead[x + 1 - step] += error * (3 / 16)
@@ -122,15 +169,18 @@ def scan(own: np.ndarray, strength: np.ndarray, palette: np.ndarray, first_row:
 
 
 def _pushed(colour: np.ndarray, error: np.ndarray, cap: float) -> np.ndarray:
-    """The colour with its error, kept near the gamut; errors too small to see are ignored, large ones damped."""
+    """The colour with its error: red, green and blue kept near the gamut together, alpha inside it; errors too small to see are ignored, large ones damped."""
     size = float((error**2).sum())
     if size < 2 / 65536:
         return colour
-    ratio = 0.8 if cap and size > cap else 1.0
-    for c in range(4):
-        moved = colour[c] + error[c]
-        if moved > 1.1 and error[c] > 0:
-            ratio = min(ratio, max((1.1 - colour[c]) / error[c], 0.0))
-        elif moved < -0.1 and error[c] < 0:
-            ratio = min(ratio, max((-0.1 - colour[c]) / error[c], 0.0))
-    return colour + error * ratio
+    ratio = 1.0
+    for c in (1, 2, 3):
+        if colour[c] + error[c] > 1.1 and error[c]:
+            ratio = min(ratio, (1.1 - colour[c]) / error[c])
+        elif colour[c] + error[c] < -0.1 and error[c]:
+            ratio = min(ratio, (-0.1 - colour[c]) / error[c])
+    if size > cap:
+        ratio *= 0.8
+    out = colour + error * ratio
+    out[0] = min(max(colour[0] + error[0], 0.0), 1.0)
+    return out

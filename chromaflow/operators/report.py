@@ -94,6 +94,18 @@ def written_csv(rows: DataFrame, formats: dict[str, str], path: str, force: bool
     rows.select(*shown).write.mode("overwrite" if force else "errorifexists").option("header", True).csv(path)
 
 
+def as_map(rows: DataFrame, key: str, value: str, name: str = "entries") -> DataFrame:
+    """One row: a map of all rows. The report's rows are few; of a repeated key the largest value stays."""
+    one = rows.groupBy(key).agg(F.max(value).alias(value))
+    return one.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias(name))
+
+
+def summary_json(rows: DataFrame) -> DataFrame:
+    """Each row as a JSON object of its columns in order, nulls included, two spaces a level."""
+    shown = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false", "pretty": "true"})
+    return rows.select(shown.alias("json"))
+
+
 def markdown(rows: DataFrame) -> DataFrame:
     """One line of a table per row."""
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns)), F.lit(" |")).alias("line"))

@@ -345,7 +345,7 @@ h as (select *, d1 = d2 and n1 + n2 <= 65535 as same, num // g <= 65535 and den
 select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, cast(case when same then n1 + n2 when fits then num // g else least(num * 1000 // den, 65535) end as bigint) as num, cast(case when same then d1 when fits then den // g else 1000 end as bigint) as den from h""")
 def delay_merge(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    num, den = E.merge_delays(F.floor("l_quantity").cast("long"), F.col("l_suppkey") % 7 * 25, F.col("l_partkey") % 60000, F.col("l_partkey") % 5 * 25)
+    num, den = E.merge_delays(F.floor("l_quantity").cast("long"), F.col("l_suppkey") % 7 * 25, F.col("l_partkey") % 60000, F.col("l_partkey") % 5 * 25, E.gcd_of_rows)
     return li.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), num.alias("num"), den.alias("den"))
 
 
@@ -626,3 +626,71 @@ def stability_counts(spark, sf_dir):
     n = F.col("event_id")
     crash = (F.col("event_type") == "purchase") & (n % 11 == 0)
     return report.stability(table(spark, sf_dir, "events").select(F.when(n % 4 != 0, n % 4 == 1).alias("expected_success"), (n % 3).alias("exit_code"), F.when(crash, "thread PANICked").alias("stderr"), F.lit(False).alias("signalled")))
+
+
+@query(f"with {PX}, p as ({sql_internal('px')}), n as (select image_id, y, x + 1 as x, pa as na, pr as nr, pg as ng, pb as nb from p) select {longs('image_id', 'y', 'x')}, {', '.join(f'round(2 * p{c} - n{c}, 9) as m{c}' for c in 'argb')} from p join n using (image_id, y, x)")
+def reflected_colour(spark, sf_dir):
+    p = with_internal(pixels(spark, sf_dir)).select("image_id", "y", "x", *(f"p{c}" for c in "argb"))
+    before = p.select("image_id", "y", (F.col("x") + 1).alias("x"), *(F.col(f"p{c}").alias(f"n{c}") for c in "argb"))
+    out = E.reflected(E.colour(), E.colour("n"))
+    return p.join(before, ["image_id", "y", "x"]).select("image_id", "y", "x", *(F.round(v, 9).alias(f"m{c}") for c, v in zip("argb", out)))
+
+
+@query("""with e as (select event_id, event_id % 300 - 20 as x, event_id % 70 - 3 as y, event_id % 256 as w, case when event_id % 50 = 0 then 9000000000000000000 else event_id % 64 end as h from events)
+select event_id, case when w * h::hugeint * 4 <= 9223372036854775807 then cast(w * h::hugeint * 4 as bigint) end as n_bytes,
+ case when x >= 0 and x < w and y >= 0 and y < h and w * h::hugeint * 4 <= 9223372036854775807 then cast((y * w + x) * 4 as bigint) end as place from e""")
+def checked_rgba_places(spark, sf_dir):
+    n = F.col("event_id")
+    x, y, w = n % 300 - 20, n % 70 - 3, n % 256
+    h = F.when(n % 50 == 0, F.lit(9000000000000000000)).otherwise(n % 64)
+    return table(spark, sf_dir, "events").select("event_id", E.rgba_bytes(w, h).alias("n_bytes"), E.rgba_place(x, y, w, h).alias("place"))
+
+
+@query("""with f as (select event_id, case event_id % 4 when 0 then '-' when 1 then 'out/x.png' end as output, case when event_id % 3 = 0 then '-' else 'in.d/p' || event_id || case when event_id % 2 = 0 then '.png' else '' end end as source from events)
+select event_id, coalesce(output, case when source = '-' then '-' else regexp_replace(source, '[.][^./]*$', '') || '-fs8.png' end) as target from f""")
+def output_routing(spark, sf_dir):
+    n = F.col("event_id")
+    output = F.when(n % 4 == 0, "-").when(n % 4 == 1, "out/x.png")
+    source = F.when(n % 3 == 0, "-").otherwise(F.concat(F.lit("in.d/p"), n, F.when(n % 2 == 0, ".png").otherwise("")))
+    return table(spark, sf_dir, "events").select("event_id", E.output_target(output, source, "-fs8.png").alias("target"))
+
+
+@query("""with e as (select event_id, ['argument', 'io', 'decode', 'encode', 'quality_too_low', 'output_too_large'][event_id % 7 + 1] as error, event_type as detail, case when event_id % 2 = 0 then 'a/b.png' end as path, event_id % 100 as n from events)
+select event_id, error, case error when 'argument' then detail when 'io' then 'io error' || coalesce(' at ' || path, '') || ': ' || detail when 'decode' then 'decode error: ' || detail when 'encode' then 'encode error: ' || detail
+ when 'quality_too_low' then 'quality too low: actual=' || n || ', minimum=' || (n + 1)
+ when 'output_too_large' then 'skip-if-larger rejected output: input=' || (n * 10) || ' bytes, output=' || (n * 20) || ' bytes, max_allowed=' || (n * 5) || ' bytes, quality_score=' || n end as message from e""")
+def error_texts(spark, sf_dir):
+    n = F.col("event_id") % 100
+    names = F.array(*(F.lit(x) for x in ("argument", "io", "decode", "encode", "quality_too_low", "output_too_large")))
+    error = F.get(names, (F.col("event_id") % 7).cast("int"))
+    numbers = {"minimum": n + 1, "actual": n, "in_bytes": n * 10, "out_bytes": n * 20, "most_bytes": n * 5, "score": n}
+    message = E.error_text(error, F.col("event_type"), F.when(F.col("event_id") % 2 == 0, "a/b.png"), numbers)
+    return table(spark, sf_dir, "events").select("event_id", error.alias("error"), message.alias("message"))
+
+
+@query("""select event_id, case when event_id % 12 = 0 then 4 else event_id % 12 end as speed, case when event_id % 5 = 0 then 1.0::double else (event_id % 5) / 5.0::double end as dither,
+ nullif(event_id % 4, 0) as posterize, case when event_id % 3 = 1 then 'aggressive' else 'safe' end as mode from events""")
+def library_options(spark, sf_dir):
+    n = F.col("event_id")
+    out = E.library_options(n % 12, F.when(n % 5 == 0, -1.0).otherwise((n % 5) / 5.0), n % 4, n % 3)
+    return table(spark, sf_dir, "events").select("event_id", *(v.alias(k) for k, v in out.items()))
+
+
+@query("""with e as (select event_id, event_id % 99 as n, case event_id % 3 when 0 then null when 1 then '60-80' else '70' end as requested, case event_id % 6 when 2 then '70-70' when 1 then '60-80' when 4 then '60-80' when 5 then '70' end as effective from events)
+select event_id, 'ok: ' || n || 'x' || (n + 1) || ', ' || coalesce('requested_quality=' || requested || ', ', '') || case when requested <> effective then 'effective_quality=' || effective || ', ' else '' end || 'quality_score=' || n ||
+ ', quality_mse=' || printf('%.3f', n / 8.0::double) || ', ' || (n * 100) || ' -> ' || (n * 40) || ' bytes, wrote a/' || event_id || '.png' as message from e""")
+def success_messages(spark, sf_dir):
+    k = F.col("event_id")
+    n = k % 99
+    requested = F.when(k % 3 == 1, "60-80").when(k % 3 == 2, "70")
+    effective = F.when(k % 6 == 2, "70-70").when(k % 6 == 5, "70").when(k % 3 == 1, "60-80")
+    path = F.concat(F.lit("a/"), k, F.lit(".png"))
+    return table(spark, sf_dir, "events").select("event_id", E.success_text(n, n + 1, requested, effective, n, n / 8.0, n * 100, n * 40, path).alias("message"))
+
+
+@query("select cast(map_from_entries(list((platform, n) order by platform)) as varchar) as shown from (select event_type as platform, count(*) as n from events group by event_type)")
+def report_map(spark, sf_dir):
+    counts = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("platform")).agg(F.count("*").alias("n"))
+    entries = F.map_entries("entries")
+    shown = F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return report.as_map(counts, "platform", "n").select(F.concat(F.lit("{"), F.array_join(shown, ", "), F.lit("}")).alias("shown"))

@@ -127,7 +127,9 @@ def quantize(px: DataFrame, options: Options = Options(), files: DataFrame | Non
         plain = written(remap.nearest(own, palettes).select("image_id", "y", "x", "noise", "edge", "idx", "err"), "plain")
         fed = remap.feedback(own.join(plain.select("image_id", "y", "x", "idx", "err"), ["image_id", "y", "x"]), "noise")
         entries = written(rounded(remap.with_feedback(palettes, fed), options.posterize), "entries")
-        indexed = dither.diffused(own.join(strengths(plain, options), ["image_id", "y", "x"]), entries, options.dither_level)
+        # errors are bounded by those of the remap that made the dither map, or of the search where none is made
+        errors = plain.groupBy("image_id").agg(F.avg("err").alias("error")) if options.dither_map != "none" else palettes.groupBy("image_id").agg(F.first("error").alias("error"))
+        indexed = dither.diffused(own.join(strengths(plain, options), ["image_id", "y", "x"]), entries.join(errors, "image_id"), options.dither_level)
     else:
         entries = written(rounded(palettes, options.posterize), "entries")
         indexed = remap.nearest(own, entries).select("image_id", "y", "x", "idx")

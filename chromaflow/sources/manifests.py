@@ -40,3 +40,12 @@ def foreign_packages(metadata: DataFrame, column: str = "value") -> DataFrame:
 
 def licence_counts(packages: DataFrame, column: str = "license") -> DataFrame:
     return packages.groupBy(F.coalesce(column, F.lit("UNKNOWN")).alias(column)).agg(F.count("*").alias("packages")).orderBy(F.desc("packages"), column)
+
+
+def read_platforms(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The rows of every .json file of a folder, with their path; a folder that is missing has none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], f"{schema}, path string")
+    found = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
+    return found.withColumn("path", F.input_file_name())

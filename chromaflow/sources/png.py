@@ -7,7 +7,11 @@ decoded is a row with a status, never a failed job.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
+import sys
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import written
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 #: Start and step (x0, y0, dx, dy) of the seven interlaced passes.
@@ -307,7 +313,10 @@ def encode_animation(png: Png, palette: np.ndarray | None = None, speed: int = 4
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, content of all .png and .apng files below a folder."""
+    """path, length, content of all .png and .apng files below a folder; a folder that is missing has none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], "path string, length long, content binary")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return found.filter(F.lower("path").rlike(r"\.a?png$")).select("path", "length", "content")
 
@@ -433,19 +442,44 @@ def encoded_animations(indexed: DataFrame, frames: DataFrame, palette: DataFrame
     return pixels.groupBy("anim").cogroup(heads.groupBy("anim")).applyInPandas(run, f"anim {kind}, content binary")
 
 
+def read_standard_input(spark: SparkSession) -> DataFrame:
+    """path ('-'), length, content: the one file that is the driver's standard input."""
+    content = sys.stdin.buffer.read()
+    return spark.createDataFrame([("-", len(content), bytearray(content))], "path string, length long, content binary")
+
+
 def write_images(images: DataFrame, name: str, folder: str, force: bool = False) -> DataFrame:
-    """Writes each ``content`` to folder/name through Spark's file system; an existing file without ``force`` is an argument error. Returns name, status."""
-    spark = images.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    rows = []
-    for row in images.select(name, "content").toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{row[0]}")
-        system = path.getFileSystem(conf)
-        if system.exists(path) and not force:
-            rows.append((row[0], "argument"))
-            continue
-        out = system.create(path, True)
-        out.write(bytearray(row[1]))
-        out.close()
-        rows.append((row[0], "ok"))
-    return spark.createDataFrame(rows, "name string, status string")
+    """Writes each ``content`` to folder/name where its row is; an existing file without ``force`` is an argument error. Returns name, status.
+
+    What exists is found out before anything is written, so that a task that runs again writes what it wrote before; a file
+    is whole or not there.
+    """
+    from pyarrow import fs
+
+    target = folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}"
+    target = re.sub("^file:/(?!/)", "file:///", target)
+
+    def found(batches):
+        system, base = fs.FileSystem.from_uri(target)
+        for pdf in batches:
+            there = [system.get_file_info(f"{base}/{n}").type != fs.FileType.NotFound for n in pdf["name"]]
+            yield pdf.assign(there=there)
+
+    def write(batches):
+        system, base = fs.FileSystem.from_uri(target)
+        system.create_dir(base, recursive=True)
+        for pdf in batches:
+            status = []
+            for own, content, there in zip(pdf["name"], pdf["content"], pdf["there"]):
+                status.append("argument" if there and not force else "ok")
+                if status[-1] == "ok":
+                    system.create_dir(f"{base}/{own}".rpartition("/")[0], recursive=True)
+                    part = f"{base}/{own}.{uuid.uuid4().hex}.part"
+                    with system.open_output_stream(part) as out:
+                        out.write(bytes(content))
+                    system.move(part, f"{base}/{own}")
+            yield pd.DataFrame({"name": pdf["name"], "status": status})
+
+    listed = written(images.select(F.col(name).cast("string").alias("name")).mapInPandas(found, "name string, there boolean"), "targets")
+    rows = images.select(F.col(name).cast("string").alias("name"), "content").join(listed.distinct(), "name")
+    return written(rows.mapInPandas(write, "name string, status string"), "statuses")
