@@ -32,7 +32,7 @@ from .common import map_arrow, shared_path, stream_arrow, table, texts
 
 END_ID = 1
 #: Words and pieces kept per worker.
-WORDS, PIECES = 900_000, 600_000
+WORDS, PIECES = 500_000, 300_000
 #: ORC writer settings: stripes are what readers split by, strides what they skip by.
 WRITER = {
     "compression": "zstd",
