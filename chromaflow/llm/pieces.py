@@ -13,11 +13,16 @@ import os
 import re
 from functools import lru_cache
 
+import pyarrow as pa
+import pyarrow.compute as pc
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: ASCII and Latin letters without those whose lower case, class or composition is special; white space is ASCII only.
 _SAFE = re.compile("[\\t-\\r\\x20-\\x7e\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-įı-ňŊ-ž]*")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: The same, for Arrow's engine: of the characters of plain texts, its letters and digits are Python's.
+_PIECE_ARROW = r"'s|'t|'re|'ve|'m|'ll|'d|\pL+|[0-9]|[^\pL0-9\s]+"
 #: Words kept per worker, and the longest word worth keeping.
 CACHE_WORDS, CACHE_LENGTH = 300_000, 48
 
@@ -53,6 +58,12 @@ def cut_word(word: str) -> list[str]:
     return _PIECE.findall(word)
 
 
+def cut_words(words: pa.Array) -> pa.ListArray:
+    """The pieces, in lower case, of each of some white-space words of plain texts."""
+    apart = pc.replace_substring_regex(pc.utf8_lower(words), _PIECE_ARROW, r"\0 ")
+    return pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(apart))
+
+
 class Bounded(dict):
     """A cache that starts over when it is full."""
 

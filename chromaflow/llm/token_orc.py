@@ -8,7 +8,7 @@ of ids before it in the shard; the shards' totals (one row each) give global
 starts. Readers split files by stripe.
 
 One shuffle moves the texts; the ids are made after it, where they are written.
-A worker holds a batch, the vocabulary and a bounded cache of words.
+A worker holds a batch, the vocabulary and a bounded cache of pieces.
 
 Defined cases: a null text is empty and has the end id alone; rows without doc_id
 come first; rows that share a doc_id are ordered by text; an empty table gives
@@ -31,8 +31,8 @@ from . import pieces as P
 from .common import map_arrow, shared_path, stream_arrow, table, texts
 
 END_ID = 1
-#: Words and pieces kept per worker.
-WORDS, PIECES = 500_000, 300_000
+#: Pieces kept per worker.
+PIECES = 600_000
 #: ORC writer settings: stripes are what readers split by, strides what they skip by.
 WRITER = {
     "compression": "zstd",
@@ -46,7 +46,7 @@ SCHEMA = "doc_id long, shard int, offset long, n_tokens long, ids array<int>"
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library. Of plain texts, the words of a batch are looked up once each, and each new piece goes through the library once."""
+    """Ids of whole texts by the tokenizers library. Of plain texts, the words of a batch are cut once each, column by column, and each new piece goes through the library once."""
 
     def __init__(self, path: str):
         self.library = P.library(path)
@@ -54,8 +54,7 @@ class WordEncoder:
         vocab = self.library.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a string column in order, number of ids of each)"""
@@ -63,17 +62,10 @@ class WordEncoder:
         plain = [P.is_plain(x, self.special) for x in texts]
         odd = [i for i, p in enumerate(plain) if not p]
         split = pc.ascii_split_whitespace(pa.array([x if p else "" for x, p in zip(texts, plain)], pa.string()) if odd else column)
-        coded = split.flatten().dictionary_encode()
-        forms = self.forms(coded.dictionary.to_pylist())
-        length = np.fromiter(map(len, forms), np.int32, len(forms)) // 4
-        pool = np.frombuffer(b"".join(forms), np.int32)
-        codes = coded.indices.to_numpy()
-        n = length[codes]
-        upto = np.zeros(len(n) + 1, np.int64)
-        np.cumsum(n, out=upto[1:])
-        start = np.cumsum(length, dtype=np.int64) - length
-        ids = pool[np.repeat(start[codes] - upto[:-1], n) + np.arange(upto[-1])]
-        bounds = upto[split.offsets.to_numpy()]
+        words = split.flatten().dictionary_encode()
+        got = self.forms(words.dictionary).take(words.indices)
+        ids = got.flatten().to_numpy()
+        bounds = _offsets(got)[_offsets(split)]
         counts = np.diff(bounds)
         if odd:
             parts = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
@@ -83,45 +75,34 @@ class WordEncoder:
             ids = np.concatenate(parts)
         return ids, counts
 
-    def forms(self, words: list[str]) -> list[bytes]:
-        """Little-endian ids of each word of plain texts."""
-        known, learnt = self.words, self.pieces
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > WORDS:
-            known = self.words = {w: known[w] for w in words if w in known}
-        # words and forms hold no cycles; without a pause the collector walks the growing tables again and again
+    def forms(self, words: pa.Array) -> pa.ListArray:
+        """The ids of each word of plain texts."""
+        cut = P.cut_words(words)
+        pieces = cut.flatten().dictionary_encode()
+        got = self.ids(pieces.dictionary.to_pylist()).take(pieces.indices)
+        return pa.ListArray.from_arrays(pa.array(_offsets(got)[_offsets(cut)], pa.int32()), got.flatten())
+
+    def ids(self, pieces: list[str]) -> pa.ListArray:
+        """The ids of each of some distinct pieces."""
+        # pieces and ids hold no cycles; without a pause the collector walks the growing table again and again
         gc.disable()
         try:
-            whole, parts, need = [], [], set()
-            for word, low in zip(new, " ".join(new).lower().split(" ") if new else ()):
-                form = learnt.get(low)
-                if form is not None:
-                    known[word] = form
-                elif low.isalpha():
-                    need.add(low)
-                    whole.append((word, low))
-                else:
-                    cut = P.cut_word(low)
-                    need.update(cut)
-                    parts.append((word, cut))
-            self.learn(need)
-            for word, low in whole:
-                known[word] = learnt[low]
-            for word, cut in parts:
-                known[word] = b"".join([learnt[p] for p in cut])
-            out = list(map(known.__getitem__, words))
-            for word in new:
-                if len(word) > P.CACHE_LENGTH:
-                    del known[word]
-            if len(learnt) > PIECES:
-                learnt.clear()
-            return out
+            new = [p for p in pieces if p not in self.known]
+            if len(self.known) + len(new) > PIECES:
+                self.known = {"": b""} | {p: self.known[p] for p in pieces if p in self.known}
+            self.learn(new)
+            out = [self.known[p] for p in pieces]
+            for p in new:
+                if len(p) > P.CACHE_LENGTH:
+                    del self.known[p]
         finally:
             gc.enable()
+        bounds = np.zeros(len(out) + 1, np.int32)
+        np.cumsum(np.fromiter(map(len, out), np.int32, len(out)) // 4, out=bounds[1:])
+        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(out), "<i4")))
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, new: list[str]) -> None:
         """Encodes pieces not seen before: as one text, whose ids are cut where a piece ends."""
-        new = [p for p in pieces if p not in self.pieces]
         for k in range(0, len(new), 1000):
             some = new[k : k + 1000]
             ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -129,11 +110,17 @@ class WordEncoder:
             if len(stops) == len(some):
                 raw, a = ids.tobytes(), 0
                 for piece, b in zip(some, stops.tolist()):
-                    self.pieces[piece] = raw[a:b]
+                    self.known[piece] = raw[a:b]
                     a = b
             else:
                 for piece, got in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                    self.pieces[piece] = np.array(got.ids, "<u4").tobytes()
+                    self.known[piece] = np.array(got.ids, "<u4").tobytes()
+
+
+def _offsets(lists: pa.ListArray) -> np.ndarray:
+    """Where each list begins in what flatten() gives, and the end of the last."""
+    offsets = lists.offsets.to_numpy()
+    return offsets - offsets[0]
 
 
 @lru_cache(2)

@@ -239,6 +239,25 @@ def test_encoding_is_that_of_the_library(text):
     assert got.tolist() == want * 2 and n.tolist() == [len(want), 0, len(want)]
 
 
+def test_words_are_cut_alike_by_column_and_one_by_one():
+    safe = [chr(c) for c in range(0x21, 0x180) if pieces._SAFE.fullmatch(chr(c))]
+    words = [a + b for a in safe for b in ["", "'s", "1_-", "é'LL", *"aZ0_'."]] + ["'s", "''S'", "!'ve", "1'23", "don't've"]
+    got = pieces.cut_words(pa.array(words))
+    assert got.to_pylist() == [pieces.cut_word(w.lower()) for w in words]
+
+
+def test_encoder_with_a_full_table_gives_the_same_ids(monkeypatch):
+    path = pieces.default_vocabulary()
+    library, own = pieces.library(path), token_orc.WordEncoder(path)
+    monkeypatch.setattr(token_orc, "PIECES", 50)
+    draw = random.Random(3)
+    for _ in range(6):
+        texts = [" ".join("".join(draw.choices("aebT'.1", k=draw.randrange(1, 60))) for _ in range(20)) for _ in range(5)]
+        ids, n = own(pa.array(texts))
+        want = [library.encode(x, add_special_tokens=False).ids for x in texts]
+        assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
+
+
 def test_bpe_query(docs, empty, odd):
     library = pieces.library(pieces.default_vocabulary())
     for r in bpe.encode_decode_digests(docs).collect():
