@@ -19,8 +19,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,7 +157,12 @@ class Codec:
         letters = _byte_letters()
         self.byte_of = {c: b for b, c in enumerate(letters)}
         self.ids_of_piece: P.Bounded = P.Bounded()
-        self.word_forms: P.Bounded = P.Bounded()
+        self.columns = PrefixEncoder(path, self)
+        some = sorted(self.strings)
+        if some != list(range(len(some))):
+            raise ValueError("ids of the vocabulary are not 0, 1, 2, ...")
+        self.numbers = pa.array(map(str, some), pa.large_string())
+        self.names = pa.array([self.strings[i] for i in some], pa.large_string())
 
     def piece(self, piece: str) -> list[int]:
         got = self.ids_of_piece.get(piece)
@@ -162,15 +171,6 @@ class Codec:
             self.ids_of_piece.keep(piece, got)
         return got
 
-    def form(self, word: str) -> tuple[str, str]:
-        """Ids and token strings of a word of a plain text, each joined by spaces."""
-        got = self.word_forms.get(word)
-        if got is None:
-            ids = [i for piece in P.cut_word(word.lower()) for i in self.piece(piece)]
-            got = " ".join(map(str, ids)), self.decode(ids)
-            self.word_forms.keep(word, got)
-        return got
-
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         if P.is_plain(text, self.special):
@@ -193,15 +193,26 @@ class Codec:
         """What the vocabulary, which names no decoder, gives: its tokens joined by spaces."""
         return " ".join([self.strings[i] for i in ids])
 
-    def forms(self, text: str) -> tuple[str, str]:
-        """Decimal ids and decoded text of a whole text."""
-        if P.is_plain(text, self.special):
-            words = text.split()
-            known, form = self.word_forms, self.form
-            got = [known.get(w) or form(w) for w in words]
-            return " ".join([a for a, _ in got if a]), " ".join([b for a, b in got if a])
-        ids = self.encode(text)
-        return " ".join(map(str, ids)), self.decode(ids)
+    def forms(self, column: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """Number of ids, decimal ids and decoded text of each whole text of a string column."""
+        ids, n = self.columns(column)
+        bounds = pa.array(np.concatenate([[0], np.cumsum(n, dtype=np.int64)]))
+        blank = pa.scalar(" ", pa.large_string())
+        numbers, names = (pc.binary_join(pa.LargeListArray.from_arrays(bounds, each.take(pa.array(ids))), blank) for each in (self.numbers, self.names))
+        return n, numbers, names
+
+
+class PrefixEncoder(P.ColumnEncoder):
+    """Ids by the dynamic programming; each new piece goes through it once."""
+
+    def __init__(self, path: str, codec: Codec):
+        super().__init__(path)
+        self.bpe, self.whole = codec.bpe, codec.encode
+
+    def learn(self, new: list[str]) -> None:
+        known, encode = self.known, self.bpe.encode_piece
+        for piece in new:
+            known[piece] = array("i", encode(piece)).tobytes()
 
 
 @lru_cache(2)
@@ -236,14 +247,8 @@ def encode_decode_digests(documents: DataFrame, path: str | None = None) -> Data
     path = path or P.default_vocabulary()
 
     def run(batch):
-        own = codec(path)
-        sha = hashlib.sha256
-        n, a, b = [], [], []
-        for text in batch.column(1).to_pylist():
-            ids, decoded = own.forms(text)
-            n.append(ids.count(" ") + 1 if ids else 0)
-            a.append(sha(ids.encode()).hexdigest())
-            b.append(sha(decoded.encode()).hexdigest())
+        n, ids, decoded = codec(path).forms(batch.column(1))
+        a, b = ([hashlib.sha256(x).hexdigest() for x in each.cast(pa.large_binary()).to_pylist()] for each in (ids, decoded))
         return {"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
 
     return map_arrow(texts(documents), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

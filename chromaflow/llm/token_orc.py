@@ -17,13 +17,11 @@ files without rows; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +29,6 @@ from . import pieces as P
 from .common import map_arrow, shared_path, stream_arrow, table, texts
 
 END_ID = 1
-#: Pieces kept per worker.
-PIECES = 600_000
 #: ORC writer settings: stripes are what readers split by, strides what they skip by.
 WRITER = {
     "compression": "zstd",
@@ -45,64 +41,20 @@ WRITER = {
 SCHEMA = "doc_id long, shard int, offset long, n_tokens long, ids array<int>"
 
 
-class WordEncoder:
-    """Ids of whole texts by the tokenizers library. Of plain texts, the words of a batch are cut once each, column by column, and each new piece goes through the library once."""
+class WordEncoder(P.ColumnEncoder):
+    """Ids by the tokenizers library; each new piece goes through it once."""
 
     def __init__(self, path: str):
-        self.library = P.library(path)
-        self.special, _ = P.specials(path)
+        super().__init__(path)
         vocab = self.library.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
-
-    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts of a string column in order, number of ids of each)"""
-        texts = column.to_pylist()
-        plain = [P.is_plain(x, self.special) for x in texts]
-        odd = [i for i, p in enumerate(plain) if not p]
-        split = pc.ascii_split_whitespace(pa.array([x if p else "" for x, p in zip(texts, plain)], pa.string()) if odd else column)
-        words = split.flatten().dictionary_encode()
-        got = self.forms(words.dictionary).take(words.indices)
-        ids = got.flatten().to_numpy()
-        bounds = _offsets(got)[_offsets(split)]
-        counts = np.diff(bounds)
-        if odd:
-            parts = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            for i in odd:
-                parts[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.int32)
-                counts[i] = len(parts[i])
-            ids = np.concatenate(parts)
-        return ids, counts
-
-    def forms(self, words: pa.Array) -> pa.ListArray:
-        """The ids of each word of plain texts."""
-        cut = P.cut_words(words)
-        pieces = cut.flatten().dictionary_encode()
-        got = self.ids(pieces.dictionary.to_pylist()).take(pieces.indices)
-        return pa.ListArray.from_arrays(pa.array(_offsets(got)[_offsets(cut)], pa.int32()), got.flatten())
-
-    def ids(self, pieces: list[str]) -> pa.ListArray:
-        """The ids of each of some distinct pieces."""
-        # pieces and ids hold no cycles; without a pause the collector walks the growing table again and again
-        gc.disable()
-        try:
-            new = [p for p in pieces if p not in self.known]
-            if len(self.known) + len(new) > PIECES:
-                self.known = {"": b""} | {p: self.known[p] for p in pieces if p in self.known}
-            self.learn(new)
-            out = [self.known[p] for p in pieces]
-            for p in new:
-                if len(p) > P.CACHE_LENGTH:
-                    del self.known[p]
-        finally:
-            gc.enable()
-        bounds = np.zeros(len(out) + 1, np.int32)
-        np.cumsum(np.fromiter(map(len, out), np.int32, len(out)) // 4, out=bounds[1:])
-        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(out), "<i4")))
+
+    def whole(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
 
     def learn(self, new: list[str]) -> None:
-        """Encodes pieces not seen before: as one text, whose ids are cut where a piece ends."""
+        """As one text, whose ids are cut where a piece ends."""
         for k in range(0, len(new), 1000):
             some = new[k : k + 1000]
             ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -117,12 +69,6 @@ class WordEncoder:
                     self.known[piece] = np.array(got.ids, "<u4").tobytes()
 
 
-def _offsets(lists: pa.ListArray) -> np.ndarray:
-    """Where each list begins in what flatten() gives, and the end of the last."""
-    offsets = lists.offsets.to_numpy()
-    return offsets - offsets[0]
-
-
 @lru_cache(2)
 def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)

@@ -233,8 +233,9 @@ def test_encoding_is_that_of_the_library(text):
     want = pieces.library(path).encode(text, add_special_tokens=False).ids
     own = bpe.codec(path)
     assert own.encode(text) == want
-    ids, decoded = own.forms(text)
-    assert ids == " ".join(map(str, want)) and decoded == pieces.library(path).decode(want, skip_special_tokens=False)
+    count, ids, decoded = own.forms(pa.array([text, "", text]))
+    assert count.tolist() == [len(want), 0, len(want)] and ids.to_pylist() == [" ".join(map(str, want)), "", " ".join(map(str, want))]
+    assert decoded[0].as_py() == decoded[2].as_py() == pieces.library(path).decode(want, skip_special_tokens=False) and decoded[1].as_py() == ""
     got, n = token_orc.word_encoder(path)(pa.array([text, "", text]))
     assert got.tolist() == want * 2 and n.tolist() == [len(want), 0, len(want)]
 
@@ -249,13 +250,15 @@ def test_words_are_cut_alike_by_column_and_one_by_one():
 def test_encoder_with_a_full_table_gives_the_same_ids(monkeypatch):
     path = pieces.default_vocabulary()
     library, own = pieces.library(path), token_orc.WordEncoder(path)
-    monkeypatch.setattr(token_orc, "PIECES", 50)
+    other = bpe.codec(path).columns
+    monkeypatch.setattr(pieces, "CACHE_PIECES", 50)
     draw = random.Random(3)
     for _ in range(6):
         texts = [" ".join("".join(draw.choices("aebT'.1", k=draw.randrange(1, 60))) for _ in range(20)) for _ in range(5)]
         ids, n = own(pa.array(texts))
         want = [library.encode(x, add_special_tokens=False).ids for x in texts]
         assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
+        assert [x.tolist() for x in other(pa.array(texts))] == [ids.tolist(), n.tolist()]
 
 
 def test_bpe_query(docs, empty, odd):
