@@ -193,13 +193,15 @@ class Codec:
         """What the vocabulary, which names no decoder, gives: its tokens joined by spaces."""
         return " ".join([self.strings[i] for i in ids])
 
+    def joined(self, ids: np.ndarray, n: np.ndarray, strings: pa.Array) -> pa.Array:
+        """The strings of the ids of each text, which has ``n`` of them, with blanks between."""
+        bounds = pa.array(np.concatenate([[0], np.cumsum(n, dtype=np.int64)]))
+        return pc.binary_join(pa.LargeListArray.from_arrays(bounds, strings.take(pa.array(ids))), pa.scalar(" ", pa.large_string()))
+
     def forms(self, column: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
         """Number of ids, decimal ids and decoded text of each whole text of a string column."""
         ids, n = self.columns(column)
-        bounds = pa.array(np.concatenate([[0], np.cumsum(n, dtype=np.int64)]))
-        blank = pa.scalar(" ", pa.large_string())
-        numbers, names = (pc.binary_join(pa.LargeListArray.from_arrays(bounds, each.take(pa.array(ids))), blank) for each in (self.numbers, self.names))
-        return n, numbers, names
+        return n, self.joined(ids, n, self.numbers), self.joined(ids, n, self.names)
 
 
 class PrefixEncoder(P.ColumnEncoder):
@@ -247,8 +249,10 @@ def encode_decode_digests(documents: DataFrame, path: str | None = None) -> Data
     path = path or P.default_vocabulary()
 
     def run(batch):
-        n, ids, decoded = codec(path).forms(batch.column(1))
-        a, b = ([hashlib.sha256(x).hexdigest() for x in each.cast(pa.large_binary()).to_pylist()] for each in (ids, decoded))
+        own = codec(path)
+        ids, n = own.columns(batch.column(1))
+        # one kind of text after the other, hashed where it lies
+        a, b = ([hashlib.sha256(x.as_buffer()).hexdigest() for x in own.joined(ids, n, each)] for each in (own.numbers, own.names))
         return {"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
 
     return map_arrow(texts(documents), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
