@@ -101,8 +101,8 @@ def standard_mse(m: Column) -> Column:
 
 
 def most_bytes(n_in: Column, quality: Column) -> Column:
-    """Size gate: most bytes an output may have."""
-    return F.floor(F.greatest(n_in - 1, F.lit(0)) * F.greatest(F.pow(quality / 100.0, F.lit(1.5)), F.lit(0.5))).cast("long")
+    """Size gate: most bytes an output may have; a product within a millionth of the next whole number counts as that one, as in the SQL."""
+    return F.floor(F.greatest(n_in - 1, F.lit(0)) * F.greatest(F.pow(quality / 100.0, F.lit(1.5)), F.lit(0.5)) + F.lit(1e-6)).cast("long")
 
 
 def posterize(byte: Column, bits: int) -> Column:

@@ -15,6 +15,12 @@ def test_size_gate(spark, n_in, quality, most):
     assert value(spark, E.most_bytes(F.lit(n_in), F.lit(quality))) == most
 
 
+@pytest.mark.parametrize("n_in, quality, most", [(323238, 87, 262301), (289118, 75, 187787)])
+def test_size_gate_just_below_a_whole_number(spark, n_in, quality, most):
+    """Products less than a millionth below a whole number: the SQL's floor counts them as that number."""
+    assert value(spark, E.most_bytes(F.lit(n_in), F.lit(quality))) == most
+
+
 @pytest.mark.parametrize("text, want", [("55-80", (55, 80)), ("70", (63, 70)), ("-80", (0, 80)), ("65-", (65, 100)), ("80-55", (None, None)), ("hello", (None, None)), ("30-300", (None, None))])
 def test_quality_range(spark, text, want):
     low, high = E.parse_quality(F.lit(text))
