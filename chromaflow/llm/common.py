@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +80,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     if not _written:
         atexit.register(_remove_all)
     _written.append((spark, path))
+    if getattr(_scope, "paths", None) is not None:
+        _scope.paths.append(path)
     return path
 
 
@@ -89,17 +93,21 @@ def _own_dir(spark: SparkSession) -> str:
     return "/tmp/checkpoints"
 
 
-#: Folders written by this driver, with the session that wrote them.
+#: Folders written by this driver, with the session that wrote them; and, in a thread that runs :func:`settled`, those written in it.
 _written: list[tuple[SparkSession, str]] = []
+_scope = threading.local()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
 
 
 def release() -> None:
     """Removes all intermediate folders written so far. Frames that were not read yet are lost."""
     while _written:
-        spark, path = _written.pop()
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+        _remove(*_written.pop())
 
 
 def _remove_all() -> None:
@@ -112,13 +120,45 @@ def _remove_all() -> None:
         _written.clear()
 
 
+#: Spark then removes a query's shuffle files at its end; else they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts the lineage and survives lost executors."""
+    """Writes ``df`` to the shared folder and reads it back: cuts the lineage and survives lost executors. Its shuffle files go when it is written."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _without_shuffle_files(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` returns, written; the folders written meanwhile are removed, so nothing else may read them."""
+    outer, _scope.paths = getattr(_scope, "paths", None), []
+    try:
+        result, inner = build(), _scope.paths
+    finally:
+        _scope.paths = outer
+    out = materialise(result, name)
+    for entry in [x for x in _written if x[1] in set(inner)]:
+        _written.remove(entry)
+        _remove(*entry)
+    return out
+
+
 def texts(df: DataFrame, *more: str) -> DataFrame:
     """doc_id and whole text, null text as empty, whatever other columns there are."""
     return df.select("doc_id", *more, F.coalesce(F.col("text"), F.lit("")).alias("text"))

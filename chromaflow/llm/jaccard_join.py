@@ -9,12 +9,14 @@ more. Result: one row per document with its component.
    which a frequent shingle is in a prefix only if nearly all of a document is frequent.
    Words below a cut of TABLE_WORDS words count as rare alike; this table is broadcast.
 2. Equal sets become one class. Classes with equal prefix and size become one group.
-3. Groups meet by the shingles of their prefixes. Shingles of more than BUCKET groups
+3. Groups meet by the shingles of their prefixes, which are so much longer that linked
+   sets share several (:func:`shared_needed`). Shingles of more than BUCKET groups
    are found by a partial aggregation first. The others make pairs, which pass if
-   sizes, positions and the number of shared prefix shingles allow a link. Groups of a
-   frequent shingle meet by it and a second shingle (prefixes one longer share two);
-   where all their prefix is frequent, as in copies, they form a chain of size bands,
-   made by aggregations: no task sees all groups of a shingle.
+   sizes, positions and the number of shared prefix shingles allow a link. Only a group
+   with that many frequent shingles can have links that share no other. Its members meet
+   by parts of their sets: a hash deals a set over more parts than linked sets can differ
+   in, so linked sets agree in some. Parts of more than BUCKET members, as in copies,
+   form a chain of size bands, made by aggregations: no task sees all groups of a shingle.
 4. What hangs together by pairs and chains is an island; no link leaves its island.
    Groups expand to their members, whose whole sets are compared inside the island:
    in one task if it is small, else in pairs of blocks. By the triangle inequality of
@@ -23,10 +25,11 @@ more. Result: one row per document with its component.
    a spanning forest of the verified links, not all of them.
 5. Components of the verified links, then of the classes.
 
-Scale: prefixes (a tenth of the shingles) cross the network once; texts only of
-documents in islands. Buckets stream in order with a bounded window; an island's
+Scale: prefixes (a tenth of the shingles) cross the network once, parts of sets (about as
+many as two prefixes) only of groups with several frequent shingles; texts only of
+documents in islands and of those groups. Buckets stream in order with a bounded window; an island's
 blocks are bounded by MOST_BLOCK. All-pairs work is quadratic only in the members of one
-island that are neither copies of each other nor told apart by two shingles.
+island that are neither copies of each other nor told apart by their shingles or parts.
 
 Words and shingles are equal by 64 bits derived from a 128-bit BLAKE2b of each word's
 bytes, equal sets by 128 bits of both halves: a link needs nine tenths of two sets.
@@ -45,18 +48,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import as_often, free, int64, map_arrow, materialise, partitions, split_by_ids, stream_arrow, table, with_rows
+from .common import as_often, free, int64, map_arrow, materialise, partitions, settled, split_by_ids, stream_arrow, table, with_rows
 from .components import components
 
 SHINGLE, MATCH = 3, 90
 TABLE_WORDS = 250_000
 BUCKET = 32
-#: From this mean share of frequent tokens in their prefixes on, a token's groups count as copies of each other.
-MOSTLY = 0.5
+#: Prefixes are one shingle longer, and one more for so many shingles of a set.
+SPARE = 100
+#: Sets that differ in so many shingles at most are dealt over few parts, which meet in pairs.
+FEW = 8
 BLOCK, MOST_BLOCK, MOST_COPIES = 128, 8192, 8
 U64 = np.uint64
 
@@ -106,6 +111,11 @@ def prefix_length(n, match: int = MATCH):
     return n - -(-match * n // 100) + 1
 
 
+def shared_needed(n: int, match: int = MATCH) -> int:
+    """So many shingles are shared by the prefixes of matching sets that are longer by one less; for two sets, the smaller number of theirs."""
+    return min(2 + n // SPARE, -(-match * n // 100))
+
+
 def overlap_needed(a, b, match: int = MATCH):
     """Fewest common shingles of matching sets of these sizes."""
     return -(-match * (a + b) // (100 + match))
@@ -129,7 +139,7 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[tuple[int, n
 
 
 def _sets(rows: DataFrame, rarity, match: int, size: int) -> DataFrame:
-    """row, n (shingles), two halves of a digest of the set, digest of the prefix, the prefix and the shingle after it."""
+    """row, n (shingles), two halves of a digest of the set, digest of the prefix, the prefix (longer: see :func:`shared_needed`)."""
 
     def run(batch):
         level_of = rarity.value
@@ -148,14 +158,14 @@ def _sets(rows: DataFrame, rarity, match: int, size: int) -> DataFrame:
                 own = shingles[a : a + c]
                 got, at = np.unique(own[:, 0], return_index=True)
                 n = len(got)
-                p = prefix_length(n, match) if n else 0
-                rank = np.lexsort((got, order[a : a + c][at]))[: p + 1] if n else at
+                p = prefix_length(n, match) - 1 + shared_needed(n, match) if n else 0
+                rank = np.lexsort((got, order[a : a + c][at]))[:p] if n else at
                 prefix = got[rank].view(np.int64)
                 digest = hashlib.blake2b(own[at].tobytes(), digest_size=16).digest()
                 k = first + i
                 n_all[k] = n
                 one[k], two[k] = np.frombuffer(digest, np.int64)
-                three[k] = np.frombuffer(hashlib.blake2b(prefix[:p].tobytes(), digest_size=8).digest(), np.int64)[0]
+                three[k] = np.frombuffer(hashlib.blake2b(prefix.tobytes(), digest_size=8).digest(), np.int64)[0]
                 prefixes.append(prefix)
         ends = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
@@ -235,38 +245,109 @@ def _chains(tokens: DataFrame, match: int) -> DataFrame:
     return inside.unionByName(firsts.join(after, ["token", "band"]).select(F.col("first").alias("a"), "b").distinct())
 
 
-def candidate_edges(groups: DataFrame, match: int = MATCH, bucket: int = BUCKET) -> DataFrame:
-    """a, b: pairs of groups that may hold linked members, and chains through frequent tokens. ``groups``: id, n, prefix and one shingle more.
+def _least(n: Column, match: int) -> Column:
+    """Fewest shingles of a set that matches one of ``n``; equal to match percent, rounded up."""
+    return F.ceil(F.lit(match) * n / 100.0 - 1e-9)
+
+
+def _shared(n: Column, match: int) -> Column:
+    """:func:`shared_needed` of a column."""
+    return F.least(F.floor(n / float(SPARE)) + 2, _least(n, match))
+
+
+def size_bands(n: int, match: int) -> list[tuple[int, int]]:
+    """The bands of sizes that a set of ``n`` shares with matching ones, by the first size of the smaller set's band; and in how many shingles such sets differ at most."""
+    low, found = 1, []
+    while low <= n:
+        after = 100 * low // match + 1
+        if 100 * (after - 1) // match >= n:  # the smaller set has low to after - 1 shingles, its match at most so many
+            found.append((low, (after - 1 + 100 * (after - 1) // match) * (100 - match) // (100 + match)))
+        low = after
+    return found
+
 
-    Two sets that match share a token of their prefixes and, with one shingle more,
-    a second. A token of at most ``bucket`` groups makes pairs, filtered by size,
-    position and number of shared tokens. The groups of a frequent token meet again
-    by it and their second token, where a group's other tokens are mostly rare;
-    else, and where that pair of tokens is frequent too, they form chains.
+def parts_of_set(own: np.ndarray, low: int, most: int) -> tuple[np.ndarray, int]:
+    """Names of parts of a set (distinct shingle names), and how many of them a set that differs in at most ``most`` shingles has too.
+
+    Each shingle falls into one of most + agree parts, so that agree parts at least are
+    equal. Few parts are joined in pairs, which are seldom empty. Of many, empty ones count
+    only where agree or more are empty: if both sets are so, they share them, else another.
     """
-    size = F.col("n") - F.ceil(F.lit(match) * F.col("n") / 100.0 - 1e-9) + 1
-    exploded = groups.select("id", "n", size.alias("p"), F.posexplode("prefix").alias("pos", "token"))
-    tokens = exploded.filter("pos < p").select("token", "n", "id", F.col("pos").cast("long").alias("pos"), "p")
+    agree = 2 if most <= FEW else 2 + most // 6
+    n = most + agree
+    place = ((K.mix(own) >> U64(32)) % U64(n)).astype(np.int64)
+    content = np.zeros(n, U64)
+    np.add.at(content, place, K.mix(own ^ U64(0x9E3779B97F4A7C15)))
+    content = K.mix(content + K.mix(np.arange(n, dtype=U64) + (U64(low) << U64(32))))
+    if most <= FEW:
+        i, j = np.triu_indices(n, 1)
+        return K.mix(content[i] + K.mix(content[j])), 1
+    full = np.bincount(place, minlength=n) > 0
+    empty = n - int(full.sum())
+    return (content[full], agree - empty) if empty < agree else (content, 1)
+
+
+_PART = "token long, n long, id long, pos long, row long, low long, least long"
+
+
+def _parts(match: int, size: int):
+    """Rows of _PART of each (id, row, text): the parts of its set for each band of sizes."""
+
+    def run(batch):
+        ids, rows = int64(batch.column(0)), int64(batch.column(1))
+        names, numbers, which = [np.zeros(0, U64)], [], []
+        for first, _, shingles, starts, counts in shingle_sets(batch.column(2), size):
+            for i, (a, c) in enumerate(zip(starts.tolist(), counts.tolist())):
+                own = np.unique(shingles[a : a + c, 0])
+                for low, most in size_bands(len(own), match):
+                    if most:  # else only equal sets match
+                        got, least = parts_of_set(own, low, most)
+                        names.append(got)
+                        numbers.append((len(own), low, least))
+                        which += [first + i]
+        each = [len(x) for x in names[1:]]
+        n, low, least = (np.repeat(np.array([x[k] for x in numbers], np.int64), each) for k in range(3))
+        at = np.repeat(np.array(which, np.int64), each)
+        return {"token": np.concatenate(names).view(np.int64), "n": n, "id": ids[at], "pos": np.zeros(len(at), np.int64), "row": rows[at], "low": low, "least": least}
+
+    return run
+
+
+def candidate_edges(groups: DataFrame, match: int = MATCH, bucket: int | None = None, members: DataFrame | None = None, rows: DataFrame | None = None, size: int = SHINGLE) -> DataFrame:
+    """a, b: pairs of groups that may hold linked members, and chains through frequent tokens. ``groups``: id, n, prefix; ``members``: row, id of different sets; ``rows``: row, text.
+
+    Two sets that match share :func:`shared_needed` tokens of their prefixes. A token of
+    at most ``bucket`` groups makes pairs, filtered by size, position and number of shared
+    tokens. Where too few tokens of a group are frequent, its matches share another one.
+    Members of the other groups meet by parts of their sets; a part of more than
+    ``bucket`` members makes chains, of those with so many such parts that a match may
+    share no other. Without ``members``, groups make chains through their frequent tokens.
+    """
+    bucket = BUCKET if bucket is None else bucket
+    tokens = groups.select("id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "n", "id", F.col("pos").cast("long").alias("pos"))
     frequent = _frequent(tokens, bucket)
     often, rare = _split(tokens, frequent)
     pairs = materialise(_pairs(rare, match, bucket), "bucket-pairs").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    # what two sets share beyond the common part of their prefixes is at most the longer rest; frequent tokens bring their pairs by themselves
+    # what two sets share beyond the common part of their prefixes is at most the longer rest; of frequent tokens, those that meet here alone share few
     need = F.ceil(F.lit(match) * (F.col("na") + F.col("nb")) / F.lit(100.0 + match) - 1e-9)
-    rest = F.greatest(*[F.col(c) - (F.col(c) - F.ceil(F.lit(match) * F.col(c) / 100.0 - 1e-9) + 1) for c in ("na", "nb")])
-    edges = pairs.filter(F.col("shared") + rest >= need).select("a", "b")
+    rest = F.greatest(*[_least(F.col(c), match) - _shared(F.col(c), match) for c in ("na", "nb")])
+    few = F.greatest(*[_shared(_least(F.col(c), match), match) - 1 for c in ("na", "nb")])
+    edges = pairs.filter(F.col("shared") + rest + few >= need).select("a", "b")
     if frequent.isEmpty():
         return edges
 
-    often = materialise(often, "frequent-rows")
-    share = often.groupBy("id").agg((F.count("*") / F.first("p")).alias("share"))
-    alike = materialise(often.join(share, "id").groupBy("token").agg(F.avg("share").alias("share")).filter(F.col("share") >= MOSTLY).select("token"), "copied-tokens")
-    copied, passing = _split(often, alike)
-    second = passing.select(F.col("token").alias("first"), "n", "id", "pos").join(groups.select("id", F.explode("prefix").alias("other")), "id")
-    twice = second.filter("first <> other").select(F.xxhash64(F.least("first", "other"), F.greatest("first", "other")).alias("token"), "n", "id", F.lit(0).cast("long").alias("pos"))
-    twice = materialise(twice.distinct(), "token-pairs")
-    often_again, rare_again = _split(twice, _frequent(twice, bucket))
-    met = _pairs(rare_again, match, bucket).select("a", "b").distinct()
-    return edges.unionByName(met).unionByName(_chains(copied, match)).unionByName(_chains(often_again, match)).distinct()
+    many = often.groupBy("id", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= _shared(_least(F.col("n"), match), match))
+    many = materialise(many.select("id"), "frequent-groups")
+    if members is None:
+        return edges.unionByName(_chains(often.join(many, "id", "left_semi"), match)).distinct()
+    asked = materialise(members.join(many, "id").select("row", "id"), "frequent-members")
+    some, _ = split_by_ids(rows.select("row", "text"), asked)
+    parts = materialise(map_arrow(some.join(asked, "row").select("id", "row", "text"), _parts(match, size), _PART), "set-parts")
+    common, single = _split(parts, _frequent(parts, bucket))
+    met = _pairs(single.select("token", "n", "id", "pos"), match, bucket).select("a", "b").distinct()
+    copied = common.groupBy("row", "low").agg(F.count("*").alias("k"), F.first("least").alias("least")).filter("k >= least").select("row", "low")
+    copied = common.join(materialise(copied, "copied-rows"), ["row", "low"], "left_semi")
+    return edges.unionByName(met).unionByName(_chains(copied, match)).distinct()
 
 
 def _forest(match: int, size: int):
@@ -364,8 +445,12 @@ def verified_links(members: DataFrame, rows: DataFrame, match: int = MATCH, size
 
 def link_components(documents: DataFrame, match: int = MATCH, size: int = SHINGLE) -> tuple[DataFrame, DataFrame, bool]:
     """(row, n, comp) of every document, where comp is the smallest linked row, the rows, and whether rows are doc_ids."""
-    spark = documents.sparkSession
     rows, plain = with_rows(documents)
+    return settled("linked", lambda: _linked(rows, match, size)), rows, plain
+
+
+def _linked(rows: DataFrame, match: int, size: int) -> DataFrame:
+    spark = rows.sparkSession
     rarity = spark.sparkContext.broadcast(word_rarity(rows))
     sets = materialise(_sets(rows, rarity, match, size), "sets")
 
@@ -376,10 +461,10 @@ def link_components(documents: DataFrame, match: int = MATCH, size: int = SHINGL
     reps = member_of.filter("row = rep").select("row", "n", "three")
     groups = materialise(reps.groupBy("n", "three").agg(F.min("row").alias("id")), "groups")
     leaders = sets.join(groups.select(F.col("id").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), "n", "prefix")
-    edges = materialise(candidate_edges(materialise(leaders, "leaders"), match), "candidate-edges")
+    grouped = materialise(reps.join(groups, ["n", "three"]).select("row", "id"), "group-members")
+    edges = settled("candidate-edges", lambda: candidate_edges(materialise(leaders, "leaders"), match, None, grouped, rows, size))
 
     # groups of several members are islands too
-    grouped = materialise(reps.join(groups, ["n", "three"]).select("row", "id"), "group-members")
     several = grouped.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))
     islands = components(edges.unionByName(several)).select(F.col("node").alias("id"), F.col("comp").alias("island"))
     members = grouped.join(islands, "id").select("row", "island")
@@ -387,8 +472,7 @@ def link_components(documents: DataFrame, match: int = MATCH, size: int = SHINGL
 
     linked = components(links).select(F.col("node").alias("rep"), "comp")
     of_class = member_of.join(linked, "rep", "left").select("row", F.coalesce("comp", "rep").alias("comp"))
-    out = sets.select("row", "n").join(of_class, "row", "left").select("row", "n", F.coalesce("comp", "row").alias("comp"))
-    return out, rows, plain
+    return sets.select("row", "n").join(of_class, "row", "left").select("row", "n", F.coalesce("comp", "row").alias("comp"))
 
 
 def join_classes(documents: DataFrame, match: int = MATCH, size: int = SHINGLE) -> DataFrame:

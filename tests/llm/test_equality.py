@@ -169,6 +169,61 @@ def test_frequent_shingles_make_few_candidates(spark):
     assert len(chain) == n - 1 and {r.b for r in chain} == set(range(1, n))
 
 
+def passages(n=60):
+    """Texts of the same words, each in its own order, around a passage that all share; and near copies of some."""
+    rng = random.Random(4)
+    passage = [f"p{k}" for k in range(150)]
+    texts = []
+    for k in range(n):
+        own = [f"w{k}" for k in range(250)]
+        rng.shuffle(own)
+        texts.append(own[:125] + passage + own[125:])
+        if k % 6 == 0:
+            other = list(texts[-1])
+            for _ in range(rng.randint(1, 6)):
+                other[rng.randrange(400)] = f"w{rng.randrange(250)}"
+            texts.append(other)
+    return [" ".join(x) for x in texts]
+
+
+@pytest.mark.parametrize("match, size", [(90, 3), (80, 5)])
+def test_frequent_shingles_make_few_rows(spark, match, size, monkeypatch):
+    """No table grows with the product of a prefix and its frequent shingles, and no link is lost."""
+    texts, written = passages(), {}
+
+    def counted(df, name, real=jaccard_join.materialise):
+        out = real(df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", counted)
+    monkeypatch.setattr(jaccard_join, "MOST_BLOCK", 64)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_classes(frame(spark, texts), match, size).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, match, size)
+    prefixes = sum(jaccard_join.prefix_length(n, match) + 1 for n, _ in got.values())
+    assert max(rows for name, rows in written.items() if name != "bucket-pairs") <= 4 * prefixes, (prefixes, written)
+
+
+@pytest.mark.parametrize("match", [50, 80, 90])
+def test_matching_sets_have_parts_in_common(match):
+    """Sets that match share a part in each band of both, as many as the smaller set's number says."""
+    rng = np.random.default_rng(match)
+    for _ in range(400):
+        n = int(rng.integers(2, 150))
+        both = K.mix(rng.integers(0, 1 << 60, n).astype(np.uint64))
+        most = (100 - match) * n // (100 + match) + 1
+        gone, new = int(rng.integers(0, most + 1)), int(rng.integers(0, most + 1))
+        one, other = np.unique(both), np.unique(np.concatenate([both[gone:], K.mix(rng.integers(1 << 61, 1 << 62, new).astype(np.uint64))]))
+        common = len(np.intersect1d(one, other))
+        if 100 * common < match * (len(one) + len(other) - common) or common == max(len(one), len(other)):
+            continue
+        bands = set(jaccard_join.size_bands(len(one), match)) & set(jaccard_join.size_bands(len(other), match))
+        low, most = max(bands)
+        (a, least_a), (b, least_b) = (jaccard_join.parts_of_set(x, low, most) for x in (one, other))
+        assert len(one) + len(other) - 2 * common <= most
+        assert len(np.intersect1d(a, b)) >= max(least_a, least_b) >= 1
+
+
 def test_forest_passes_over_copies():
     """Members that are linked with one compared before are compared once, and the components are those of all pairs."""
     rng = random.Random(9)
