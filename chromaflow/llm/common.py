@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import threading
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,6 +29,14 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def give_back() -> None:
+    """Returns what a worker freed to its machine: Spark uses workers again, and they would keep a task's most."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """mapInArrow where ``fn`` turns a batch into columns in the order of ``schema``."""
     small_batches(df.sparkSession)
@@ -37,6 +46,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str)
         for batch in batches:
             if batch.num_rows:
                 yield record_batch(fn(batch), kinds)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -49,6 +59,7 @@ def stream_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterato
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in fn(batches):
             yield record_batch(out, kinds)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

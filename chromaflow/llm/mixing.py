@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free, materialise, table
+from .common import free, materialise, settled, table
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -179,10 +179,10 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
     id_, size_, place_, copies_, copy_ = free(documents, "id_taken", "size_taken", "place_taken", "copies_taken", "copy_taken")
     odd = documents.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
     if odd.isEmpty():
-        taken = mix(documents).filter("copies > 0").select(F.col("doc_id").alias(id_), F.col("copies").alias(copies_))
+        taken = settled("mix-taken", lambda: mix(documents).filter("copies > 0").select(F.col("doc_id").alias(id_), F.col("copies").alias(copies_)))
         found = documents.join(taken, F.col("doc_id") == F.col(id_))
     else:
-        taken = mix(documents)
+        taken = settled("mix-taken", lambda: mix(documents))
         order = F.row_number().over(Window.partitionBy("doc_id", "size").orderBy(F.desc("copies")))
         taken = taken.select(F.col("doc_id").alias(id_), F.col("size").alias(size_), order.alias(place_), F.col("copies").alias(copies_)).filter(F.col(copies_) > 0)
         own = F.row_number().over(Window.partitionBy("doc_id", word_count(F.col("text"))).orderBy("text"))

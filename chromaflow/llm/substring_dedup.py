@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import recompression as R
-from .common import as_often, free, int64, map_arrow, materialise, partitions, split_by_ids, stream_arrow, table, with_rows
+from .common import as_often, free, int64, map_arrow, materialise, partitions, settled, split_by_ids, stream_arrow, table, with_rows
 
 WINDOW = 20
 U64 = np.uint64
@@ -311,6 +311,11 @@ def repeats(rows: DataFrame, window: int = WINDOW, bits: int = 64) -> DataFrame:
     """row and ranges (see :func:`_pack`) of the windows that also start earlier. ``rows``: row, text; ``bits``: of the words' names."""
     if not 2 <= window <= 1024:
         raise ValueError(f"window must be 2 to 1024 words, not {window}")
+    return settled("repeats", lambda: _ranges(_repeated(rows, window, bits)))
+
+
+def _repeated(rows: DataFrame, window: int, bits: int) -> DataFrame:
+    """row, place, n of what :func:`repeats` finds."""
 
     def parse(batch):
         return _met(_stretches(int64(batch.column(0)), batch.column(1), window, bits))
@@ -323,7 +328,7 @@ def repeats(rows: DataFrame, window: int = WINDOW, bits: int = 64) -> DataFrame:
         leads = claims.select(F.col("lead_row").alias("row"), F.col("lead_place").alias("place"), "n")
         everything = found.select("row", "place", "n").unionByName(leads).distinct()
         checked = _sorted_by_words(rows, _single(rows, everything, window, bits), window)
-    return materialise(_ranges(checked.filter("repeat")), "repeats")
+    return checked.filter("repeat")
 
 
 def _kept(n_words: int, packed: np.ndarray, window: int) -> np.ndarray:
@@ -393,7 +398,7 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW) -> DataFrame:
 def strip_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """``documents`` with all their columns, the repeated words taken out of text (n_chars follows); texts without any stay as they are."""
     rows, _ = with_rows(documents)
-    found = materialise(repeats(rows, window).join(rows.select("row", "doc_id", "text"), "row"), "stripped")
+    found = settled("stripped", lambda: repeats(rows, window).join(rows.select("row", "doc_id", "text"), "row"))
     id_, hash_, new_ = free(documents, "id_changed", "hash_changed", "text_changed")
 
     def run(batch):

@@ -224,6 +224,19 @@ def test_matching_sets_have_parts_in_common(match):
         assert len(np.intersect1d(a, b)) >= max(least_a, least_b) >= 1
 
 
+def test_intermediate_folders_go_when_a_result_stands(spark):
+    """After a stage only what its frame reads is left, and the session's settings are as before."""
+    from chromaflow.llm import common, mixing
+
+    texts = [" ".join(f"w{(i // 2) * 7 + k}" for k in range(60)) + f" x{i}" for i in range(12)]
+    docs = frame(spark, texts)
+    for stage, left in ((lambda d: jaccard_join.keep_one(d, 80, 5), 1), (substring_dedup.strip_repeats, 1), (mixing.mixed_documents, 1)):
+        before, setting = len(common._written), spark.conf.get(common.CLEANUP)
+        out = stage(docs)
+        assert len(common._written) - before <= left and spark.conf.get(common.CLEANUP) == setting
+        assert out.count() > 0
+
+
 def test_forest_passes_over_copies():
     """Members that are linked with one compared before are compared once, and the components are those of all pairs."""
     rng = random.Random(9)
