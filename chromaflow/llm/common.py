@@ -187,6 +187,11 @@ def split_by_ids(df: DataFrame, ids: DataFrame, column: str = "row") -> tuple[Da
     return df.join(few, column, "left_semi"), df.join(few, column, "left_anti")
 
 
+def few_broadcast(ids: DataFrame) -> DataFrame:
+    """``ids``, written before, marked for broadcast where they are few: the join then moves no texts."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def ordinals(df: DataFrame, *order: str, name: str = "row") -> DataFrame:
     """``df`` with its place (from 0) in the order of ``order``, without one task seeing all rows."""
     spark = df.sparkSession

@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import as_often, free, int64, map_arrow, materialise, partitions, settled, split_by_ids, stream_arrow, table, with_rows
+from .common import as_often, few_broadcast, free, int64, map_arrow, materialise, partitions, settled, split_by_ids, stream_arrow, table, with_rows
 from .components import components
 
 SHINGLE, MATCH = 3, 90
@@ -491,7 +491,7 @@ def keep_one(documents: DataFrame, match: int = MATCH, size: int = SHINGLE) -> D
     kept = out.filter("row = comp")
     id_, hash_ = free(documents, "id_kept", "hash_kept")
     if plain:
-        return documents.join(kept.select(F.col("row").alias(id_)), F.col("doc_id") == F.col(id_), "left_semi")
+        return documents.join(few_broadcast(kept.select(F.col("row").alias(id_))), F.col("doc_id") == F.col(id_), "left_semi")
     text = F.coalesce(F.col("text"), F.lit(""))
     chosen = kept.join(rows, "row").select(F.col("doc_id").alias(id_), F.xxhash64("text").alias(hash_))
     found = documents.join(chosen, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(hash_)), "left_semi")

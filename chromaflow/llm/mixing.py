@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free, materialise, settled, table
+from .common import few_broadcast, free, materialise, settled, table
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -180,7 +180,7 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
     odd = documents.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
     if odd.isEmpty():
         taken = settled("mix-taken", lambda: mix(documents).filter("copies > 0").select(F.col("doc_id").alias(id_), F.col("copies").alias(copies_)))
-        found = documents.join(taken, F.col("doc_id") == F.col(id_))
+        found = documents.join(few_broadcast(taken), F.col("doc_id") == F.col(id_))
     else:
         taken = settled("mix-taken", lambda: mix(documents))
         order = F.row_number().over(Window.partitionBy("doc_id", "size").orderBy(F.desc("copies")))

@@ -237,6 +237,15 @@ def test_intermediate_folders_go_when_a_result_stands(spark):
         assert out.count() > 0
 
 
+def test_few_ids_move_no_texts(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = jaccard_join.keep_one(frame(spark, ["a b c d e f", "g h i j k l"]), 80, 5)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_forest_passes_over_copies():
     """Members that are linked with one compared before are compared once, and the components are those of all pairs."""
     rng = random.Random(9)
