@@ -8,7 +8,8 @@ the two tokens' bytes by rank gives back just these two. Back-pointers from the
 end emit the ids.
 
 Texts are independent, so this is one pass without a shuffle; memory is a batch,
-the vocabulary and a bounded cache of words per worker.
+what a slice of it (its first text and 2 MB more) needs on the way, the
+vocabulary and bounded tables of pieces and pairs per worker.
 
 Defined cases: a null text is empty; an empty text has no ids and decodes to the
 empty text; repeated rows give repeated results; a null doc_id is passed on;
@@ -31,6 +32,9 @@ from pyspark.sql import functions as F
 from . import pieces as P
 from .common import map_arrow, table, texts
 
+#: Pairs of tokens whose test is kept per worker; the share of pieces.CACHE_PIECES kept; bytes of text that are encoded at a time.
+CACHE_PAIRS, CACHE_SHARE, SLICE_BYTES = 300_000, 0.5, 2 << 20
+
 
 class PrefixBPE:
     """Encoder of single pieces for a vocabulary file with merges and an end-of-word suffix."""
@@ -70,7 +74,9 @@ class PrefixBPE:
             if len(s) == 1 or i in self.parts:
                 self.automaton.add_word(s, (i, len(s)))
         self.automaton.make_automaton()
-        self._fits: dict[tuple[int, int], bool] = {}
+        #: By left * n + right: one number takes less than a pair.
+        self._fits: dict[int, bool] = {}
+        self.n = max(self.vocab.values()) + 1
 
     def fits(self, left: int, right: int) -> bool:
         """Do two tokens stay as they are when their bytes are merged together?
@@ -79,11 +85,11 @@ class PrefixBPE:
         each step, the parts that face each other across the border must not be
         a pair whose merge would have come before the merge undone last.
         """
-        got = self._fits.get((left, right))
+        got = self._fits.get(left * self.n + right)
         if got is None:
-            if len(self._fits) > 300_000:
+            if len(self._fits) >= CACHE_PAIRS:
                 self._fits.clear()
-            got = self._fits[left, right] = self._test(left, right)
+            got = self._fits[left * self.n + right] = self._test(left, right)
         return got
 
     def _test(self, a: int, b: int) -> bool:
@@ -111,7 +117,7 @@ class PrefixBPE:
         n = len(units)
         last = [-1] * (n + 1)
         back = [0] * (n + 1)
-        fits, known = self.fits, self._fits
+        fits, known, many = self.fits, self._fits, self.n
         for end, (token, size) in self.automaton.iter(units):
             end += 1
             if last[end] >= 0:
@@ -121,7 +127,7 @@ class PrefixBPE:
                 before = last[start]
                 if before < 0:
                     continue
-                ok = known.get((before, token))
+                ok = known.get(before * many + token)
                 if not (fits(before, token) if ok is None else ok):
                     continue
             last[end], back[end] = token, start
@@ -198,6 +204,17 @@ class Codec:
         bounds = pa.array(np.concatenate([[0], np.cumsum(n, dtype=np.int64)]))
         return pc.binary_join(pa.LargeListArray.from_arrays(bounds, strings.take(pa.array(ids))), pa.scalar(" ", pa.large_string()))
 
+    def digests(self, column: pa.Array) -> tuple[list[int], list[str], list[str]]:
+        """Number of ids, sha256 of the decimal ids and of the decoded text of each whole text of a string column."""
+        n, of_ids, of_text = [], [], []
+        for part in slices(column, SLICE_BYTES):
+            ids, k = self.columns(part)
+            n += k.tolist()
+            # one kind of text after the other, hashed where it lies
+            for out, strings in ((of_ids, self.numbers), (of_text, self.names)):
+                out += [hashlib.sha256(x.as_buffer()).hexdigest() for x in self.joined(ids, k, strings)]
+        return n, of_ids, of_text
+
     def forms(self, column: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
         """Number of ids, decimal ids and decoded text of each whole text of a string column."""
         ids, n = self.columns(column)
@@ -211,12 +228,22 @@ class PrefixEncoder(P.ColumnEncoder):
         super().__init__(path)
         self.bpe, self.whole = codec.bpe, codec.encode
 
+    def most(self) -> int:
+        return int(P.CACHE_PIECES * CACHE_SHARE)
+
     def learn(self, new: list[str]) -> None:
         known, encode = self.known, self.bpe.encode_piece
         for piece in new:
             known[piece] = array("i", encode(piece)).tobytes()
 
 
+def slices(column: pa.Array, most: int) -> list[pa.Array]:
+    """All of a string column in order; each slice has less than ``most`` bytes after its first text."""
+    full = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(full)) + 1).tolist(), len(column)]
+    return [column.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
 @lru_cache(2)
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -249,11 +276,8 @@ def encode_decode_digests(documents: DataFrame, path: str | None = None) -> Data
     path = path or P.default_vocabulary()
 
     def run(batch):
-        own = codec(path)
-        ids, n = own.columns(batch.column(1))
-        # one kind of text after the other, hashed where it lies
-        a, b = ([hashlib.sha256(x.as_buffer()).hexdigest() for x in own.joined(ids, n, each)] for each in (own.numbers, own.names))
-        return {"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
+        n, of_ids, of_text = codec(path).digests(batch.column(1))
+        return {"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": of_ids, "decoded_sha256": of_text}
 
     return map_arrow(texts(documents), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

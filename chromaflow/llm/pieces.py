@@ -78,6 +78,10 @@ class ColumnEncoder:
         #: Little-endian 32-bit ids of each piece.
         self.known: dict[str, bytes] = {"": b""}
 
+    def most(self) -> int:
+        """Pieces that are kept."""
+        return CACHE_PIECES
+
     def learn(self, new: list[str]) -> None:
         """Puts the ids of pieces not seen before into ``known``."""
         raise NotImplementedError
@@ -117,7 +121,7 @@ class ColumnEncoder:
         gc.disable()
         try:
             new = [p for p in pieces if p not in self.known]
-            if len(self.known) + len(new) > CACHE_PIECES:
+            if len(self.known) + len(new) > self.most():
                 self.known = {"": b""} | {p: self.known[p] for p in pieces if p in self.known}
             self.learn(new)
             out = [self.known[p] for p in pieces]

@@ -2,7 +2,10 @@
 
 import hashlib
 import json
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -261,6 +264,58 @@ def test_encoder_with_a_full_table_gives_the_same_ids(monkeypatch):
         assert [x.tolist() for x in other(pa.array(texts))] == [ids.tolist(), n.tolist()]
 
 
+@pytest.mark.parametrize("most", [1, 7, 100, 1 << 20])
+def test_slices_hold_all_texts_in_order(monkeypatch, most):
+    texts = ["", "a b c", "", "x " * 300, *(x or "" for x in TEXTS), "", "é" * 50]
+    column = pa.array(["cut off", *texts])[1:]
+    parts = bpe.slices(column, most)
+    assert [x for p in parts for x in p.to_pylist()] == texts and all(len(p) for p in parts)
+    assert all(sum(len(x.encode()) for x in p.to_pylist()[1:]) < most for p in parts)
+    own = bpe.codec(pieces.default_vocabulary())
+    monkeypatch.setattr(bpe, "SLICE_BYTES", most)
+    n, of_ids, of_text = own.digests(column)
+    want = [own.library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert n == list(map(len, want)) and of_ids == [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in want]
+    assert of_text == [hashlib.sha256(own.library.decode(x, skip_special_tokens=False).encode()).hexdigest() for x in want]
+
+
+#: Takes the function that a task runs, gives it batches of 8 MB with ever new words, and prints what that adds to a worker with a vocabulary, in KB.
+BATCHES = """
+import random, threading, time
+import pyarrow as pa
+from chromaflow.llm import bpe, pieces
+
+def now():
+    return next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("VmRSS"))
+
+def watch():
+    while True:
+        most[0] = max(most[0], now())
+        time.sleep(0.005)
+
+draw, found = random.Random(1), []
+often = ["".join(draw.choices("abcdefghijklmnopqrst", k=6)) for _ in range(20_000)]
+def batch():
+    texts = [" ".join(draw.choices(often, k=400) + ["".join(draw.choices("aeioubdklmnrst", k=9)) for _ in range(20)]) for _ in range(2800)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+batches = [batch() for _ in range(4)]
+bpe.map_arrow, bpe.texts = lambda df, run, schema: found.append(run), lambda df: df
+bpe.encode_decode_digests(None)
+bpe.codec(pieces.default_vocabulary())
+least = now()
+most = [least]
+threading.Thread(target=watch, daemon=True).start()
+for b in batches:
+    found[0](b)
+print(most[0] - least)
+"""
+
+
+def test_a_batch_takes_little_memory_beside_the_vocabulary():
+    ran = subprocess.run([sys.executable, "-c", BATCHES], capture_output=True, text=True, env=os.environ, check=True)
+    assert int(ran.stdout) < 120_000
+
+
 def test_bpe_query(docs, empty, odd):
     library = pieces.library(pieces.default_vocabulary())
     for r in bpe.encode_decode_digests(docs).collect():
